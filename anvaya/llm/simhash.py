@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -179,3 +180,34 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest doc_id.
+
+    Rows that share the kept doc_id are copies or near copies; one of them stays. Rows
+    without a doc_id stay only where nobody in their group has one.
+    """
+    found = near_duplicates(docs, radius)
+    named = found.where("doc_id is not null and doc_id = component_id").select(
+        F.col("doc_id").alias("_kept")
+    ).distinct()
+    nameless = docs.where("doc_id is null").limit(1)
+    kept = docs.join(named, docs["doc_id"] == named["_kept"], "left_semi")
+    kept = kept.dropDuplicates(["doc_id"])
+    if not nameless.isEmpty():
+        orphans = found.where("component_id is null").select("fingerprint").distinct()
+        rows = docs.where("doc_id is null")
+        marked = rows.withColumn("_fp", fingerprint_column("text"))
+        kept = kept.unionByName(
+            marked.join(orphans, marked["_fp"] == orphans["fingerprint"], "left_semi")
+            .dropDuplicates(["_fp"]).drop("_fp")
+        )
+    return kept.select(*docs.columns)
+
+
+@F.pandas_udf("string")
+def fingerprint_column(texts: pd.Series) -> pd.Series:
+    """The fingerprint of each text as 16 hexadecimal digits."""
+    encoded = (None if t is None else t.encode("utf-8", "surrogatepass") for t in texts)
+    return pd.Series([f"{fingerprint(t):016x}" for t in encoded], dtype=object)
