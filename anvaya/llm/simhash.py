@@ -198,16 +198,15 @@ def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     if not nameless.isEmpty():
         orphans = found.where("component_id is null").select("fingerprint").distinct()
         rows = docs.where("doc_id is null")
-        marked = rows.withColumn("_fp", fingerprint_column("text"))
+
+        @F.pandas_udf("string")
+        def marks(texts: pd.Series) -> pd.Series:
+            encoded = (None if t is None else t.encode("utf-8", "surrogatepass") for t in texts)
+            return pd.Series([f"{fingerprint(t):016x}" for t in encoded], dtype=object)
+
+        marked = rows.withColumn("_fp", marks("text"))
         kept = kept.unionByName(
             marked.join(orphans, marked["_fp"] == orphans["fingerprint"], "left_semi")
             .dropDuplicates(["_fp"]).drop("_fp")
         )
     return kept.select(*docs.columns)
-
-
-@F.pandas_udf("string")
-def fingerprint_column(texts: pd.Series) -> pd.Series:
-    """The fingerprint of each text as 16 hexadecimal digits."""
-    encoded = (None if t is None else t.encode("utf-8", "surrogatepass") for t in texts)
-    return pd.Series([f"{fingerprint(t):016x}" for t in encoded], dtype=object)
