@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from anvaya.llm import decontaminate, packing, quality, secrets, simhash
+from anvaya.llm import decontaminate, langid, packing, quality, secrets, simhash
 from anvaya.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -42,7 +48,7 @@ def queries() -> dict[str, Query]:
     found = {
         f.__name__: f
         for f in (
-            op2_secret_scan, op3_best_fit_packing, op5_benchmark_decontamination,
+            op2_secret_scan, op3_best_fit_packing, op4_language_id, op5_benchmark_decontamination,
             op6_simhash_near_dedup, op9_quality_classifier,
         )
     }
