@@ -8,12 +8,16 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from anvaya.llm import decontaminate, langid, packing, quality, secrets, simhash
+from anvaya.llm import decontaminate, langid, licenses, neardup_vectors, packing, quality, secrets, simhash
 from anvaya.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -44,12 +48,16 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = {
         f.__name__: f
         for f in (
-            op2_secret_scan, op3_best_fit_packing, op4_language_id, op5_benchmark_decontamination,
-            op6_simhash_near_dedup, op9_quality_classifier,
+            op1_embedding_near_dedup, op2_secret_scan, op3_best_fit_packing, op4_language_id, op5_benchmark_decontamination,
+            op6_simhash_near_dedup, op9_quality_classifier, op10_license_scan,
         )
     }
     return found | {"pipeline": corpus_pipeline.run}
