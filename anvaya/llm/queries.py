@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from anvaya.llm import decontaminate, langid, licenses, neardup_vectors, packing, pagetext, quality, secrets, simhash
+from anvaya.llm import decontaminate, langid, licenses, neardup_vectors, packing, pagetext, quality, repeats, secrets, simhash
 from anvaya.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.main_text(table(spark, sf_dir, "pages"))
 
@@ -61,7 +65,8 @@ def queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             op1_embedding_near_dedup, op2_secret_scan, op3_best_fit_packing, op4_language_id, op5_benchmark_decontamination,
-            op6_simhash_near_dedup, op8_html_extraction, op9_quality_classifier, op10_license_scan,
+            op6_simhash_near_dedup, op7_suffix_array_dedup,
+            op8_html_extraction, op9_quality_classifier, op10_license_scan,
         )
     }
     return found | {"pipeline": corpus_pipeline.run}
