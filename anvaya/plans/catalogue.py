@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
+from anvaya.operators import graph, lexicon
+from anvaya.plans import common, text_queries  # noqa: F401  importing registers the queries
+from anvaya.plans.registry import ORACLES, QUERIES, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Documents to sentences, words, candidates, events and quads; then event density."""
+    words = common.words(spark, sf_dir)
+    index = lexicon.trigger_index(spark, common.FRAMES)
+    top = lexicon.candidates(lexicon.evidence(words, index, common.STOP), top_k=1)
+    events = top.select(
+        F.substring_index("sent_key", "::", 1).alias("doc_id"), F.substring_index("sent_key", "::", -1).alias("sent_id"),
+        "frame_id", F.lit("").alias("word"), F.lit(0).alias("start"), F.lit(0).alias("stop"),
+        (F.col("score") / 10).alias("confidence"),
+    )
+    parsed = graph.parse(graph.event_quads(events))
+    return parsed.groupBy("p").agg(F.count("*").alias("quads"), F.count_distinct("s").alias("subjects"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
