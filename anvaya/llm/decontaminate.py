@@ -46,6 +46,11 @@ def lowered(text: Column | str) -> Column:
     return F.when(column.rlike("[A-Z]"), F.translate(column, UPPER, LOWER)).otherwise(column)
 
 
+def same_word(raw: Column, term: Column) -> Column:
+    """Whether a word as written is the lower-cased ``term``; most are equal as they stand."""
+    return (raw == term) | (F.translate(raw, UPPER, LOWER) == term)
+
+
 def words_of(text: str = "text") -> Column:
     """The words of a text, cut as if lower-cased, not yet lower-cased."""
     return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
@@ -83,8 +88,12 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
     """(term, n): how often each benchmark term occurs in the corpus."""
-    tokens = keyed(docs).select(F.explode("words").alias("raw")).select(lowered("raw").alias("term"))
-    return tokens.join(sized(terms, rows), "term").groupBy("term").agg(F.count("*").alias("n"))
+    tokens = keyed(docs).select(F.explode("words").alias("raw"))
+    # Full lower case is quick and wider than A-Z alone; the exact test follows on what meets.
+    met = tokens.join(sized(terms, rows), [
+        F.lower("raw") == F.lower("term"), same_word(F.col("raw"), F.col("term")),
+    ])
+    return met.groupBy("term").agg(F.count("*").alias("n"))
 
 
 def anchored(phrases: DataFrame, counts: DataFrame) -> DataFrame:
@@ -116,11 +125,11 @@ def postings(docs: DataFrame, anchors: DataFrame, rows: int, reach: int = WINDOW
     lists = anchors.select("term", "follower").distinct()
     tokens = keyed(docs).select(
         "doc_id", "text_hash", "words", F.posexplode("words").alias("at", "raw")
-    ).withColumn("term", lowered("raw"))
-    second = lowered(F.get("words", F.col("at") + 1))
-    met = tokens.join(sized(lists.withColumnRenamed("term", "anchor"), rows), [
-        F.col("term") == F.col("anchor"),
-        F.col("follower").isNull() | (F.col("follower") == second),
+    )
+    second = F.get("words", F.col("at") + 1)
+    met = tokens.join(sized(lists, rows), [
+        F.lower("raw") == F.lower("term"), same_word(F.col("raw"), F.col("term")),
+        F.col("follower").isNull() | same_word(second, F.col("follower")),
     ])
     first = F.greatest(F.col("at") - reach, F.lit(0))
     near = F.slice("words", first + 1, F.col("at") - first + 1 + reach)
