@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from anvaya.operators.spans import overlap_all
+
 
 def density(counts: DataFrame, column: str, cap: int) -> DataFrame:
     """Mean, median, 95th percentile and cap hits of counts, over the rows that have any."""
@@ -89,23 +94,23 @@ def match_greedy(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> Data
     Candidates meet on the key by an equi-join of overlapping spans; the greedy pass
     needs all candidates of a key in order and runs on those alone.
     """
-    import pandas as pd
-
-    from anvaya.operators.spans import overlap_all
-
     pairs = overlap_all(gold, predicted, keys).where("ratio > 0")
     fields = ", ".join(f"{k} {t}" for k, t in pairs.select(*keys).dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken_a, taken_b, keep = set(), set(), []
-        for row in pdf.sort_values(["ratio", "start", "r_start"], ascending=[False, True, True]).itertuples():
-            a, b = (row.start, row.stop), (row.r_start, row.r_stop)
-            if a not in taken_a and b not in taken_b:
-                taken_a.add(a)
-                taken_b.add(b)
-                keep.append(row.Index)
-        return pdf.loc[keep, [*keys, "start", "stop", "r_start", "r_stop", "ratio"]]
-
-    return pairs.select(*keys, "start", "stop", "r_start", "r_stop", "ratio").groupBy(*keys).applyInPandas(
-        run, f"{fields}, start int, stop int, r_start int, r_stop int, ratio double"
-    )
+    item = F.struct((-F.col("ratio")).alias("order"), "start", "r_start", "stop", "r_stop")
+    grouped = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("pairs"))
+    names = [*keys, "start", "stop", "r_start", "r_stop", "ratio"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for *key, items in batch[[*keys, "pairs"]].itertuples(index=False):
+                taken_a, taken_b = set(), set()
+                for x in items:
+                    a, b = (x["start"], x["stop"]), (x["r_start"], x["r_stop"])
+                    if a not in taken_a and b not in taken_b:
+                        taken_a.add(a)
+                        taken_b.add(b)
+                        out.append((*key, *a, *b, -x["order"]))
+            yield pd.DataFrame(out, columns=names)
+
+    return grouped.mapInPandas(run, f"{fields}, start int, stop int, r_start int, r_stop int, ratio double")

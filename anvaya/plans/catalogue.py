@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anvaya.operators import graph, lexicon
-from anvaya.plans import common, lexicon_queries, text_queries  # noqa: F401  importing registers the queries
+from anvaya.plans import (  # noqa: F401  importing registers the queries
+    common, entity_queries, graph_queries, lexicon_queries, span_queries, stats_queries, text_queries,
+)
 from anvaya.plans.registry import ORACLES, QUERIES, Query
 
 
