@@ -68,7 +68,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_drop_owned, app)
     _OWNED[app].add(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._staged_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing still to be run reads."""
+    for df in tables:
+        spark = df.sparkSession
+        drop_path(spark, df._staged_at)
+        _OWNED[spark.sparkContext.applicationId].discard(df._staged_at)
 
 
 def binary_column(batch: pa.RecordBatch, index: int) -> list[bytes | None]:
@@ -170,7 +180,8 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
             )).alias("e"))
             .select("e.src", "e.dst").where("src <> dst").distinct()
         )
-        edges = stage(small, f"{name}-round")
+        before, edges = edges, stage(small, f"{name}-round")
+        discard(before)
         now = summary(edges)
         if now == seen:
             break

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anvaya.llm.common import stage
+from anvaya.llm.common import discard, stage
 
 WINDOW = 13
 BROADCAST_ROWS = 500_000
@@ -199,6 +199,7 @@ def contamination(
     anchors = stage(anchored(phrases, counts), "decontaminate-anchors")
     index = stage(postings(docs, anchors, n_windows, size - 1), "decontaminate-index")
     matches = stage(phrase_matches(index, anchors, n_windows), "decontaminate-matches")
+    discard(counts, anchors, index)
 
     spans = matches.groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")

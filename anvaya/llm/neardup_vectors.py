@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anvaya.llm.common import connected_components, sorted_slices, spanning_pairs, stage
+from anvaya.llm.common import connected_components, discard, sorted_slices, spanning_pairs, stage
 
 THRESHOLD = 0.98
 TABLES = 10
@@ -237,6 +237,7 @@ def link_vectors(
         .mapInArrow(compare, "class_id long, other_id long, links long"),
         "vectors-links",
     )
+    discard(coded)
     counts = met.where("other_id < 0").groupBy("class_id").agg(F.sum("links").alias("links"))
     edges = met.where("other_id >= 0").select(
         F.col("class_id").alias("src"), F.col("other_id").alias("dst")

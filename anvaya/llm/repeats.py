@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anvaya.llm.common import sorted_slices, stage
+from anvaya.llm.common import discard, sorted_slices, stage
 
 SPAN = 200
 GRAM = 64
@@ -299,7 +299,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             F.when(F.col("copies") > 1, F.sha2(F.lit(b""), 256))
             .otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
         )
-        return stage(result, "repeats-result")
+        out = stage(result, "repeats-result")
+        discard(cut)
+        return out
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         _release(spark)
