@@ -332,28 +332,26 @@ def main_text(pages: DataFrame) -> DataFrame:
                 part = batch.slice(at, 1000)
                 found = [lines_of(h.as_py()) for h in part.column(2)]
                 places = [host_and_path(u) for u in part.column(1).to_pylist()]
+                has_core = [any(k == 0 for _, k in lines) for lines in found]
                 outside = [[(t, k == 1) for t, k in lines if k] for lines in found]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1),
                         pa.array([h for h, _ in places], pa.string()),
                         pa.array([p for _, p in places], pa.string()),
-                        pa.array([
-                            "\n".join(t for t, k in lines if k == 0)
-                            if any(k == 0 for _, k in lines) else None for lines in found
-                        ], pa.string()),
+                        pa.array(has_core, pa.bool_()),
                         pa.array([[t for t, _ in lines] for lines in outside],
                                  pa.list_(pa.string())),
                         pa.array([[p for _, p in lines] for lines in outside],
                                  pa.list_(pa.bool_())),
                     ],
-                    names=["page_id", "url", "host", "path", "core", "outside", "plain"],
+                    names=["page_id", "url", "host", "path", "has_core", "outside", "plain"],
                 )
 
     rows = stage(
         pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(
             cut,
-            "page_id long, url string, host string, path string, core string,"
+            "page_id long, url string, host string, path string, has_core boolean,"
             " outside array<string>, plain array<boolean>",
         ).withColumn("uid", F.monotonically_increasing_id()),
         "pagetext-lines",
@@ -362,24 +360,41 @@ def main_text(pages: DataFrame) -> DataFrame:
     partitions = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = neighbours(hosted, partitions)
     other = hosted.select(F.col("uid").alias("other"), F.col("outside").alias("other_outside"))
-    met = rows.join(pairs.join(other, "other").select("uid", "other_outside"), "uid", "left")
+    met = rows.where("not has_core").join(
+        pairs.join(other, "other").select("uid", "other_outside"), "uid", "left"
+    )
+    names = ["page_id", "url", "text", "n_chars"]
+    schema = "page_id long, url string, text string, n_chars long"
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            columns = (batch.column(k).to_pylist() for k in range(2, 6))
-            for core, outside, plain, others in zip(*columns):
+            for outside, plain, others in zip(*(batch.column(k).to_pylist() for k in range(2, 5))):
                 shared = {i for i, _ in lcs(outside, others)} if others else set()
                 left = [t for k, (t, p) in enumerate(zip(outside, plain)) if p and k not in shared]
                 if not left:
                     left = [t for t, p in zip(outside, plain) if p]
-                texts.append(core if core is not None else "\n".join(left))
+                texts.append("\n".join(left))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
-                 pa.array([len(t) for t in texts], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
+                 pa.array([len(t) for t in texts], pa.int64())], names=names,
             )
 
-    return met.select("page_id", "url", "core", "outside", "plain", "other_outside").mapInArrow(
-        difference, "page_id long, url string, text string, n_chars long"
+    def core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found = [[t for t, k in lines_of(h.as_py()) if k == 0] for h in part.column(2)]
+                own = [k for k, lines in enumerate(found) if lines]
+                texts = ["\n".join(found[k]) for k in own]
+                kept = part.take(pa.array(own, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [kept.column(0), kept.column(1), pa.array(texts, pa.string()),
+                     pa.array([len(t) for t in texts], pa.int64())], names=names,
+                )
+
+    # An article is cut from its page where the page is read; only lines outside articles travel.
+    whole = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(core, schema)
+    return whole.unionByName(
+        met.select("page_id", "url", "outside", "plain", "other_outside").mapInArrow(difference, schema)
     )
