@@ -314,15 +314,23 @@ def _cut(texts: DataFrame) -> DataFrame:
         for batch in batches:
             tids = batch.column(0).to_numpy()
             for of, _, _, found in runs_in(batch.column(1).to_pylist()):
+                # A text that repeats an anchor says so once, with how often.
+                h = found.view(np.int64)
+                order = np.lexsort((h, of))
+                h, of = h[order], of[order]
+                first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
+                n = np.diff(np.append(first, len(h)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.view(np.int64)), pa.array(tids[of])], names=["h", "tid"]
+                    [pa.array(h[first]), pa.array(tids[of[first]]), pa.array(n)],
+                    names=["h", "tid", "n"],
                 )
 
-    marked = texts.select("tid", "body").mapInArrow(hashes, "h long, tid long")
-    shared = marked.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    wanted = stage(marked.join(shared, "h").distinct(), "repeats-anchors")
+    marked = texts.select("tid", "body").mapInArrow(hashes, "h long, tid long, n long")
+    shared = marked.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    # No aggregate follows the join in its stage, so a hot anchor can be split.
+    wanted = stage(marked.select("h", "tid").join(shared, "h"), "repeats-anchors")
     _release(texts.sparkSession)
-    lists = wanted.groupBy("tid").agg(F.collect_list("h").alias("hs"))
+    lists = wanted.groupBy("tid").agg(F.collect_set("h").alias("hs"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "tid", "start", "spans", "s1", "s2", "body"]
