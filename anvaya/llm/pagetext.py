@@ -3,7 +3,8 @@
 1. Every page is cut into lines, one a block, in page order. A line is *core*
    if it stands in the article (or main) element, *marked* if an element says
    that it is a menu, header, footer, sidebar, notice, advert, form or reader
-   comment, and *plain* otherwise. Scripts, styles and comments give no line.
+   comment, and *plain* otherwise. Elements around the page's article, html and
+   body mark nothing. Scripts, styles and comments give no line.
 2. Within each host pages are ordered by URL path, and each is paired with the
    neighbour that shares the longer path prefix. Ordering is a distributed
    range sort; only the first and last page of each partition reach the driver
@@ -64,10 +65,7 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(
-    r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""",
-    re.IGNORECASE,
-)
+ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in
            ("script", "style", "textarea", "noscript", "iframe", "title")}
 WORDS = re.compile(r"[a-z]+")
@@ -75,30 +73,33 @@ WORDS = re.compile(r"[a-z]+")
 Line = tuple[str, int]  # text, 0 core, 1 plain, 2 marked
 
 
-def _is_marked(name: str, attributes: str) -> bool:
-    if name in MARKED:
-        return True
+def _mark(name: str, attributes: str) -> int:
+    """1 if the element says that it is not the main text, 2 if it is hidden, else 0."""
+    own = int(name in MARKED)
     low = attributes.lower()
     if not any(key in low for key in ("class", "id", "role", "hidden", "style")):
-        return False
+        return own
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return 2
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif key in ("class", "id", "role") and not MARK_WORDS.isdisjoint(
+                return 2
+        elif key in ("class", "id", "role") and name not in ("html", "body") and not MARK_WORDS.isdisjoint(
             w for token in value.split() for w in _names(token)
         ):
-            return True
-    return False
+            own = 1
+    return own
 
 
 def _names(token: str) -> list[str]:
     """Words of one class token; a part that only qualifies content does not mark it."""
     words = WORDS.findall(token)
-    if len(words) > 1 and words[-1] in ("content", "body", "text", "article", "post", "main"):
+    if len(words) > 1 and (
+        words[0] in ("has", "no", "with", "without")
+        or words[-1] in ("content", "body", "text", "article", "post", "main", "result", "results")
+    ):
         return []
     return words
 
@@ -106,27 +107,31 @@ def _names(token: str) -> list[str]:
 def lines_of(page: str | None) -> list[Line]:
     """The lines of a page, in order, with what they are."""
     page = page or ""
-    out: list[Line] = []
+    # Lines: text, numbers of the marked and of the core elements around, whether hidden.
+    out: list[tuple[str, tuple, tuple, bool]] = []
     words: list[str] = []
-    # Open elements: name, whether core, marked, silent (each with all that is above).
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    # Core elements: name, marked and core elements around, own mark.
+    cores: list[tuple[str, tuple, tuple, int | None]] = []
+    n_marks = 0
+    # Open elements: name, core, marked (numbers), hidden, silent (each with all that is above).
+    stack: list[tuple[str, tuple, tuple, bool, bool]] = [("", (), (), False, False)]
 
     def flush() -> None:
         if words:
             text = " ".join(html.unescape("".join(words)).split())
             if text:
-                _, core, marked, _ = stack[-1]
-                out.append((text, 2 if marked else 0 if core else 1))
+                _, core, marks, hidden, _ = stack[-1]
+                out.append((text, marks, core, hidden))
             words.clear()
 
     at = 0
     while at < len(page):
         token = TOKEN.search(page, at)
         if token is None:
-            if not stack[-1][3]:
+            if not stack[-1][4]:
                 words.append(page[at:])
             break
-        if token.start() > at and not stack[-1][3]:
+        if token.start() > at and not stack[-1][4]:
             words.append(page[at : token.start()])
         at = token.end()
         if token[2] is None:
@@ -151,27 +156,60 @@ def lines_of(page: str | None) -> list[Line]:
             end = RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
             continue
-        _, core, marked, silent = stack[-1]
+        _, core, marks, hidden, silent = stack[-1]
         if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
             # These end an open one of their kind.
             if stack[-1][0] == name and name != "li":
                 stack.pop()
-                _, core, marked, silent = stack[-1]
-        own = _is_marked(name, token[3]) if token[3] or name in MARKED else False
+                _, core, marks, hidden, silent = stack[-1]
+        own = _mark(name, token[3]) if token[3] or name in MARKED else 0
         if name == "header" and not core:
-            own = True
+            own = own or 1
         if name not in BLOCKS and name not in SILENT and not own:
             if name not in ("span", "b", "i", "em", "strong", "a", "font", "u", "small"):
-                stack.append((name, core, marked, silent))
+                stack.append((name, core, marks, hidden, silent))
             continue
-        flush_needed = own and not marked
-        if flush_needed:
+        if own:
             flush()
-        stack.append((
-            name, core or (name in CORE and not own), marked or own, silent or name in SILENT
-        ))
+        above, mark = marks, None
+        if own == 1:
+            mark = n_marks
+            n_marks += 1
+            marks = (*marks, mark)
+        if name in CORE:
+            cores.append((name, above, core, mark))
+            core = (*core, len(cores) - 1)
+        stack.append((name, core, marks, hidden or own == 2, silent or name in SILENT))
     flush()
-    return out
+    return _kinds(out, cores)
+
+
+def _kinds(found: list[tuple[str, tuple, tuple, bool]], cores: list[tuple]) -> list[Line]:
+    """Lines with what they are, once it is known which element holds the page's article."""
+    size = [0] * len(cores)
+    for text, _, core, hidden in found:
+        if not hidden:
+            for k in core:
+                size[k] += len(text)
+    void: set[int] = set()
+    if any(size):
+        # The least marked, then longest: what is around it marks nothing, nor does its own mark,
+        # unless a clean article is as good.
+        best = min((k for k in range(len(cores)) if size[k]), key=lambda k: (len(cores[k][1]), -size[k]))
+        void.update(cores[best][1])
+        rivals = [k for k, c in enumerate(cores) if k != best and c[0] == "article" and void.issuperset(c[1])]
+        if not any(cores[k][3] is None and 2 * size[k] >= size[best] for k in rivals):
+            void.add(cores[best][3])
+        for k in rivals:  # an article that holds most of it
+            if best in cores[k][2] and 2 * size[k] > size[best]:
+                void.add(cores[k][3])
+    lines = [
+        (text, 2 if hidden or not void.issuperset(marks) else 0 if core else 1)
+        for text, marks, core, hidden in found
+    ]
+    if all(kind == 2 for _, kind in lines):  # nothing else is left
+        lines = [(text, 0 if core and not hidden else 2) for text, _, core, hidden in found]
+    return lines
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:

@@ -385,6 +385,28 @@ def test_pages(spark):
     assert pagetext.main_text(df.where("false")).count() == 0
 
 
+def text_lines(page):
+    return [t for t, kind in pagetext.lines_of(page) if kind != 2]
+
+
+def test_marks_around_the_article():
+    story = "<h1>Title</h1><p>A long story.</p>"
+    want = ["Title", "A long story."]
+    for page in (
+        f'<body class="page no-sidebar"><nav>n</nav><article>{story}</article></body>',
+        f'<div class="layout sidebar"><div class="sidebar">s</div><article>{story}</article></div>',
+        f'<div id="search-results">{story}</div>', f'<div class="has-sidebar">{story}</div>',
+        f'<article class="post sponsored">{story}</article>', f'<main><article class="post sponsored">{story}</article></main>',
+        f'<div data-hidden="false" data-class="ad" title=" class=ad "><article>{story}</article></div>',
+        f'<form id="page"><main>{story}</main></form>',
+        f'<article>{story}</article><section class="comments"><article>r</article><article>r, longer than the story</article></section>',
+        f'<article><div class="ad">{story}</div></article>',
+    ):
+        assert text_lines(page) == want, page
+    assert text_lines(f"<div hidden><article>{story}</article></div><p>seen</p>") == ["seen"]
+    assert text_lines('<div class="ad">b</div><nav>n</nav>') == []
+
+
 def test_lcs():
     rng = random.Random(2)
     for cells in (10**9, 6):
