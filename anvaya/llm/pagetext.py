@@ -1,20 +1,23 @@
 """Main text of web pages by nearest-URL page differencing.
 
-1. Every page is cut into lines, one a block, in page order. A line is *core*
-   if it stands in the article (or main) element, *marked* if an element says
-   that it is a menu, header, footer, sidebar, notice, advert, form or reader
-   comment, and *plain* otherwise. Elements around the page's article, html and
-   body mark nothing. Scripts, styles and comments give no line.
-2. Within each host pages are ordered by URL path, and each is paired with the
+1. Every page is cut into lines, one a block, in page order. A line is *article*
+   if it stands in an article element, *main* if only in a main element, *marked*
+   if an element says that it is a menu, header, footer, sidebar, notice, advert,
+   form or reader comment, and *plain* otherwise. Elements around the page's
+   article, html and body mark nothing. Scripts, styles and comments give no line.
+2. Pages without plain and main lines are done: their article is their text. All
+   others are ordered by URL path within each host, and each is paired with the
    neighbour that shares the longer path prefix. Ordering is a distributed
    range sort; only the first and last page of each partition reach the driver
    to be linked up, so the pairs do not depend on the partitioning and no host
    meets in one task.
-3. The lines outside the core of both pages are aligned by their longest common
-   subsequence, and shared ones are deleted: they are the site's, not the page's.
-   Core lines are never deleted: two pages may well carry the same article.
-4. The text is the core, or, in pages without one, the plain lines that are left.
-   Where these all are shared the pages are copies of each other, and stay.
+3. The lines outside the articles of both pages are aligned by their longest
+   common subsequence, and shared ones are deleted: they are the site's, not the
+   page's. Article lines are never deleted: two pages may carry the same article.
+   Lines are told apart by 64-bit hashes.
+4. The text is the article and the plain and main lines that are left. A page
+   that has no partner gives its article and main lines or, where it has none,
+   its plain lines; so does one of which nothing is left.
 
 Defined results: a null or empty html gives an empty text; a null url, or one
 without a host, pairs with nothing; unclosed elements end with their parent;
@@ -24,6 +27,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -70,7 +74,7 @@ RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in
            ("script", "style", "textarea", "noscript", "iframe", "title")}
 WORDS = re.compile(r"[a-z]+")
 
-Line = tuple[str, int]  # text, 0 core, 1 plain, 2 marked
+Line = tuple[str, int]  # text, 0 article, 1 plain, 2 marked, 3 main without an article
 
 
 def _mark(name: str, attributes: str) -> int:
@@ -204,7 +208,10 @@ def _kinds(found: list[tuple[str, tuple, tuple, bool]], cores: list[tuple]) -> l
             if best in cores[k][2] and 2 * size[k] > size[best]:
                 void.add(cores[k][3])
     lines = [
-        (text, 2 if hidden or not void.issuperset(marks) else 0 if core else 1)
+        (
+            text, 2 if hidden or not void.issuperset(marks)
+            else 0 if any(cores[k][0] == "article" for k in core) else 3 if core else 1,
+        )
         for text, marks, core, hidden in found
     ]
     if all(kind == 2 for _, kind in lines):  # nothing else is left
@@ -361,78 +368,97 @@ def neighbours(pages: DataFrame, partitions: int) -> DataFrame:
     ).where("other is not null")
 
 
+def line_hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def left_over(kinds: list[int], own: list[int], other: list[int] | None) -> list[int]:
+    """Places of the lines that make the text.
+
+    ``own`` and ``other`` are hashes of the lines outside articles of the page and its partner.
+    """
+    if other is not None:
+        outside = [k for k, kind in enumerate(kinds) if kind]
+        shared = {outside[i] for i, _ in lcs(own, other)}
+        left = [k for k, kind in enumerate(kinds) if kind != 2 and k not in shared]
+        if left:
+            return left
+    core = [k for k, kind in enumerate(kinds) if kind in (0, 3)]
+    return core or [k for k, kind in enumerate(kinds) if kind == 1]
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``."""
+    names = ["page_id", "url", "text", "n_chars"]
+    schema = "page_id long, url string, text string, n_chars long"
+
+    def is_open(lines: list[Line]) -> bool:
+        return any(kind in (1, 3) for _, kind in lines)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 found = [lines_of(h.as_py()) for h in part.column(2)]
+                own = [k for k, lines in enumerate(found) if is_open(lines)]
+                part, found = part.take(pa.array(own, pa.int64())), [found[k] for k in own]
                 places = [host_and_path(u) for u in part.column(1).to_pylist()]
-                has_core = [any(k == 0 for _, k in lines) for lines in found]
-                outside = [[(t, k == 1) for t, k in lines if k] for lines in found]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1),
                         pa.array([h for h, _ in places], pa.string()),
                         pa.array([p for _, p in places], pa.string()),
-                        pa.array(has_core, pa.bool_()),
-                        pa.array([[t for t, _ in lines] for lines in outside],
+                        pa.array([[k for _, k in lines] for lines in found], pa.list_(pa.int8())),
+                        # Texts of marked lines are not needed again.
+                        pa.array([["" if k == 2 else t for t, k in lines] for lines in found],
                                  pa.list_(pa.string())),
-                        pa.array([[p for _, p in lines] for lines in outside],
-                                 pa.list_(pa.bool_())),
+                        pa.array([[line_hash(t) for t, _ in lines] for lines in found],
+                                 pa.list_(pa.int64())),
                     ],
-                    names=["page_id", "url", "host", "path", "has_core", "outside", "plain"],
+                    names=["page_id", "url", "host", "path", "kinds", "texts", "hashes"],
+                )
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found = [lines_of(h.as_py()) for h in part.column(2)]
+                own = [k for k, lines in enumerate(found) if not is_open(lines)]
+                texts = ["\n".join(t for t, kind in found[k] if kind == 0) for k in own]
+                kept = part.take(pa.array(own, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [kept.column(0), kept.column(1), pa.array(texts, pa.string()),
+                     pa.array([len(t) for t in texts], pa.int64())], names=names,
                 )
 
+    read = pages.select(F.col("page_id").cast("long"), "url", "html")
     rows = stage(
-        pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(
+        read.mapInArrow(
             cut,
-            "page_id long, url string, host string, path string, has_core boolean,"
-            " outside array<string>, plain array<boolean>",
+            "page_id long, url string, host string, path string, kinds array<byte>,"
+            " texts array<string>, hashes array<long>",
         ).withColumn("uid", F.monotonically_increasing_id()),
         "pagetext-lines",
     )
     hosted = rows.where("host <> ''")
     partitions = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    outside = "transform(filter(arrays_zip(kinds, hashes), x -> x.kinds <> 0), x -> x.hashes)"
+    rows_of = rows.select("uid", "page_id", "url", "kinds", "texts", F.expr(outside).alias("own"))
     pairs = neighbours(hosted, partitions)
-    other = hosted.select(F.col("uid").alias("other"), F.col("outside").alias("other_outside"))
-    met = rows.where("not has_core").join(
-        pairs.join(other, "other").select("uid", "other_outside"), "uid", "left"
-    )
-    names = ["page_id", "url", "text", "n_chars"]
-    schema = "page_id long, url string, text string, n_chars long"
+    other = hosted.select(F.col("uid").alias("other"), F.expr(outside).alias("other_outside"))
+    met = rows_of.join(pairs.join(other, "other").select("uid", "other_outside"), "uid", "left")
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for outside, plain, others in zip(*(batch.column(k).to_pylist() for k in range(2, 5))):
-                shared = {i for i, _ in lcs(outside, others)} if others else set()
-                left = [t for k, (t, p) in enumerate(zip(outside, plain)) if p and k not in shared]
-                if not left:
-                    left = [t for t, p in zip(outside, plain) if p]
-                texts.append("\n".join(left))
+            found = []
+            for kinds, texts, own, others in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                found.append("\n".join(texts[k] for k in left_over(kinds, own, others)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
-                 pa.array([len(t) for t in texts], pa.int64())], names=names,
+                [batch.column(0), batch.column(1), pa.array(found, pa.string()),
+                 pa.array([len(t) for t in found], pa.int64())], names=names,
             )
 
-    def core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                found = [[t for t, k in lines_of(h.as_py()) if k == 0] for h in part.column(2)]
-                own = [k for k, lines in enumerate(found) if lines]
-                texts = ["\n".join(found[k]) for k in own]
-                kept = part.take(pa.array(own, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [kept.column(0), kept.column(1), pa.array(texts, pa.string()),
-                     pa.array([len(t) for t in texts], pa.int64())], names=names,
-                )
-
-    # An article is cut from its page where the page is read; only lines outside articles travel.
-    whole = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(core, schema)
-    return whole.unionByName(
-        met.select("page_id", "url", "outside", "plain", "other_outside").mapInArrow(difference, schema)
+    # An article alone is cut where the page is read; only pages with open lines travel.
+    return read.mapInArrow(done, schema).unionByName(
+        met.select("page_id", "url", "kinds", "texts", "own", "other_outside").mapInArrow(difference, schema)
     )

@@ -407,6 +407,22 @@ def test_marks_around_the_article():
     assert text_lines('<div class="ad">b</div><nav>n</nav>') == []
 
 
+def page_texts(spark, pages):
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in pagetext.main_text(df).collect()}
+
+
+def test_pages_with_article_are_differenced(spark):
+    teaser = lambda n: (n, f"http://t.org/a/{n}", f"<div>Site</div><article>card {n}</article><div>The body of {n}, in full.</div><p>Imprint</p>")
+    wide = lambda n: (n, f"http://m.org/a/{n}", f"<main><div>Site</div><p>Story {n} is told.</p><p>Imprint</p></main>")
+    got = page_texts(spark, [teaser(1), teaser(2), wide(3), wide(4), (5, "http://one.org/", "<p>site</p><article>own</article>")])
+    for n in (1, 2):
+        assert got[n] == f"card {n}\nThe body of {n}, in full."
+    for n in (3, 4):
+        assert got[n] == f"Story {n} is told."
+    assert got[5] == "own"  # no partner, so nothing tells the site's lines
+
+
 def test_lcs():
     rng = random.Random(2)
     for cells in (10**9, 6):
