@@ -6,18 +6,22 @@
    form or reader comment, and *plain* otherwise. Elements around the page's
    article, html and body mark nothing. Scripts, styles and comments give no line.
 2. Pages without plain and main lines are done: their article is their text. All
-   others are ordered by URL path within each host, and each is paired with the
-   neighbour that shares the longer path prefix. Ordering is a distributed
+   others are ordered by URL path within each host. Ordering is a distributed
    range sort; only the first and last page of each partition reach the driver
-   to be linked up, so the pairs do not depend on the partitioning and no host
+   to be linked up, so the order does not depend on the partitioning and no host
    meets in one task.
-3. The lines outside the articles of both pages are aligned by their longest
+3. On either side the partner is the next page that is not a copy. A copy holds
+   all of the page's unmarked text, or over half of it and 200 characters at
+   least. Pages next to copies go on from where those copies have come, so
+   a run of copies of any length takes rounds by the logarithm of its length.
+   Of the two partners the one with the longer common path prefix is taken.
+4. The lines outside the articles of both pages are aligned by their longest
    common subsequence, and shared ones are deleted: they are the site's, not the
    page's. Article lines are never deleted: two pages may carry the same article.
    Lines are told apart by 64-bit hashes.
-4. The text is the article and the plain and main lines that are left. A page
+5. The text is the article and the plain and main lines that are left. A page
    that has no partner gives its article and main lines or, where it has none,
-   its plain lines; so does one of which nothing is left.
+   its plain lines.
 
 Defined results: a null or empty html gives an empty text; a null url, or one
 without a host, pairs with nothing; unclosed elements end with their parent;
@@ -33,14 +37,17 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anvaya.llm.common import stage
+from anvaya.llm.common import discard, stage
 
 LCS_CELLS = 200_000_000
+#: A page that shares over this share of a page's text, and this many characters, is a copy of it.
+COPY_SHARE, COPY_LEAST = 0.5, 200
 #: Element names by what they do to text.
 SILENT = {"script", "style", "template", "noscript", "svg", "iframe", "object", "head", "math",
           "canvas", "audio", "video", "textarea", "select", "button", "datalist"}
@@ -293,32 +300,33 @@ def _prefix_lengths(x: list, y: list) -> list[int]:
     return lengths
 
 
+def common(a: str, b: str) -> int:
+    """Length of the common prefix."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
 def neighbours(pages: DataFrame, partitions: int) -> DataFrame:
-    """(uid, other): the page of the same host that is nearest by URL path.
+    """(uid, before, after): the pages of the same host that are next to each by URL path.
 
     ``pages`` has uid, host and path.
     """
-    def common(a: str, b: str) -> int:
-        n = 0
-        for x, y in zip(a, b):
-            if x != y:
-                break
-            n += 1
-        return n
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         before: tuple | None = None
         rows: list[list] = []
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                # uid, host, path, previous, common with it, next, common with it
+                # uid, host, path, previous, next
                 uid, host, path = row
-                entry = [uid, host, path, None, -1, None, -1]
+                entry = [uid, host, path, None, None]
                 if before is not None and before[1] == host:
-                    n = common(before[2], path)
-                    entry[3:5] = before[0], n
-                    rows[-1][5:7] = uid, n
+                    entry[3] = before[0]
+                    rows[-1][4] = uid
                 rows.append(entry)
                 before = row
             if len(rows) > 10_000:
@@ -328,15 +336,14 @@ def neighbours(pages: DataFrame, partitions: int) -> DataFrame:
             yield emit(rows, part)
 
     def emit(rows: list[list], part: int) -> pa.RecordBatch:
-        names = ["uid", "host", "path", "before", "n_before", "after", "n_after"]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+        names = ["uid", "host", "path", "before", "after"]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
         return pa.RecordBatch.from_arrays(
             [*columns, pa.array([part] * len(rows), pa.int32())], names=[*names, "part"]
         )
 
-    schema = ("uid long, host string, path string, before long, n_before int, after long,"
-              " n_after int, part int")
+    schema = "uid long, host string, path string, before long, after long, part int"
     linked = stage(
         pages.select("uid", "host", "path")
         .repartitionByRange(partitions, "host", "path", "uid")
@@ -353,19 +360,71 @@ def neighbours(pages: DataFrame, partitions: int) -> DataFrame:
     joins = []
     for (_, high), (low, _) in zip(ends, ends[1:]):
         if high[0] == low[0]:
-            n = common(high[1], low[1])
-            joins += [(high[2], None, -1, low[2], n), (low[2], high[2], n, None, -1)]
-    found = linked.select("uid", "before", "n_before", "after", "n_after")
+            joins += [(high[2], None, low[2]), (low[2], high[2], None)]
+    found = linked.select("uid", "before", "after")
     if joins:
         more = pages.sparkSession.createDataFrame(joins, found.schema)
         found = found.unionByName(more).groupBy("uid").agg(
-            F.max("before").alias("before"), F.max("n_before").alias("n_before"),
-            F.max("after").alias("after"), F.max("n_after").alias("n_after"),
+            F.max("before").alias("before"), F.max("after").alias("after")
         )
-    return found.select(
-        "uid", F.when(F.col("n_before") >= F.col("n_after"), F.col("before"))
-        .otherwise(F.col("after")).alias("other"),
-    ).where("other is not null")
+    return found
+
+
+def is_copy(own: list[int], sizes: list[int], other: list[int]) -> bool:
+    """Whether a page holds the text of another, given by hashes and lengths of unmarked lines."""
+    total = sum(sizes)
+    found = set(other)
+    shared = sum(n for h, n in zip(own, sizes) if h in found)
+    return shared == total or (shared > COPY_SHARE * total and shared >= COPY_LEAST)
+
+
+def partners(pages: DataFrame, partitions: int) -> DataFrame:
+    """(uid, other): the page of the same host, nearest by URL path, that is not a copy.
+
+    ``pages`` has uid, host, path, and hashes and sizes of the unmarked lines. A
+    link (uid, side, at, found) leads from a page to the next one that may be its
+    partner on that side; while that is a copy, the link takes over the link of
+    the copy, so that open links double their reach in every round.
+    """
+    @F.pandas_udf("boolean")
+    def copied(own: pd.Series, sizes: pd.Series, other: pd.Series) -> pd.Series:
+        return pd.Series([is_copy(a, n, b) for a, n, b in zip(own, sizes, other)], dtype=bool)
+
+    unmarked = pages.select("uid", "lines", "sizes")
+    at = pages.select(F.col("uid").alias("at"), F.col("lines").alias("at_lines"))
+    links = stage(neighbours(pages, partitions).select(
+        "uid", F.explode(F.array(
+            F.struct(F.lit(0).alias("side"), F.col("before").alias("at")),
+            F.struct(F.lit(1).alias("side"), F.col("after").alias("at")),
+        )).alias("link"), F.lit(False).alias("found"),
+    ).select("uid", "link.side", "link.at", "found"), "pagetext-links")
+    pending = "at is not null and not found"
+    while not links.where(pending).isEmpty():
+        tested = stage(
+            links.where(pending).join(unmarked, "uid").join(at, "at")
+            .select("uid", "side", "at", copied("lines", "sizes", "at_lines").alias("copied")),
+            "pagetext-tested",
+        )
+        onward = links.select(F.col("uid").alias("at"), "side", F.col("at").alias("next"))
+        moved = tested.where("copied").join(onward, ["at", "side"]).select(
+            "uid", "side", F.col("next").alias("at"), F.lit(False).alias("found")
+        )
+        settled = links.where(f"not ({pending})").unionByName(
+            tested.where("not copied").select("uid", "side", "at", F.lit(True).alias("found"))
+        )
+        before, links = links, stage(settled.unionByName(moved), "pagetext-links")
+        discard(before, tested)
+
+    @F.pandas_udf("int")
+    def prefix(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([common(x, y) for x, y in zip(a, b)], dtype="int32")
+
+    paths = pages.select("uid", "path")
+    ends = links.where("found").join(paths, "uid").join(
+        paths.select(F.col("uid").alias("at"), F.col("path").alias("at_path")), "at"
+    ).select("uid", "side", "at", prefix("path", "at_path").alias("n"))
+    # The longer prefix; of equal ones the page before.
+    return ends.groupBy("uid").agg(F.max_by("at", F.struct("n", -F.col("side"))).alias("other"))
 
 
 def line_hash(text: str) -> int:
@@ -443,8 +502,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     hosted = rows.where("host <> ''")
     partitions = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     outside = "transform(filter(arrays_zip(kinds, hashes), x -> x.kinds <> 0), x -> x.hashes)"
+    unmarked = "filter(arrays_zip(kinds, hashes, texts), x -> x.kinds <> 2)"
     rows_of = rows.select("uid", "page_id", "url", "kinds", "texts", F.expr(outside).alias("own"))
-    pairs = neighbours(hosted, partitions)
+    pairs = partners(hosted.select(
+        "uid", "host", "path",
+        F.expr(f"transform({unmarked}, x -> x.hashes)").alias("lines"),
+        F.expr(f"transform({unmarked}, x -> char_length(x.texts))").alias("sizes"),
+    ), partitions)
     other = hosted.select(F.col("uid").alias("other"), F.expr(outside).alias("other_outside"))
     met = rows_of.join(pairs.join(other, "other").select("uid", "other_outside"), "uid", "left")
 

@@ -423,6 +423,20 @@ def test_pages_with_article_are_differenced(spark):
     assert got[5] == "own"  # no partner, so nothing tells the site's lines
 
 
+def test_near_copies_of_pages_keep_their_text(spark):
+    story = [f"Paragraph {k} of the story, with some words in it." for k in range(30)]
+    page = lambda path, lines: f"<div>Site</div>{''.join(f'<p>{t}</p>' for t in lines)}<div>Imprint</div>"
+    many = [(n, f"http://c.org/b/{n:02}", page(n, [f"Day {n}", *story])) for n in range(11)]
+    alone = [(n, f"http://d.org/b/{n}", page(n, [f"Day {n}", *story])) for n in (20, 21)]
+    other = [(30, "http://c.org/a/1", page(1, ["Quite another page."])), (31, "http://c.org/c/1", page(1, ["A third page."]))]
+    got = page_texts(spark, [*many, *alone, *other])
+    for n, _, _ in many:
+        assert got[n] == "\n".join([f"Day {n}", *story])
+    for n, _, _ in alone:  # no page tells the site's lines
+        assert got[n] == "\n".join(["Site", f"Day {n}", *story, "Imprint"])
+    assert got[30] == "Quite another page." and got[31] == "A third page."
+
+
 def test_lcs():
     rng = random.Random(2)
     for cells in (10**9, 6):
