@@ -5,6 +5,9 @@ On top of them every base64 or hex candidate is decoded and its bytes are
 parsed before anything is reported: DER key encodings with all nested lengths
 consistent, length-prefixed private key containers, armoured blocks, and
 signed-token headers that decode to a JSON object naming an algorithm.
+Candidates are joined over line ends, as such or escaped, and decoded from each
+of their first four characters, so that a key is found wherever it starts; where
+it ends is told by its lengths. Decoded bytes are scanned in the same way.
 
 Defined results: a null or empty text has no spans (the digest is that of the
 empty string); texts are scanned whole whatever their length; spans of
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -39,12 +43,23 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
-#: Every hex or base64 candidate lies in such a run.
-RUN = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){16,}|(?:[0-9A-F]{2}){16,}")
-ARMOUR = re.compile(
-    r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s([A-Za-z0-9+/=\s:,-]*?)-----END \1-----"
+#: Every hex or base64 candidate lies in such a chain of runs over line ends, raw or escaped.
+_B = r"[A-Za-z0-9+/_-]"
+_END = r"(?:[\x20\t]*+(?:(?:\r\n?|\n|\\++(?:[rn]|u000[adAD]))[\x20\t]*+)++|\\++(?=/))"
+CHAIN = re.compile(
+    rf"{_B}{{32,}}+(?:{_END}{_B}++|[\x20\t]++{_B}{{32,}}+)*+(?:[\x20\t]++{_B}++)?+"
+    rf"|{_B}{{4,}}+(?:{_END}{_B}++)++"
 )
+BREAK = re.compile(rf"{_END}|[\x20\t]+")
+LEAST_RUN = 32
+HEX_RUN = re.compile(r"[0-9a-fA-F]{32,}")
+BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+ESCAPED = re.compile(r"\\+(?:[rnt]|u000[adAD])")
+DER_START = re.compile(
+    rb"\x30(?:[\x16-\x7f]|\x81[\x80-\xff]|\x82[\x01-\xff].|\x83[\x01-\xff]..|\x84[\x01-\xff]...)(?=[\x02\x30])",
+    re.DOTALL,
+)
+BOX = b"openssh-key-v1\0"
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 
 Span = tuple[str, int, int]
@@ -115,12 +130,11 @@ def _starts_with_oid(data: bytes, part: tuple[int, int, int]) -> bool:
     return bool(inner) and inner[0][0] == 0x06 and inner[0][1] < inner[0][2]
 
 
-def boxed_key(data: bytes) -> bool:
-    """A length-prefixed private key container: every nested length must fit."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at = len(magic)
+def box_end(data: bytes, start: int = 0) -> int:
+    """Where a length-prefixed private key container ends, -1 if a nested length does not fit."""
+    if not data.startswith(BOX, start):
+        return -1
+    at = start + len(BOX)
 
     def field(at: int) -> int:
         if at + 4 > len(data):
@@ -131,16 +145,21 @@ def boxed_key(data: bytes) -> bool:
     for _ in range(3):  # cipher, key derivation, its options
         at = field(at)
         if at < 0:
-            return False
+            return -1
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
     if not 1 <= keys <= 16:
-        return False
+        return -1
     for _ in range(keys + 1):  # public parts, then the private block
         at = field(at)
         if at < 0:
-            return False
-    return at == len(data)
+            return -1
+    return at
+
+
+def boxed_key(data: bytes) -> bool:
+    """A length-prefixed private key container: every nested length must fit."""
+    return box_end(data) == len(data)
 
 
 def is_key(data: bytes | None) -> bool:
@@ -181,32 +200,109 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=_rank)
 
 
+def armour_spans(text: str) -> list[tuple[int, int]]:
+    """Armoured private keys, their line ends as such, escaped or missing."""
+    found: list[tuple[int, int]] = []
+    ends: dict[str, int] = {}
+    begins = list(BEGIN.finditer(text))
+    for m, after in zip(begins, [*(x.start() for x in begins[1:]), len(text)]):
+        close = f"-----END {m[1]}-----"
+        if 0 <= ends.get(close, 0) < m.end():
+            ends[close] = text.find(close, m.end())
+        end = ends[close]
+        if not 0 <= end < after:
+            continue
+        block = ESCAPED.sub("\n", text[m.end() : end])
+        lines = re.sub(r"(?m)^[A-Za-z-]+:.*$", "", block)  # header lines of old armours
+        data = decode64(re.sub(r"\s|\\+(?=/)", "", lines))
+        if is_key(data) or ("ENCRYPTED" in block and data is not None and len(data) >= 32):
+            found.append((m.start(), end + len(close)))
+    return found
+
+
+def byte_spans(data: bytes) -> list[Span]:
+    """Keys and signed tokens in decoded bytes, themselves or encoded once more."""
+    found: list[Span] = []
+    at = 0
+    while m := DER_START.search(data, at):
+        start, width = m.start(), data[m.start() + 1]
+        at = start + 1
+        size = width if width < 0x80 else int.from_bytes(data[start + 2 : start + 2 + (width & 0x7F)], "big")
+        end = start + 2 + (width & 0x7F if width & 0x80 else 0) + size
+        if end <= len(data) and is_key(data[start:end]):
+            found.append(("key", start, end))
+            at = end
+    at = data.find(BOX)
+    while at >= 0:
+        end = box_end(data, at)
+        if end > 0:
+            found.append(("key", at, end))
+        at = data.find(BOX, max(end, at + 1))
+    return found + [
+        ("key" if kind == "armour" else kind, start, end)
+        for kind, start, end in added_spans(data.decode("latin-1"))
+    ]
+
+
+def run_spans(body: str) -> list[Span]:
+    """Keys and signed tokens that a run of base64 or hex characters encodes, wherever they start in it."""
+    found: list[Span] = []
+    plain = body.replace("-", "+").replace("_", "/")
+    for first in range(4):
+        part = plain[first:]
+        part = part[:-1] if len(part) % 4 == 1 else part
+        data = base64.b64decode(part + "=" * (-len(part) % 4))
+        found += [(kind, first + a * 8 // 6, first + (b * 8 + 5) // 6) for kind, a, b in byte_spans(data)]
+    for h in HEX_RUN.finditer(body):
+        for first in range(2):
+            size = (len(h[0]) - first) // 2 * 2
+            data = bytes.fromhex(h[0][first : first + size])
+            at = h.start() + first
+            found += [(kind, at + 2 * a, at + 2 * b) for kind, a, b in byte_spans(data)]
+    return found
+
+
 def added_spans(text: str) -> list[Span]:
     """Spans that decode and parse as keys or signed tokens."""
+    blocks = armour_spans(text) if "-----BEGIN" in text else []
     found: list[Span] = []
-    blocks: list[tuple[int, int]] = []
-    if "-----BEGIN" in text:
-        for m in ARMOUR.finditer(text):
-            lines = re.sub(r"(?m)^[A-Za-z-]+:.*$", "", m[2])  # header lines of old armours
-            data = decode64(re.sub(r"\s", "", lines))
-            if is_key(data) or ("ENCRYPTED" in m[2] and data is not None and len(data) >= 32):
-                found.append(("armour", m.start(), m.end()))
-                blocks.append(m.span())
-    for m in RUN.finditer(text):
-        if any(a <= m.start() < b for a, b in blocks):
+    for m in CHAIN.finditer(text):
+        if m.end() - m.start() < LEAST_RUN:
             continue
-        run = m[0]
-        if is_key(decode64(run)):
-            found.append(("key", m.start(), m.end()))
+        # Places of the joined characters in the text: starts in the body and in the text.
+        pieces, at, size = [], m.start(), 0
+        in_body, in_text = [], []
+        for stop, after in [*(x.span() for x in BREAK.finditer(text, m.start(), m.end())), (m.end(), m.end())]:
+            if stop > at:
+                in_body.append(size)
+                in_text.append(at)
+                pieces.append(text[at:stop])
+                size += stop - at
+            at = after
+        if size < LEAST_RUN:
             continue
-        for h in HEX_RUN.finditer(run):
-            if is_key(bytes.fromhex(h[0])):
-                found.append(("key", m.start() + h.start(), m.start() + h.end()))
+        for kind, start, end in run_spans("".join(pieces)):
+            a, b = (bisect.bisect_right(in_body, k) - 1 for k in (start, end - 1))
+            start, end = in_text[a] + start - in_body[a], in_text[b] + end - in_body[b]
+            end += len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
+            if not any(start < y and x < end for x, y in blocks):
+                found.append((kind, start, end))
     if "eyJ" in text:
         for m in TOKEN.finditer(text):
             if is_signed_token(m[0]):
                 found.append(("jwt", m.start(), m.end()))
-    return found
+    return [("armour", *block) for block in blocks] + _united(found)
+
+
+def _united(spans: list[Span]) -> list[Span]:
+    """Overlapping spans of one kind as one."""
+    out: list[Span] = []
+    for kind, start, end in sorted(spans):
+        if out and out[-1][0] == kind and start < out[-1][2]:
+            out[-1] = kind, out[-1][1], max(end, out[-1][2])
+        else:
+            out.append((kind, start, end))
+    return out
 
 
 def _rank(span: Span) -> tuple[int, int, int]:

@@ -174,6 +174,38 @@ def test_secrets(docs, empty, spark):
     assert not secrets.is_signed_token("eyJhIjoxfQ.eyJhIjoxfQ.") and not secrets.is_key(secrets.decode64("QUJD" * 20))
 
 
+def test_keys_escaped_nested_wrapped_and_glued():
+    parts = b"\x02\x01\x00" + b"\x02\x82\x01\x01" + b"\x01" * 257 + b"".join(b"\x02\x04" + bytes([1, k, 2, 3]) for k in range(7))
+    der = b"\x30\x82" + len(parts).to_bytes(2, "big") + parts
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    box = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + b"\0\0\0\1" + field(b"p" * 51) + field(b"q" * 130)
+    assert secrets.is_key(der) and secrets.is_key(box) and not secrets.is_key(box[:-1])
+    for raw in (der, box):
+        key = base64.b64encode(raw).decode()
+        lines = [key[k : k + 64] for k in range(0, len(key), 64)]
+        pem = "\n".join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+        twice = base64.b64encode(pem.encode()).decode()
+        for secret, kind in (
+            (pem, "armour"), (json.dumps(pem + "\n")[1:-3], "armour"), (json.dumps(json.dumps(pem))[3:-3], "armour"),
+            (pem.replace("\n", "\r\n"), "armour"), (pem.replace("\n", ""), "armour"), (pem.replace("\n", "\\n").replace("/", "\\/"), "armour"),
+            (twice, "key"), ("\n".join(twice[k : k + 76] for k in range(0, len(twice), 76)), "key"),
+            (base64.b64encode(key.encode()).decode(), "key"), ("\n".join(lines), "key"), ("\\n".join(lines), "key"), (" ".join(lines), "key"),
+            ("\r\n  ".join(lines), "key"), (key, "key"), (raw.hex(), "key"), ("\n".join(raw.hex()[k : k + 60] for k in range(0, 2 * len(raw), 60)), "key"),
+        ):
+            text = f'é {{"k": "{secret}", "more": 1}}'
+            assert secrets.added_spans(text) == [(kind, 9, 9 + len(secret))], (kind, secret[:80])
+            assert secrets.redacted(text) == 'é {"k": "[SECRET]", "more": 1}'
+        bare = key.rstrip("=")
+        for glue in ("/", "-", "_", "a", "ab", "abc", "path/to/", "\\n"):
+            assert secrets.added_spans(f"x {glue}{bare} y") == [("key", 2 + len(glue), 2 + len(glue) + len(bare))], glue
+        assert secrets.added_spans(f"{bare}\nand then words\n") == [("key", 0, len(bare))]
+        wrong = base64.b64encode(raw[:-9]).decode()
+        assert secrets.added_spans(wrong) == [] and secrets.added_spans("\n".join(lines[:-1])) == []
+    head, body = (base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256"}', b'{"sub":"1"}'))
+    token = base64.b64encode(f"{head}.{body}.{'A' * 43}".encode()).decode()
+    assert secrets.added_spans(f"t {token} u") == [("jwt", 2, 2 + len(token))]
+
+
 def test_base_spans_brute():
     rng = random.Random(9)
     bits = ["token", "Api_Key", "apikey", '="', ": ", "=", "AKIA", "ABCDEFGH1234", "deadbeef" * 4, "ſecret=abcdefghij", " ", "x", "passwd'", "=abcdefgh"]
