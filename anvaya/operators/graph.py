@@ -128,18 +128,42 @@ def inherit(spark: SparkSession, nodes: str, edges: str, depth: int = 10) -> Dat
     """)
 
 
-def distances(spark: SparkSession, seeds: str, edges: str, depth: int) -> DataFrame:
-    """Fewest steps from seeds (grp, node) over undirected edges (grp, a, b), within a depth."""
-    return spark.sql(f"""
-        WITH RECURSIVE walk(grp, node, steps) AS (
-          SELECT grp, node, 0 FROM {seeds}
-          UNION ALL
-          SELECT w.grp, e.b, w.steps + 1 FROM walk w
-          JOIN (SELECT grp, a, b FROM {edges} UNION ALL SELECT grp, b, a FROM {edges}) e
-            ON e.grp = w.grp AND e.a = w.node WHERE w.steps < {depth}
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage: written to the checkpoint folder or, in a session without one, kept by the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def distances(spark: SparkSession, seeds: str, edges: str) -> DataFrame:
+    """Fewest steps from seeds (grp, node) over undirected edges (grp, a, b), for all nodes that are reached.
+
+    Each round goes on from the nodes that the last one reached first. Links have no
+    direction, so what is known among their neighbours lies in the last two rounds.
+    """
+    one = spark.table(edges).select("grp", "a", "b")
+    both = _written(one.unionByName(one.select("grp", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    level = _written(spark.table(seeds).select("grp", "node").distinct().withColumn("steps", F.lit(0)))
+    before, levels, steps = level.limit(0), [level], 0
+    while True:
+        steps += 1
+        known = level.select("grp", "node").unionByName(before.select("grp", "node"))
+        found = _written(
+            level.select("grp", F.col("node").alias("a")).join(both, ["grp", "a"]).select("grp", F.col("b").alias("node")).distinct()
+            .join(known, ["grp", "node"], "left_anti").withColumn("steps", F.lit(steps))
         )
-        SELECT grp, node, min(steps) AS steps FROM walk GROUP BY grp, node
-    """)
+        if found.isEmpty():
+            break
+        before, level = level, found
+        levels.append(found)
+        if len(levels) == 16:  # keeps the plan short
+            levels = [_written(_all(levels))]
+    return _all(levels)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def missing_links(links: DataFrame, nodes: DataFrame, on: str) -> DataFrame:

@@ -184,4 +184,4 @@ def dependency_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns.where("node > 0").select("grp", F.col("node").alias("a"), (F.col("node") - 1).alias("b")).unionByName(
         turns.where("node > 1").select("grp", F.col("node").alias("a"), F.floor(F.col("node") / 2).alias("b"))
     ).createOrReplaceTempView("anvaya_edges")
-    return graph.distances(spark, "anvaya_seeds", "anvaya_edges", 6)
+    return graph.distances(spark, "anvaya_seeds", "anvaya_edges")

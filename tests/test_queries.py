@@ -56,3 +56,31 @@ def test_order_dependent_queries_repeat(spark):
         again = sorted(map(str, query(spark, SMALL).collect()))
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert first == again
+
+
+def test_dependency_distance_reaches_all(spark, tmp_path):
+    turns = [(1, k) for k in range(300)] + [(2, 0), (3, 5)]
+    spark.createDataFrame(turns, "conv_id long, turn int").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r["grp"], r["node"]): r["steps"] for r in catalogue.queries()["dependency_distance"](spark, str(tmp_path)).collect()}
+    links = {}
+    for grp, turn in turns:
+        for other in ([turn - 1] if turn > 0 else []) + ([turn // 2] if turn > 1 else []):
+            links.setdefault((grp, turn), set()).add((grp, other))
+            links.setdefault((grp, other), set()).add((grp, turn))
+    want = {(1, 0): 0, (2, 0): 0, (3, 5): 0}
+    front = list(want)
+    for at in front:
+        for node in links.get(at, ()):
+            if node not in want:
+                want[node] = want[at] + 1
+                front.append(node)
+    assert got == want and max(want.values()) > 6
+
+
+def test_distances_of_a_long_path(spark):
+    from anvaya.operators import graph
+
+    spark.createDataFrame([(1, 0)], "grp int, node int").createOrReplaceTempView("path_seeds")
+    spark.createDataFrame([(1, k, k + 1) for k in range(20)], "grp int, a int, b int").createOrReplaceTempView("path_edges")
+    got = sorted((r["node"], r["steps"]) for r in graph.distances(spark, "path_seeds", "path_edges").collect())
+    assert got == [(k, k) for k in range(21)]
