@@ -83,13 +83,18 @@ def prefix_matches(words: DataFrame, index: DataFrame, closed: Sequence[str]) ->
     return singles.unionByName(multi)
 
 
-def ngram_matches(words: DataFrame, index: DataFrame, longest: int = 5) -> DataFrame:
+def _longest(index: DataFrame) -> int:
+    """Words of the longest trigger."""
+    return index.agg(F.max("n")).first()[0] or 0
+
+
+def ngram_matches(words: DataFrame, index: DataFrame) -> DataFrame:
     """Contiguous occurrences of multiword triggers, by joining n-grams of every length needed."""
     w = Window.partitionBy("sent_key").orderBy("w")
     ahead = words.withColumn("ahead", F.array_compact(F.array(*[
-        F.lead("word", k).over(w) for k in range(longest)
+        F.lead("word", k).over(w) for k in range(max(_longest(index), 1))
     ])))
-    many = index.where(f"n > 1 and n <= {longest}").select(
+    many = index.where("n > 1").select(
         "frame_id", "n", F.col("head").alias("word"), "term"
     )
     return ahead.join(many, "word").where(F.slice("ahead", F.lit(1), F.col("n")) == F.col("term")).select(
@@ -105,23 +110,20 @@ def split_matches(words: DataFrame, index: DataFrame, gap: int = MAX_GAP) -> Dat
     ahead in a bounded array; nothing is joined with itself.
     """
     w = Window.partitionBy("sent_key").orderBy("w")
-    reach = 1 + gap * 3
+    reach = 1 + gap * max(_longest(index) - 1, 0)
     ahead = words.withColumn("ahead", F.array(*[F.lead("word", k).over(w) for k in range(reach + 1)]))
-    many = index.where("n between 2 and 4").select("frame_id", "n", F.col("head").alias("word"), "term")
-
-    def step(at: Column, k: int) -> Column:
-        """Place of the k-th word after place ``at``, or -1; -2 where the term has ended."""
-        window = F.slice(F.col("ahead"), at + 2, F.lit(gap))
-        found = F.array_position(window, F.get("term", F.lit(k)))
-        return F.when(at < 0, at).when(F.coalesce(found, F.lit(0)) > 0, at + found.cast("int")).otherwise(-1)
-
-    place = F.lit(0)
-    met = ahead.join(many, "word").withColumn("p1", step(place, 1))
-    met = met.withColumn("p2", F.when(F.col("n") > 2, step(F.col("p1"), 2)).otherwise(F.col("p1")))
-    met = met.withColumn("p3", F.when(F.col("n") > 3, step(F.col("p2"), 3)).otherwise(F.col("p2")))
-    return met.where("p3 >= 0").select(
+    many = index.where("n > 1").select("frame_id", "n", F.col("head").alias("word"), "term")
+
+    def step(at: Column, part: Column) -> Column:
+        """Place of the next word after place ``at``, or -1."""
+        found = F.array_position(F.slice(F.col("ahead"), at + 2, F.lit(gap)), part)
+        return F.when(at < 0, at).when(F.coalesce(found, F.lit(0)) > 0, at + found.cast("int")).otherwise(F.lit(-1))
+
+    rest = F.slice("term", F.lit(2), F.col("n") - 1)
+    met = ahead.join(many, "word").withColumn("place", F.aggregate(rest, F.lit(0), step))
+    return met.where("place >= 0").select(
         "sent_key", "frame_id",
-        *_evidence("split", F.col("n") + SPLIT, F.col("w"), F.col("w") + F.col("p3") + 1),
+        *_evidence("split", F.col("n") + SPLIT, F.col("w"), F.col("w") + F.col("place") + 1),
     )
 
 

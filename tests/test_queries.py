@@ -84,3 +84,16 @@ def test_distances_of_a_long_path(spark):
     spark.createDataFrame([(1, k, k + 1) for k in range(20)], "grp int, a int, b int").createOrReplaceTempView("path_edges")
     got = sorted((r["node"], r["steps"]) for r in graph.distances(spark, "path_seeds", "path_edges").collect())
     assert got == [(k, k) for k in range(21)]
+
+
+def test_long_triggers_match(spark):
+    from anvaya.operators import lexicon
+
+    term = "a b c d e f g"
+    index = lexicon.trigger_index(spark, {"long": [term], "short": ["a b"]})
+    texts = {"whole": "x " + term, "split": "a x b c x x d e f g", "far": "a b c d e f x x x g"}
+    words = spark.createDataFrame([(k, n, t) for k, v in texts.items() for n, t in enumerate(v.split())], "sent_key string, w int, word string")
+    found = lambda df: sorted((r["sent_key"], r["start"], r["stop"]) for r in df.where("frame_id = 'long'").collect())
+    assert found(lexicon.ngram_matches(words, index)) == [("whole", 1, 8)]
+    assert found(lexicon.split_matches(words, index)) == [("split", 0, 10), ("whole", 1, 8)]
+    assert lexicon.ngram_matches(words, index.where("false")).count() == lexicon.split_matches(words, index.where("false")).count() == 0
