@@ -10,9 +10,10 @@ spanning forest, so a group of n near copies yields n links, not n squared.
 
 Defined results: a null text is an empty one; an empty text, or one of white
 space, has fingerprint zero and links like any other; repeated rows share their
-fingerprint and component; rows with a null doc_id follow their fingerprint's
-component and never name one (the component is null if nobody else is in it);
-an empty table gives an empty result; further columns are ignored.
+fingerprint and component, as do ties (equal fingerprints); a doc_id that several rows
+share names the component of each of them; rows with a null doc_id follow their
+fingerprint's component and never name one (the component is null if nobody else is in
+it); an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,20 +22,20 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anvaya.llm.common import (
-    binary_column, connected_components, sorted_slices, spanning_pairs, stage,
+    binary_column, connected_components, free_names, sorted_slices, spanning_pairs, stage,
 )
 
 SEED = 42
 SHINGLE_WORDS = 3
 RADIUS = 2
 TILE_ROWS = 8192
+RECENT = 500_000
 
 
 def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
@@ -58,17 +59,22 @@ def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(totals * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keep_hash: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long; with ``keep_hash`` also (text_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t) for t in binary_column(batch, 1)], dtype=np.uint64)
+            found = pa.array(fps.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"]
+                [batch.column(0), found, *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    columns, schema = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")], "doc_id long, fp long"
+    if keep_hash:
+        columns.append(F.xxhash64(F.col("text"), F.col("doc_id").isNull()).alias("text_hash"))
+        schema += ", text_hash long"
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 def cell_of(fp: str = "fp"):
@@ -161,21 +167,31 @@ def _links(sources: list, targets: list) -> pa.RecordBatch:
     )
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs``."""
-    marked = stage(fingerprints(docs), "simhash-fp")
+def components(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, group, component_id) for the fingerprints of ``marked`` (doc_id, fp).
+
+    ``group`` names the component by one of its fingerprints, ``component_id`` by its
+    smallest doc_id, null where no row of it has one.
+    """
     distinct = stage(
-        marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")),
-        "simhash-distinct",
+        marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct"
     )
     found = connected_components(
-        tile_links(distinct.where("rep is not null").select("rep", "fp"), radius), "simhash"
+        tile_links(distinct.select(F.col("fp").alias("rep"), "fp"), radius), "simhash"
     )
-    classes = (
-        distinct.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("fp", F.coalesce("component", "rep").alias("component_id"))
+    grouped = stage(
+        distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+        .select("fp", "least", F.coalesce("component", "fp").alias("group")),
+        "simhash-groups",
     )
-    return marked.join(classes, "fp").select(
+    named = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    return grouped.select("fp", "group").join(named, "group")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs``."""
+    marked = stage(fingerprints(docs), "simhash-fp")
+    return marked.join(components(marked, radius), "fp").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
@@ -183,30 +199,59 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest doc_id.
+    """``docs`` with one row of each group of linked fingerprints: that of the smallest doc_id.
 
-    Rows that share the kept doc_id are copies or near copies; one of them stays. Rows
-    without a doc_id stay only where nobody in their group has one.
+    Groups are told apart by fingerprint, so rows with one doc_id and different texts stand
+    for themselves. Of rows with one doc_id that are linked, the one of least text hash
+    stays; of wholly repeated rows one. A row without a doc_id stays only where nobody in
+    its group has one. What stays is decided on (doc_id, fingerprint, text hash) rows;
+    texts are shuffled once.
     """
-    found = near_duplicates(docs, radius)
-    named = found.where("doc_id is not null and doc_id = component_id").select(
-        F.col("doc_id").alias("_kept")
-    ).distinct()
-    nameless = docs.where("doc_id is null").limit(1)
-    kept = docs.join(named, docs["doc_id"] == named["_kept"], "left_semi")
-    kept = kept.dropDuplicates(["doc_id"])
-    if not nameless.isEmpty():
-        orphans = found.where("component_id is null").select("fingerprint").distinct()
-        rows = docs.where("doc_id is null")
-
-        @F.pandas_udf("string")
-        def marks(texts: pd.Series) -> pd.Series:
-            encoded = (None if t is None else t.encode("utf-8", "surrogatepass") for t in texts)
-            return pd.Series([f"{fingerprint(t):016x}" for t in encoded], dtype=object)
-
-        marked = rows.withColumn("_fp", marks("text"))
-        kept = kept.unionByName(
-            marked.join(orphans, marked["_fp"] == orphans["fingerprint"], "left_semi")
-            .dropDuplicates(["_fp"]).drop("_fp")
-        )
-    return kept.select(*docs.columns)
+    identity, text_hash = free_names(docs, "identity", "text_hash")
+    # A null id and the number that stands for it have different hashes.
+    keys = [
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(identity),
+        F.xxhash64(F.col("text"), F.col("doc_id").isNull()).alias(text_hash),
+    ]
+    marked = stage(fingerprints(docs, keep_hash=True), "simhash-fp")
+    classes = components(marked, radius)
+    chosen = stage(
+        marked.join(classes, "fp").groupBy("group").agg(
+            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one")
+        ).select(
+            F.coalesce("one.doc_id", F.lit(0)).alias("c_identity"), F.col("one.text_hash").alias("c_hash")
+        ),
+        "simhash-chosen",
+    )
+    repeated = not (
+        marked.groupBy(F.coalesce("doc_id", F.lit(0)), "text_hash").agg(F.count("*").alias("n"))
+        .where("n > 1").isEmpty()
+    )
+    rows = docs.select("*", *keys)
+    if repeated:  # copies of a row meet once a task before the shuffle
+        rows = once_a_task(rows, identity, text_hash)
+    kept = rows.join(
+        chosen, (rows[identity] == chosen["c_identity"]) & (rows[text_hash] == chosen["c_hash"]), "left_semi"
+    )
+    if repeated:
+        kept = kept.dropDuplicates([identity, text_hash])
+    return kept.drop(identity, text_hash)
+
+
+def once_a_task(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` without those whose keys the same task has seen among its recent ones."""
+    places = [rows.columns.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for batch in batches:
+            fresh = []
+            for n, key in enumerate(zip(*(batch.column(k).to_pylist() for k in places))):
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(n)
+            if len(seen) > RECENT:
+                seen.clear()
+            yield batch.take(pa.array(fresh, pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema)
