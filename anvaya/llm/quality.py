@@ -14,11 +14,11 @@ whose rate does not differ between grades by ``SCREEN`` standard errors, has
 weight zero, so that chance words of long texts decide nothing.
 
 The fit uses at most about ``fit_rows`` rated documents, chosen by the hash of
-doc_id; only their feature numbers reach the driver. Every document is scored,
-whole.
+doc_id, at most twice as many if rows share an id; only their feature numbers reach
+the driver. Every document is scored, whole.
 
 Defined results: a null or text without a word has only its bands and is scored
-like any other; ratings with a null quality and a toxic value other than 1 are
+like any other; a tail probability of exactly ``KEEP_AT`` keeps a text; ratings with a null quality and a toxic value other than 1 are
 left out; a document with several ratings counts once for each; repeated rows repeat their
 result; without ratings every text has tail probabilities 1 and is kept; an
 empty table gives an empty result; further columns are ignored.
@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anvaya.llm.common import free_names
+
 FIT_ROWS = 8000
 BINS = 1 << 18
 OPENINGS = (4, 5)
@@ -113,46 +115,64 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def screen(index: np.ndarray, owner: np.ndarray, grades: np.ndarray, bins: int) -> np.ndarray:
+def screen(index: np.ndarray, owner: np.ndarray, grades: np.ndarray, weight: np.ndarray, bins: int) -> np.ndarray:
     """Features whose rate differs between grades beyond chance."""
-    seen = np.bincount(index, minlength=bins)
+    seen = np.bincount(index, weights=weight[owner], minlength=bins)
+    total = weight.sum()
     strong = np.zeros(bins, dtype=bool)
     for cut in (grades == 0, grades == 1, grades == 2):
-        rate = cut.mean()
+        rate = (cut * weight).sum() / total
         if 0 < rate < 1:
-            excess = np.bincount(index, weights=(cut - rate)[owner], minlength=bins)
+            excess = np.bincount(index, weights=((cut - rate) * weight)[owner], minlength=bins)
             spread = np.sqrt(np.maximum(seen, 1) * rate * (1 - rate))
             strong |= np.abs(excess) >= SCREEN * spread
-    return strong & (seen >= min(LEAST_TEXTS, max(1, len(grades) // 50)))
+    return strong & (seen >= min(LEAST_TEXTS, max(1, total // 50)))
+
+
+def slopes(x: np.ndarray, grades: np.ndarray, theta: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of the loss, the sum of -share * log P(grade): by each x, by each threshold, and itself.
 
+    P(grade = k) = logistic(theta_k - x) - logistic(theta_(k-1) - x).
+    """
+    upper = np.where(grades == 2, 1.0, _logistic(theta[np.minimum(grades, 1)] - x))
+    lower = np.where(grades == 0, 0.0, _logistic(theta[np.maximum(grades - 1, 0)] - x))
+    p = np.maximum(upper - lower, 1e-9)
+    up, down = share * upper * (1 - upper) / p, share * lower * (1 - lower) / p
+    by_theta = np.array([
+        down[grades == 1].sum() - up[grades == 0].sum(),
+        down[grades == 2].sum() - up[grades == 1].sum(),
+    ])
+    return up - down, by_theta, float(-(share * np.log(p)).sum())
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, bins: int, rounds: int = ROUNDS) -> Model:
-    """Penalised maximum likelihood of the cumulative-link model, by adaptive gradient steps."""
+
+def fit(
+    rows: list[np.ndarray], grades: np.ndarray, bins: int, rounds: int = ROUNDS,
+    weight: np.ndarray | None = None,
+) -> Model:
+    """Penalised maximum likelihood of the cumulative-link model, by adaptive gradient steps.
+
+    ``weight`` says how often each rated text counts.
+    """
     weights = np.zeros(bins)
-    n = len(grades)
-    if not n:
+    if not len(grades):
         return Model(weights.astype(np.float32), (-40.0, -40.0), SCALE)
-    present = np.bincount(grades, minlength=3)
+    weight = np.ones(len(grades)) if weight is None else weight.astype(float)
+    n = weight.sum()
+    present = np.bincount(grades, weights=weight, minlength=3)
     low = np.clip(present[0] / n, 0.5 / n, 0.5)
     mid = np.clip((present[0] + present[1]) / n, low + 0.25 / n, 1 - 0.25 / n)
     theta = np.log([low / (1 - low), mid / (1 - mid)])
     index = np.concatenate(rows)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    kept = screen(index, owner, grades, bins)[index]
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    kept = screen(index, owner, grades, weight, bins)[index]
     index, owner = index[kept], owner[kept]
-    share = np.sqrt(n / (3 * np.maximum(1, present)))[grades]
+    share = weight * np.sqrt(n / (3 * np.maximum(1, present)))[grades]
     square, theta_square = np.full(bins, 1e-10), np.full(2, 1e-10)
     for step in range(rounds):
-        x = np.bincount(owner, weights=weights[index], minlength=n) * SCALE
-        upper = np.where(grades == 2, 1.0, _logistic(theta[np.minimum(grades, 1)] - x))
-        lower = np.where(grades == 0, 0.0, _logistic(theta[np.maximum(grades - 1, 0)] - x))
-        p = np.maximum(upper - lower, 1e-9)
-        up, down = share * upper * (1 - upper) / p, share * lower * (1 - lower) / p
-        by_theta = np.array([
-            down[grades == 1].sum() - up[grades == 0].sum(),
-            down[grades == 2].sum() - up[grades == 1].sum(),
-        ]) / n
-        gradient = np.bincount(index, weights=(up - down)[owner], minlength=bins) * SCALE / n
+        x = np.bincount(owner, weights=weights[index], minlength=len(rows)) * SCALE
+        by_x, by_theta, _ = slopes(x, grades, theta, share)
+        by_theta /= n
+        gradient = np.bincount(index, weights=by_x[owner], minlength=bins) * SCALE / n
         gradient += 1e-5 * weights
         square += gradient**2
         theta_square += by_theta**2
@@ -174,15 +194,15 @@ def train(
     docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, bins: int = BINS
 ) -> Model:
     """The model of a bounded sample of the rated documents."""
-    rated = labels.select(F.col("doc_id").cast("long"), grade_of().alias("grade")).where(
+    ratings = labels.select(F.col("doc_id").cast("long"), grade_of().cast("int").alias("grade")).where(
         "doc_id is not null and grade is not null"
-    )
-    total = rated.count()
+    ).groupBy("doc_id", "grade").agg(F.count("*").alias("times"))
+    total = ratings.agg(F.count_distinct("doc_id")).first()[0]
     share = min(1.0, fit_rows / max(1, total))
-    chosen = rated.where(
+    chosen = ratings.where(
         F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
     )
-    # The sample holds about fit_rows rows whatever the size of the tables.
+    # About fit_rows ids of at most three grades each, whatever the size of the tables.
     joined = docs.select(F.col("doc_id").cast("long"), "text").join(
         F.broadcast(chosen), "doc_id"
     )
@@ -192,22 +212,24 @@ def train(
         for batch in batches:
             found = [features.of(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("grade"),
-                 pa.array(found, pa.list_(pa.int32()))],
-                names=["doc_id", "grade", "features"],
+                [batch.column("doc_id"), batch.column("grade"), batch.column("times"),
+                 pa.array([np.sort(f) for f in found], pa.list_(pa.int32()))],
+                names=["doc_id", "grade", "times", "features"],
             )
 
-    rows = joined.select("doc_id", F.col("grade").cast("int"), "text").mapInArrow(
-        run, "doc_id long, grade int, features array<int>"
-    ).toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
+    # Rows that share an id may be many: equal ones are one with a weight, and of different
+    # ones the first 2 * fit_rows by hash are enough.
+    rows = joined.select("doc_id", "grade", "times", "text").mapInArrow(
+        run, "doc_id long, grade int, times long, features array<int>"
+    ).groupBy("doc_id", "grade", "features").agg(F.sum("times").alias("times")).orderBy(
+        F.xxhash64("doc_id", "grade", "features"), "doc_id", "grade"
+    ).limit(2 * fit_rows).toArrow()
     lists = [np.asarray(x.values, dtype=np.int32) for x in rows.column("features")]
-    grades = rows.column("grade").to_numpy()[order]
-    return fit([np.sort(lists[k]) for k in order], grades, bins)
+    return fit(lists, rows.column("grade").to_numpy(), bins, weight=rows.column("times").to_numpy())
 
 
-def score(docs: DataFrame, model: Model, bins: int = BINS, keep_at: float = KEEP_AT) -> DataFrame:
-    """``docs`` and the columns expected_grade, p_poor_up, p_good, keep."""
+def rated(docs: DataFrame, model: Model, name: str, bins: int = BINS, keep_at: float = KEEP_AT) -> DataFrame:
+    """``docs`` and a column ``name`` of (expected_grade, p_poor_up, p_good, keep)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # ``bins`` numbers
 
     @F.pandas_udf("expected_grade double, p_poor_up double, p_good double, keep boolean")
@@ -222,12 +244,17 @@ def score(docs: DataFrame, model: Model, bins: int = BINS, keep_at: float = KEEP
                 "keep": tail[1] >= keep_at,
             })
 
-    rated = docs.withColumn("_rated", rate("text"))
-    names = ("expected_grade", "p_poor_up", "p_good", "keep")
-    return rated.select(*docs.columns, *[F.col(f"_rated.{n}").alias(n) for n in names])
+    return docs.withColumn(name, rate("text"))
+
+
+def keep_good(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model keeps; no column of theirs is touched."""
+    (name,) = free_names(docs, "rated")
+    return rated(docs, model, name).where(F.col(name)["keep"]).drop(name)
 
 
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, expected_grade, p_poor_up, p_good, keep) of every row of ``docs``."""
     model = train(docs, labels, fit_rows)
-    return score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rated(rows, model, "rated").select("doc_id", "rated.*")
