@@ -1,19 +1,19 @@
 """Pattern packing of token sequences by non-negative least squares.
 
 Texts are tokenised once, in the executors; only (doc_id, piece, length) rows
-travel. The lengths form a histogram of at most ``max_len`` bins, which is all
-that reaches the driver. Patterns of two to three lengths that fill a sequence
-exactly are enumerated on a coarse grid, their repeat counts are fitted to the
-histogram by non-negative least squares and rounded down, and what is left is
-packed by best fit over the exact histogram. The plan is a table of (length,
-range of ranks, sequence, offset) whose size depends on ``max_len`` alone, so
-it may be broadcast. Every piece finds its place by its rank among the pieces
-of its length; ranks come from salted counts, so no length, however common,
-meets in one task.
+travel. Full pieces are sequences of their own. The lengths of the others form a
+histogram of under ``max_len`` bins, which is all that reaches the driver. Patterns of
+two to three lengths that fill a sequence exactly are enumerated on a coarse grid, their
+repeat counts are fitted to the histogram by non-negative least squares, to convergence
+whatever the size of the histogram, and rounded down, and what is left is packed by best
+fit over the exact histogram. The plan is a table of (length, range of ranks, sequence,
+offset) whose size depends on ``max_len`` alone, so it may be broadcast. Every piece finds
+its place by its rank among the pieces of its length; ranks come from counts of as many
+salted groups as a length needs, so no length, however common, meets in one task.
 
 Defined results: a null text is an empty one and yields the single end token;
 a text of n ids (end token included) yields ceil(n / max_len) pieces; repeated
-rows are packed each on their own; an empty table gives an empty result;
+rows are packed each on their own, as are ties in length, in any order; an empty table gives an empty result;
 further columns are ignored.
 """
 
@@ -34,7 +34,7 @@ from anvaya.llm.common import stage
 
 MAX_LEN = 4096
 END_ID = 1
-SALTS = 64
+SALT_ROWS, MOST_SALTS = 1000, 200_000
 GRID = 96
 CACHE_ENTRIES = 300_000
 #: How the public vocabulary file splits a lower-cased text.
@@ -66,9 +66,10 @@ class WordTokenizer:
             "word", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={}
         )
         self._pieces = regex.compile(PIECES)
-        self._odd = regex.compile("[\x1c-\x1f]")
         self._whole = Tokenizer.from_file(path)
-        self._whole.encode_special_tokens = True
+        # White space here, but not to the vocabulary; and strings that are one id wherever they stand.
+        self._odd = regex.compile("[\x1c-\x1f]")
+        self._added = [token.content.lower() for token in self._whole.get_added_tokens_decoder().values()]
         self._cache: dict[str, bytes] = {}
 
     @staticmethod
@@ -82,20 +83,30 @@ class WordTokenizer:
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if self._odd.search(text):  # white space here, but not to the vocabulary
-            found = self._whole.encode(text, add_special_tokens=False).ids
-            return np.array(found, dtype="<u4").tobytes()
+        low = text.lower()
+        if self._odd.search(text) or any(token in low for token in self._added):
+            return self._by_library(text)
         if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        chunks = text.replace("Σ", "σ").lower().split()
+            low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        elif "Σ" in text:
+            low = text.replace("Σ", "σ").lower()
+        chunks = low.split()
         cache = self._cache
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
         for chunk in set(chunks).difference(cache):
+            if not chunk.isascii() and any(unicodedata.category(c) == "Cn" for c in chunk):
+                # Letters that this Unicode table does not know yet, but another may.
+                cache[chunk] = self._by_library(chunk)
+                continue
             words = " ".join(self._pieces.findall(chunk)) + " "
             cache[chunk] = np.array(self._bpe.encode_ordinary(words), dtype="<u4").tobytes()
         return b"".join(map(cache.__getitem__, chunks))
 
+    def _by_library(self, text: str) -> bytes:
+        found = self._whole.encode(text, add_special_tokens=False).ids
+        return np.array(found, dtype="<u4").tobytes()
+
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
@@ -131,20 +142,26 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN) -> Data
     )
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Non-negative least squares by the active-set method, with normal equations."""
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Non-negative least squares by the active-set method, with normal equations.
+
+    Goes on until no variable at zero would lower the residual, that is, until it has
+    converged: every round lowers it, so no set of active variables comes twice.
+    """
     gram, target = a.T @ a, a.T @ b
     n = a.shape[1]
     x = np.zeros(n)
     active = np.zeros(n, dtype=bool)
     tolerance = 1e-9 * max(1.0, float(np.abs(target).max(initial=0.0)))
-    for _ in range(rounds):
-        gradient = np.where(active, -np.inf, target - gram @ x)
+    barred = np.zeros(n, dtype=bool)  # entered and left again without lowering the residual
+    least = float(b @ b)
+    while True:
+        gradient = np.where(active | barred, -np.inf, target - gram @ x)
         best = int(np.argmax(gradient))
         if gradient[best] <= tolerance:
-            break
+            return x
         active[best] = True
-        while True:
+        while active.any():
             at = np.flatnonzero(active)
             solved = np.linalg.lstsq(gram[np.ix_(at, at)], target[at], rcond=None)[0]
             if (solved > 0).all():
@@ -159,9 +176,12 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
                 drop = at[low][:1]
             x[drop] = 0
             active[drop] = False
-            if not active.any():
-                break
-    return x
+        residual = float(np.sum((a @ x - b) ** 2))
+        if residual < least * (1 - 1e-12):
+            least = residual
+            barred[:] = False
+        else:
+            barred[best] = True
 
 
 def patterns(grid: int) -> list[tuple[int, ...]]:
@@ -178,7 +198,8 @@ def plan(histogram: dict[int, int], max_len: int = MAX_LEN, grid: int = GRID) ->
     """Places for all pieces: (length, first, last, sequence, offset).
 
     Ranks first to last - 1 of a length go to sequences ``sequence``,
-    ``sequence`` + 1 and so on, at ``offset`` in each.
+    ``sequence`` + 1 and so on, at ``offset`` in each. Full pieces fill a sequence each and
+    have no place here.
     """
     left = np.zeros(max_len + 1, dtype=np.int64)
     for length, count in histogram.items():
@@ -197,14 +218,11 @@ def plan(histogram: dict[int, int], max_len: int = MAX_LEN, grid: int = GRID) ->
             offset += length
         sequence += count
 
-    if left[max_len]:
-        place([max_len], int(left[max_len]))
-
-    def best_fit(room: int, depth: int) -> list[int]:
+    def best_fit(room: int) -> list[int]:
         """Lengths that fill ``room`` best: the longest that fits, again and again."""
         chosen: list[int] = []
         taken: dict[int, int] = {}
-        while room > 0 and len(chosen) < depth:
+        while room > 0:
             fits = np.flatnonzero(left[1 : room + 1] > 0) + 1
             at = len(fits) - 1
             while at >= 0 and left[fits[at]] <= taken.get(int(fits[at]), 0):
@@ -222,7 +240,7 @@ def plan(histogram: dict[int, int], max_len: int = MAX_LEN, grid: int = GRID) ->
     share = np.ceil(np.arange(max_len + 1) * grid / max_len).astype(int)
     coarse = np.bincount(share[1:], weights=left[1:], minlength=grid + 1)[1:grid]
     shapes = patterns(grid)
-    if coarse.sum() >= 4 * grid:
+    if coarse.any():
         a = np.zeros((grid - 1, len(shapes)))
         for j, shape in enumerate(shapes):
             for part in shape:
@@ -249,7 +267,7 @@ def plan(histogram: dict[int, int], max_len: int = MAX_LEN, grid: int = GRID) ->
                 # Rounding up leaves a little room; short pieces may fill it.
                 for length in chosen:
                     left[length] -= 1
-                extra = best_fit(spare, 4)
+                extra = best_fit(spare)
                 for length in chosen:
                     left[length] += 1
                 chosen += extra
@@ -260,7 +278,7 @@ def plan(histogram: dict[int, int], max_len: int = MAX_LEN, grid: int = GRID) ->
     for length in range(max_len - 1, 0, -1):
         while left[length] > 0:
             left[length] -= 1
-            rest = best_fit(max_len - length, max_len)
+            rest = best_fit(max_len - length)
             left[length] += 1
             chosen = [length, *rest]
             count = min(int(left[n]) // chosen.count(n) for n in chosen)
@@ -269,33 +287,48 @@ def plan(histogram: dict[int, int], max_len: int = MAX_LEN, grid: int = GRID) ->
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, salts: int = SALTS
+    docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, salt_rows: int = SALT_ROWS
 ) -> DataFrame:
-    """Pieces of all documents with their sequence and offset."""
+    """Pieces of all documents with their sequence and offset.
+
+    ``salt_rows``: about so many pieces of one length are ranked together, more only where
+    there would be over ``MOST_SALTS`` groups.
+    """
     from pyspark.sql import Window
 
-    cut = stage(pieces(docs, tokenizer_path, max_len), "packing-pieces").withColumn(
-        "salt", F.pmod(F.hash("doc_id", "piece", "ids_crc32"), F.lit(salts))
+    cut = stage(
+        pieces(docs, tokenizer_path, max_len).withColumn("uid", F.monotonically_increasing_id()), "packing-pieces"
     )
-    counts = stage(cut.groupBy("length", "salt").agg(F.count("*").alias("n")), "packing-counts")
     histogram = {  # at most max_len rows
         r["length"]: r["n"]
-        for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()
+        for r in cut.where(F.col("length") < max_len).groupBy("length").agg(F.count("*").alias("n")).collect()
     }
     spark = docs.sparkSession
     places = plan(histogram, max_len)
-    before = counts.withColumn(
+    salt_rows = max(salt_rows, -(-sum(histogram.values()) // MOST_SALTS))
+    salts = spark.createDataFrame(
+        [(length, -(-n // salt_rows)) for length, n in histogram.items()], "length long, salts long"
+    )
+    salted = (
+        cut.where(F.col("length") < max_len).join(F.broadcast(salts), "length")  # at most max_len rows
+        .withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("salts"))).drop("salts")
+    )
+    before = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).withColumn(
         "before",
         F.coalesce(F.sum("n").over(
             Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
         ), F.lit(0)),
     ).select("length", "salt", "before")
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "salt").orderBy("uid")
     ranked = (
-        cut.withColumn("own", F.row_number().over(own) - 1)
-        .join(F.broadcast(before), ["length", "salt"])  # at most max_len * salts rows
+        salted.withColumn("own", F.row_number().over(own) - 1)
+        .join(F.broadcast(before), ["length", "salt"])  # at most MOST_SALTS + max_len rows
         .withColumn("rank", F.col("before") + F.col("own"))
-        .drop("before", "own", "salt")
+        .drop("before", "own", "salt", "uid")
+    )
+    full = cut.where(F.col("length") == max_len).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("uid")).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"),
     )
     by_length = {
         int(length): tuple(part[c].to_numpy() for c in ("first", "sequence", "offset"))
@@ -328,4 +361,4 @@ def pack(
         assign,
         "doc_id long, piece int, start long, length long, ids_crc32 long,"
         " sequence_id long, offset long",
-    )
+    ).unionByName(full)
