@@ -11,7 +11,8 @@ it ends is told by its lengths. Decoded bytes are scanned in the same way.
 
 Defined results: a null or empty text has no spans (the digest is that of the
 empty string); texts are scanned whole whatever their length; spans of
-different kinds may overlap, spans of one kind never do; repeated rows repeat
+different kinds may overlap, spans of one kind never do; ties in start go by kind in the
+order of ``ORDER``; repeated rows repeat
 their result; an empty table gives an empty result; further columns are
 ignored.
 """
@@ -60,7 +61,10 @@ DER_START = re.compile(
     re.DOTALL,
 )
 BOX = b"openssh-key-v1\0"
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: Parts of a signed token, joined by dots, and how an object starts at each offset of base64.
+DOTTED = re.compile(r"[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,}+")
+OBJECT_START = re.compile(rb"[\x20\t\r\n]*+(\{)[\x20\t\r\n]*+\"")
+_JSON = json.JSONDecoder()
 
 Span = tuple[str, int, int]
 
@@ -166,21 +170,72 @@ def is_key(data: bytes | None) -> bool:
     return data is not None and len(data) >= 24 and (der_key(data) or boxed_key(data))
 
 
-def is_signed_token(text: str) -> bool:
-    """Header and payload are JSON objects, the header names an algorithm, the signature decodes."""
-    header, payload, signature = text.split(".")
+def _object(data: bytes | None) -> dict | None:
+    """The JSON object that the bytes are, white space around it aside."""
     try:
-        first, second = (json.loads(decode64(x) or b"") for x in (header, payload))
+        found = json.loads(data or b"")
     except (ValueError, RecursionError):
-        return False
-    if not isinstance(first, dict) or not isinstance(second, dict):
-        return False
-    algorithm = first.get("alg")
-    if not isinstance(algorithm, str):
-        return False
-    if algorithm.lower() == "none":
-        return True
-    return len(decode64(signature) or b"") >= 16
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def header_start(part: str) -> int:
+    """Where in the last characters of a token's first part its header starts, -1 if nowhere.
+
+    The header is a JSON object that ends with the part and names an algorithm. Other
+    characters may be glued in front, so it is looked for at each offset of base64.
+    """
+    plain = part.replace("-", "+").replace("_", "/")
+    for first in range(min(4, len(part))):
+        body = plain[first:]
+        if len(body) % 4 == 1:
+            continue
+        data = base64.b64decode(body + "=" * (-len(body) % 4))
+        # The last object that reaches the end: of nested ones only the outermost is a header.
+        tail = data.rstrip(b" \t\r\n")
+        if not tail.endswith(b"}"):
+            continue
+        # Bytes 0, 3, 6 ... begin a character, and a header begins with one.
+        for m in OBJECT_START.finditer(tail):
+            start = -(-m.start() // 3) * 3
+            if start > m.start(1):
+                continue
+            try:
+                text = tail[m.start(1) :].decode()
+                found, end = _JSON.raw_decode(text)
+            except (ValueError, RecursionError):
+                continue
+            if end == len(text) and isinstance(found, dict) and isinstance(found.get("alg"), str):
+                return first + start // 3 * 4
+    return -1
+
+
+def signed_tokens(text: str) -> list[Span]:
+    """Signed tokens: header and payload are JSON objects, the header names an algorithm, the signature decodes."""
+    found: list[Span] = []
+    for m in DOTTED.finditer(text):
+        parts = m[0].split(".")
+        at = m.start()
+        skip = 0  # parts that a token has used
+        for k in range(len(parts) - 2):
+            head, payload, signature = parts[k : k + 3]
+            if not skip and head and payload and _object(decode64(payload)) is not None:
+                start = header_start(head)
+                if start >= 0 and _signed(head[start:], signature):
+                    found.append(("jwt", at + start, at + len(head) + len(payload) + len(signature) + 2))
+                    skip = 3
+            skip = max(0, skip - 1)
+            at += len(head) + 1
+    return found
+
+
+def _signed(head: str, signature: str) -> bool:
+    algorithm = (_object(decode64(head)) or {}).get("alg")
+    return isinstance(algorithm, str) and (algorithm.lower() == "none" or len(decode64(signature) or b"") >= 16)
+
+
+def is_signed_token(text: str) -> bool:
+    return any(a == 0 and b == len(text) for _, a, b in signed_tokens(text))
 
 
 def base_spans(text: str) -> list[Span]:
@@ -265,6 +320,7 @@ def run_spans(body: str) -> list[Span]:
 def added_spans(text: str) -> list[Span]:
     """Spans that decode and parse as keys or signed tokens."""
     blocks = armour_spans(text) if "-----BEGIN" in text else []
+    block_ends = [end for _, end in blocks]
     found: list[Span] = []
     for m in CHAIN.finditer(text):
         if m.end() - m.start() < LEAST_RUN:
@@ -285,15 +341,20 @@ def added_spans(text: str) -> list[Span]:
             a, b = (bisect.bisect_right(in_body, k) - 1 for k in (start, end - 1))
             start, end = in_text[a] + start - in_body[a], in_text[b] + end - in_body[b]
             end += len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
-            if not any(start < y and x < end for x, y in blocks):
+            # Blocks do not overlap, so that only the one that ends next may be in the way.
+            n = bisect.bisect_right(block_ends, start)
+            if n == len(blocks) or blocks[n][0] >= end:
                 found.append((kind, start, end))
-    if "eyJ" in text:
-        for m in TOKEN.finditer(text):
-            if is_signed_token(m[0]):
-                found.append(("jwt", m.start(), m.end()))
+    if "." in text:
+        found += signed_tokens(text)
     return [("armour", *block) for block in blocks] + _united(found)
 
 
+def scan_text(text: str) -> tuple[list[Span], list[Span]]:
+    """The base and the added spans of a text."""
+    return base_spans(text), added_spans(text)
+
+
 def _united(spans: list[Span]) -> list[Span]:
     """Overlapping spans of one kind as one."""
     out: list[Span] = []
@@ -324,8 +385,7 @@ def scan(docs: DataFrame) -> DataFrame:
             digests, spans = [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
-                base = base_spans(text)
-                added = added_spans(text)
+                base, added = scan_text(text)
                 kinds = [kind for kind, _, _ in base]
                 counts.append((*(kinds.count(k) for k in BASE_KINDS), len(added)))
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
