@@ -5,8 +5,8 @@ kept. All but the last return the columns of ``documents``.
 
 - quality: documents that the ordinal classifier does not rate good go.
 - simhash: of each group of near-duplicates the smallest doc_id stays.
-- decontamination: documents with at least a twentieth of their words in
-  benchmark windows go.
+- decontamination: documents that hold a whole window of 13 words of the benchmark
+  go, however long they are, as do those with a twentieth of their words in shorter items.
 - secrets: secrets are masked in the text and n_chars is set anew; no document goes.
 - packing: the texts as token pieces with their place in a sequence.
 """
@@ -29,7 +29,7 @@ ORACLE_SQL = None
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("keep").select(*docs.columns)
+    return quality.keep_good(docs, model)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = secrets.redact(docs)
-    return masked.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
