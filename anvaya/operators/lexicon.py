@@ -1,13 +1,13 @@
 """Lexicon-driven candidates: retrieval, evidence, plausibility, competition, selection.
 
 A trigger index is a small table (frame_id, term array<string>). Sentences come
-as word tables (sent_key, w, word). Every match is an equi-join on words; a
-lexicon is broadcast only if the engine finds it small.
+as rows with all their words (sent_key, toks). Words meet the index once, in one
+equi-join; a lexicon is broadcast only if the engine finds it small.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,99 +49,81 @@ def trigger_index(spark: SparkSession, triggers: dict[str, Sequence[str]]) -> Da
     )
 
 
-def _evidence(source: str, weight: Column | int, start: Column, stop: Column) -> list[Column]:
-    return [
-        F.lit(source).alias("source"), F.lit(weight).cast("int").alias("weight")
-        if isinstance(weight, int) else weight.cast("int").alias("weight"),
-        start.cast("int").alias("start"), stop.cast("int").alias("stop"),
-    ]
-
-
-def single_matches(words: DataFrame, index: DataFrame) -> DataFrame:
-    one = index.where("n = 1").select("frame_id", F.col("head").alias("word"))
-    return words.join(one, "word").select(
-        "sent_key", "frame_id", *_evidence("single", SINGLE, F.col("w"), F.col("w") + 1)
-    )
-
-
-def prefix_matches(words: DataFrame, index: DataFrame, closed: Sequence[str]) -> DataFrame:
-    """A content word of two letters or more right before a trigger, or before a multiword's last word."""
-    w = Window.partitionBy("sent_key").orderBy("w")
-    before = F.lag("word").over(w)
-    led = words.withColumn("before", before).where(
-        (F.char_length("before") > 1) & ~F.col("before").isin(list(closed))
-    )
-    span = F.col("w") - 1, F.col("w") + 1
-    one = index.where("n = 1").select("frame_id", F.col("head").alias("word"))
-    many = index.where("n > 1").select("frame_id", F.col("tail").alias("word")).distinct()
-    singles = led.join(one, "word").select(
-        "sent_key", "frame_id", *_evidence("single_prefix", PREFIX, *span)
-    )
-    multi = led.join(many, "word").join(one, ["word", "frame_id"], "left_anti").select(
-        "sent_key", "frame_id", *_evidence("multiword_prefix", PREFIX, *span)
+def _found(source: str, weight: Column | int, start: Column, items: Column) -> Column:
+    return F.struct(
+        F.lit(source).alias("source"), (F.lit(weight) if isinstance(weight, int) else weight).cast("int").alias("weight"),
+        start.cast("int").alias("start"), (start + F.size(items)).cast("int").alias("stop"), items.alias("items"),
     )
-    return singles.unionByName(multi)
 
 
-def _longest(index: DataFrame) -> int:
-    """Words of the longest trigger."""
-    return index.agg(F.max("n")).first()[0] or 0
+def evidence(arrays: DataFrame, index: DataFrame, closed: Sequence[str] = (), gap: int = MAX_GAP) -> DataFrame:
+    """All evidence rows (sent_key, frame_id, source, weight, start, stop, items).
 
+    ``arrays`` has (sent_key, toks), a sentence a row. Each word is taken once, with the
+    word before and as many after as the longest trigger may reach, and meets the index
+    once: as the first word of a trigger, or as the last of a multiword one. ``items``
+    are the words of the span as written. The sources:
 
-def ngram_matches(words: DataFrame, index: DataFrame) -> DataFrame:
-    """Contiguous occurrences of multiword triggers, by joining n-grams of every length needed."""
-    w = Window.partitionBy("sent_key").orderBy("w")
-    ahead = words.withColumn("ahead", F.array_compact(F.array(*[
-        F.lead("word", k).over(w) for k in range(max(_longest(index), 1))
-    ])))
-    many = index.where("n > 1").select(
-        "frame_id", "n", F.col("head").alias("word"), "term"
-    )
-    return ahead.join(many, "word").where(F.slice("ahead", F.lit(1), F.col("n")) == F.col("term")).select(
-        "sent_key", "frame_id",
-        *_evidence("n_gram", F.col("n") + NGRAM, F.col("w"), F.col("w") + F.col("n")),
-    )
-
-
-def split_matches(words: DataFrame, index: DataFrame, gap: int = MAX_GAP) -> DataFrame:
-    """Multiword triggers whose words follow in order, each within ``gap`` words of the last.
-
-    Words come one after the other, always the nearest next one, by looking
-    ahead in a bounded array; nothing is joined with itself.
+    - single: a one-word trigger; single_prefix: with a content word of two letters or
+      more right before it; multiword_prefix: such a word before the last word of a
+      multiword trigger of a frame that has no one-word trigger like it.
+    - n_gram: a multiword trigger as it stands; split: its words in order, each the
+      nearest next one within ``gap`` words of the last.
     """
-    w = Window.partitionBy("sent_key").orderBy("w")
     reach = 1 + gap * max(_longest(index) - 1, 0)
-    ahead = words.withColumn("ahead", F.array(*[F.lead("word", k).over(w) for k in range(reach + 1)]))
-    many = index.where("n > 1").select("frame_id", "n", F.col("head").alias("word"), "term")
+    spread = arrays.select("sent_key", F.posexplode(F.transform("toks", lambda t, k: F.struct(
+        F.when(k > 0, F.get("toks", k - 1)).alias("before"), F.slice("toks", k + 1, F.lit(reach)).alias("ahead"),
+    ))).alias("w", "at")).select("sent_key", "w", "at.before", "at.ahead").withColumn("word", F.lower(F.get("ahead", F.lit(0))))
+    one = index.where("n = 1").select("frame_id", F.col("head").alias("word"))
+    tails = index.where("n > 1").select("frame_id", F.col("tail").alias("word")).distinct().join(one, ["frame_id", "word"], "left_anti")
+    keys = index.select("frame_id", F.col("head").alias("word"), "n", "term").unionByName(
+        tails.select("frame_id", "word", F.lit(0).alias("n"), F.lit(None).cast("array<string>").alias("term"))
+    )
+    met = spread.join(keys, "word")
+
+    low = F.transform("ahead", F.lower)
+    led = F.coalesce((F.char_length("before") > 1) & ~F.lower("before").isin(list(closed)), F.lit(False))
+    pair = F.array(F.col("before"), F.get("ahead", F.lit(0)))
 
     def step(at: Column, part: Column) -> Column:
         """Place of the next word after place ``at``, or -1."""
-        found = F.array_position(F.slice(F.col("ahead"), at + 2, F.lit(gap)), part)
-        return F.when(at < 0, at).when(F.coalesce(found, F.lit(0)) > 0, at + found.cast("int")).otherwise(F.lit(-1))
-
-    rest = F.slice("term", F.lit(2), F.col("n") - 1)
-    met = ahead.join(many, "word").withColumn("place", F.aggregate(rest, F.lit(0), step))
-    return met.where("place >= 0").select(
-        "sent_key", "frame_id",
-        *_evidence("split", F.col("n") + SPLIT, F.col("w"), F.col("w") + F.col("place") + 1),
-    )
+        found = F.array_position(F.slice(F.col("low"), at + 2, F.lit(gap)), part)
+        return F.when(at < 0, at).when(found > 0, at + found.cast("int")).otherwise(F.lit(-1))
+
+    rest = F.slice("term", F.lit(2), F.greatest(F.col("n") - 1, F.lit(0)))
+    w, n, several = F.col("w"), F.col("n"), F.col("n") > 1
+    whole = several & (F.slice("low", F.lit(1), F.greatest(n, F.lit(1))) == F.col("term"))
+    place = F.when(several, F.aggregate(rest, F.lit(0), step)).otherwise(F.lit(-1))
+    found = met.withColumn("low", low).withColumn("place", place).select("sent_key", "frame_id", F.explode(F.array_compact(F.array(
+        F.when(n == 1, _found("single", SINGLE, w, F.slice("ahead", 1, 1))),
+        F.when((n == 1) & led, _found("single_prefix", PREFIX, w - 1, pair)),
+        F.when((n == 0) & led, _found("multiword_prefix", PREFIX, w - 1, pair)),
+        F.when(whole, _found("n_gram", n + NGRAM, w, F.slice("ahead", F.lit(1), F.greatest(n, F.lit(1))))),
+        F.when(F.col("place") >= 0, _found("split", n + SPLIT, w, F.slice("ahead", F.lit(1), F.col("place") + 1))),
+    ))).alias("e"))
+    return found.select("sent_key", "frame_id", "e.*")
 
 
-def evidence(words: DataFrame, index: DataFrame, closed: Sequence[str] = ()) -> DataFrame:
-    """All evidence rows (sent_key, frame_id, source, weight, start, stop)."""
-    out = single_matches(words, index)
-    for more in (prefix_matches(words, index, closed), ngram_matches(words, index), split_matches(words, index)):
-        out = out.unionByName(more)
-    return out
+def _longest(index: DataFrame) -> int:
+    """Words of the longest trigger."""
+    return index.agg(F.max("n")).first()[0] or 0
 
 
 def candidates(found: DataFrame, top_k: int = 6) -> DataFrame:
-    """The best frames of each sentence by (score, hits, frame), all descending."""
+    """The best frames of each sentence by (score, hits, frame), all descending, with their best evidence.
+
+    The best evidence is that of highest quality; longer spans help; ties go to the first.
+    """
+    quality = F.round(_quality() + F.greatest(F.col("stop") - F.col("start"), F.lit(0)) * 0.05, 6)
     scored = found.groupBy("sent_key", "frame_id").agg(
-        F.sum("weight").alias("score"), F.count("*").alias("hits")
+        F.sum("weight").alias("score"), F.count("*").alias("hits"),
+        F.min(F.struct((-quality).alias("quality"), "start", "stop", "source", "items")).alias("best"),
     )
     w = Window.partitionBy("sent_key").orderBy(F.desc("score"), F.desc("hits"), F.desc("frame_id"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select(
+        "sent_key", "frame_id", "score", "hits", "rank", "best.source", "best.start", "best.stop",
+        (-F.col("best.quality")).alias("quality"), "best.items",
+    )
 
 
 def _quality() -> Column:
@@ -152,43 +134,37 @@ def _quality() -> Column:
 
 
 def best_evidence(found: DataFrame) -> DataFrame:
-    """The evidence of highest quality for each candidate; longer spans help; ties go to the first."""
-    value = F.round(_quality() + F.greatest(F.col("stop") - F.col("start"), F.lit(0)) * 0.05, 6)
-    w = Window.partitionBy("sent_key", "frame_id").orderBy(
-        F.desc("quality"), "start", "stop", "source"
-    )
-    return (
-        found.withColumn("quality", value).withColumn("rn", F.row_number().over(w)).where("rn = 1")
-        .select("sent_key", "frame_id", "source", "start", "stop", "quality")
+    """The best evidence of every frame found in a sentence, however many there are."""
+    quality = F.round(_quality() + F.greatest(F.col("stop") - F.col("start"), F.lit(0)) * 0.05, 6)
+    best = F.min(F.struct((-quality).alias("quality"), "start", "stop", "source"))
+    return found.groupBy("sent_key", "frame_id").agg(best.alias("best")).select(
+        "sent_key", "frame_id", "best.source", "best.start", "best.stop", (-F.col("best.quality")).alias("quality")
     )
 
 
-def plausibility(ranked: DataFrame, best: DataFrame, words: DataFrame) -> DataFrame:
-    """Score every candidate by its evidence and the categories of the words under it.
+def plausibility(ranked: DataFrame, category: Callable[[Column, Column], Column]) -> DataFrame:
+    """Score every candidate by its best evidence and the categories of the words under it.
 
-    ``words`` needs a ``category`` column. The anchor is the first word of the
-    best tier: verb, adjective, nominal, light verb, anything.
+    ``category`` tells that of a word, from its lower case and as written. The anchor is
+    the first word of the best tier: verb, adjective, nominal, light verb, anything.
     """
-    tier = (
-        F.when(F.col("category") == "verb", 1).when(F.col("category") == "adjective", 2)
-        .when(F.col("category").isin("noun", "proper_noun", "lexical", "number"), 3)
-        .when(F.col("category") == "light_verb", 4).otherwise(5)
-    )
-    spanned = best.join(words.select("sent_key", "w", "word", "category"), "sent_key").where(
-        (F.col("w") >= F.col("start")) & (F.col("w") < F.col("stop"))
-    )
-    anchors = spanned.groupBy("sent_key", "frame_id").agg(
-        F.min(F.struct(tier.alias("tier"), "w", "word", "category")).alias("anchor"),
-        F.count_if(F.col("category").isin(LEXICAL)).alias("lexical"),
-        F.count("*").alias("n_words"),
-        F.max(F.when(F.col("category") == "light_verb", 1).otherwise(0)).alias("light"),
-        F.max(F.when(F.col("category").isin("verb", "adjective", "noun", "lexical"), 1).otherwise(0)).alias("full"),
-    )
+    def tier(kind: Column) -> Column:
+        return (
+            F.when(kind == "verb", 1).when(kind == "adjective", 2)
+            .when(kind.isin("noun", "proper_noun", "lexical", "number"), 3).when(kind == "light_verb", 4).otherwise(5)
+        )
+
+    parts = F.transform("items", lambda t, k: F.struct(
+        (F.col("start") + k).alias("w"), F.lower(t).alias("word"), category(F.lower(t), t).alias("category")
+    ))
+    tiers = F.transform("parts", lambda x: F.struct(tier(x["category"]).alias("tier"), x["w"].alias("w"), x["word"].alias("word"), x["category"].alias("category")))
+    count = lambda *kinds: F.size(F.filter("parts", lambda x: x["category"].isin(*kinds)))
     top = Window.partitionBy("sent_key")
     rows = (
-        ranked.join(best, ["sent_key", "frame_id"]).join(anchors, ["sent_key", "frame_id"])
+        ranked.withColumn("parts", parts).withColumn("anchor", F.array_min(tiers))
+        .withColumn("lexical", count(*LEXICAL).cast("long"))
         .withColumn("share", F.col("score") / F.max("score").over(top))
-        .withColumn("multiword", (F.col("n_words") > 1) & (F.col("light") == 1) & (F.col("full") == 1))
+        .withColumn("multiword", (F.size("parts") > 1) & (count("light_verb") > 0) & (count("verb", "adjective", "noun", "lexical") > 0))
         .withColumn("category", F.col("anchor.category"))
     )
     closed = F.col("category").isin(CLOSED) & ~F.col("multiword")

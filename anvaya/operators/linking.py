@@ -31,17 +31,37 @@ def alias_rows(resources: DataFrame, key: str, forms: Column, match_type: str) -
     ).withColumn("match_type", F.lit(match_type))
 
 
-def lookup(mentions: DataFrame, aliases: DataFrame, on: str, step: str, bonus: float) -> DataFrame:
-    """Mentions joined with aliases on one column, with the step that found them."""
-    met = mentions.join(aliases.select("resource", on, "popularity"), on)
-    return met.select(
-        "mention", "resource", "popularity", F.lit(step).alias("step"), F.lit(bonus).alias("bonus")
+def top_aliases(aliases: DataFrame, on: str, step: str, bonus: float, top_k: int) -> DataFrame:
+    """The ``top_k`` resources of each alias by (popularity, resource), with the step and its bonus.
+
+    Within a step nothing but the popularity tells resources apart, so no other can be
+    among the top of a mention, and a name that many resources share multiplies nothing.
+    """
+    once = aliases.groupBy(on, "resource").agg(F.max("popularity").alias("popularity"))
+    w = Window.partitionBy(on).orderBy(F.desc(_popular(F.col("popularity"))), F.desc("popularity"), "resource")
+    return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top_k).drop("place").withColumns(
+        {"step": F.lit(step), "bonus": F.lit(bonus)}
     )
 
 
+def _popular(popularity: Column) -> Column:
+    return F.least(popularity / 100.0, F.lit(0.6))
+
+
+def lookup(mentions: DataFrame, aliases: DataFrame, on: str, step: str, bonus: float, top_k: int) -> DataFrame:
+    """Mentions joined with the top aliases on one column, with the step that found them."""
+    met = mentions.select("mention", on).join(top_aliases(aliases, on, step, bonus, top_k), on)
+    return met.select("mention", "resource", "popularity", "step", "bonus")
+
+
+def alias_counts(aliases: DataFrame, on: str) -> DataFrame:
+    """(resource, n) of each alias: the first of its resources and how many rows it has."""
+    return aliases.groupBy(on).agg(F.min("resource").alias("resource"), F.count("*").alias("n"))
+
+
 def rank_links(found: DataFrame, top_k: int) -> DataFrame:
     """The best step for each (mention, resource), then the top resources of each mention."""
-    score = F.round(F.max("bonus") + F.least(F.max("popularity") / 100.0, F.lit(0.6)), 6)
+    score = F.round(F.max("bonus") + _popular(F.max("popularity")), 6)
     best = found.groupBy("mention", "resource").agg(
         score.alias("score"), F.max("popularity").alias("popularity"), F.max_by("step", F.struct("bonus", "step")).alias("step")
     )

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anvaya.functions.iri import sentence_key
-from anvaya.functions.text import PIECE, PUNCTUATION, stripped
+from anvaya.functions.text import PIECE_END, PUNCTUATION, stripped
+
+BLOCK = 64
 
 
 def sentences(docs: DataFrame) -> DataFrame:
@@ -19,39 +21,54 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 
 def pieces(text: Column | str = "text") -> Column:
-    return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(PIECE), F.lit(0))
+    """Tokens with the white space before them, which tile a text but for its last white space."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.array_remove(F.split(F.regexp_replace(text, r"\s+$", ""), PIECE_END), "")
 
 
 def token_array(text: Column | str = "text") -> Column:
-    return F.transform(pieces(text), lambda p: F.regexp_replace(p, r"^\s+", ""))
+    return F.transform(pieces(text), lambda p: F.ltrim(p, F.lit(" \t\n\x0b\f\r")))
+
+
+def word_array(text: Column | str = "text") -> Column:
+    """The tokens that are no punctuation, as written."""
+    return F.filter(token_array(text), lambda t: ~t.isin(list(PUNCTUATION)))
 
 
 def tokens(sents: DataFrame) -> DataFrame:
     """One row a token with half-open character offsets.
 
-    Tokens and the white space before them tile the sentence, so the running
-    sum of their lengths is the offset. Later steps partition by sent_key, too.
+    Tokens and the white space before them tile the sentence, so the length of what
+    comes before is the offset. It is taken within the row, over blocks of ``BLOCK`` pieces
+    and then within a block, so that nothing is shuffled. Each explode also keeps the
+    arrays above it from being made anew for every element.
     """
-    w = Window.partitionBy("sent_key").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        sents.select("doc_id", "sent_id", "sent_key", F.posexplode(pieces()).alias("idx", "piece"))
-        .withColumn("tok", F.regexp_replace("piece", r"^\s+", ""))
-        .withColumn("stop", F.sum(F.char_length("piece")).over(w).cast("int"))
-        .select(
-            "doc_id", "sent_id", "sent_key", "idx", "tok",
-            (F.col("stop") - F.char_length("tok")).alias("start"), "stop",
-        )
+    keys = ["doc_id", "sent_id", "sent_key"]
+
+    def length(part: Column) -> Column:
+        return F.char_length(F.array_join(part, ""))
+
+    cut = sents.select(*keys, F.explode(F.array(pieces())).alias("pieces"))
+    blocks = cut.select(*keys, F.explode(F.transform(
+        F.sequence(F.lit(0), F.greatest(F.floor((F.size("pieces") - 1) / BLOCK), F.lit(0)).cast("int")),
+        lambda k: F.struct(
+            (k * BLOCK).alias("first"), length(F.slice("pieces", F.lit(1), k * BLOCK)).alias("base"),
+            F.slice("pieces", k * BLOCK + 1, F.lit(BLOCK)).alias("part"),
+        ),
+    )).alias("block"))
+    placed = blocks.select(*keys, "block.first", F.posexplode(F.transform("block.part", lambda p, n: F.struct(
+        p.alias("piece"), (F.col("block.base") + length(F.slice("block.part", F.lit(1), n + 1))).alias("stop"),
+    ))).alias("pos", "one"))
+    return placed.withColumn("tok", F.ltrim("one.piece", F.lit(" \t\n\x0b\f\r"))).select(
+        *keys, (F.col("first") + F.col("pos")).alias("idx"), "tok",
+        (F.col("one.stop") - F.char_length("tok")).alias("start"), F.col("one.stop").alias("stop"),
     )
 
 
-def words(toks: DataFrame) -> DataFrame:
-    """Tokens that are no punctuation, numbered anew (``w``), in lower case (``word``)."""
-    w = Window.partitionBy("sent_key").orderBy("idx")
-    return (
-        toks.where(~F.col("tok").isin(list(PUNCTUATION)))
-        .withColumn("w", F.row_number().over(w) - 1)
-        .withColumn("word", F.lower("tok"))
-    )
+def words(sents: DataFrame) -> DataFrame:
+    """Tokens that are no punctuation, numbered (``w``), in lower case (``word``) and as written (``tok``)."""
+    cut = sents.select("doc_id", "sent_id", "sent_key", F.posexplode(word_array()).alias("w", "tok"))
+    return cut.withColumn("word", F.lower("tok"))
 
 
 def context_windows(toks: DataFrame, before: int = 3, after: int = 3) -> DataFrame:

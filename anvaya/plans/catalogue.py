@@ -14,9 +14,8 @@ from anvaya.plans.registry import ORACLES, QUERIES, Query
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to sentences, words, candidates, events and quads; then event density."""
-    words = common.words(spark, sf_dir)
     index = lexicon.trigger_index(spark, common.FRAMES)
-    top = lexicon.candidates(lexicon.evidence(words, index, common.STOP), top_k=1)
+    top = lexicon.candidates(lexicon.evidence(common.word_arrays(spark, sf_dir), index, common.STOP), top_k=1)
     events = top.select(
         F.substring_index("sent_key", "::", 1).alias("doc_id"), F.substring_index("sent_key", "::", -1).alias("sent_id"),
         "frame_id", F.lit("").alias("word"), F.lit(0).alias("start"), F.lit(0).alias("stop"),

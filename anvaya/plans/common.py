@@ -6,7 +6,7 @@ here are small ones in their spirit; every operator takes its own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anvaya.functions.text import PIECE, PUNCTUATION, token_category
@@ -37,9 +37,16 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tok.words(tokens(spark, sf_dir)).withColumn(
-        "category", token_category("word", "tok", CLOSED, VERB_SUFFIXES, ADJECTIVE_SUFFIXES)
-    )
+    return tok.words(sentences(spark, sf_dir)).withColumn("category", category(F.col("word"), F.col("tok")))
+
+
+def category(word: Column, raw: Column) -> Column:
+    return token_category(word, raw, CLOSED, VERB_SUFFIXES, ADJECTIVE_SUFFIXES)
+
+
+def word_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sent_key, toks): the words of each sentence in one row."""
+    return sentences(spark, sf_dir).select("sent_key", tok.word_array().alias("toks"))
 
 
 def quoted(items) -> str:

@@ -163,8 +163,8 @@ def _lineitem_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_ALIASES}, {_MENTIONS} SELECT mention, min(resource) AS resource, count(*) AS n FROM mention JOIN alias USING (alias) GROUP BY 1")
 def alias_lookup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linking.lookup(_lineitem_mentions(spark, sf_dir), _aliases(spark, sf_dir), "alias", "exact", 2.4)
-    return found.groupBy("mention").agg(F.min("resource").alias("resource"), F.count("*").alias("n"))
+    counts = linking.alias_counts(_aliases(spark, sf_dir), "alias")
+    return _lineitem_mentions(spark, sf_dir).join(counts, "alias").groupBy("mention").agg(F.min("resource").alias("resource"), F.sum("n").alias("n"))
 
 
 _NORM = r"lower(trim(regexp_replace(m.alias, '\s+', ' ', 'g')))"
@@ -172,8 +172,8 @@ _NORM = r"lower(trim(regexp_replace(m.alias, '\s+', ' ', 'g')))"
 
 @query(f"WITH {_ALIASES}, {_MENTIONS} SELECT mention, min(resource) AS resource, count(*) AS n FROM mention m JOIN alias a ON a.alias_norm = {_NORM} GROUP BY 1")
 def alias_lookup_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linking.lookup(_lineitem_mentions(spark, sf_dir), _aliases(spark, sf_dir), "alias_norm", "normalized", 1.8)
-    return found.groupBy("mention").agg(F.min("resource").alias("resource"), F.count("*").alias("n"))
+    counts = linking.alias_counts(_aliases(spark, sf_dir), "alias_norm")
+    return _lineitem_mentions(spark, sf_dir).join(counts, "alias_norm").groupBy("mention").agg(F.min("resource").alias("resource"), F.sum("n").alias("n"))
 
 
 _LINKS = f"""WITH {_ALIASES}, {_MENTIONS}, f AS (SELECT mention, resource, popularity, 'exact' AS step, 2.4 AS bonus FROM mention JOIN alias USING (alias)
@@ -184,7 +184,7 @@ k AS (SELECT *, CAST(row_number() OVER (PARTITION BY mention ORDER BY score DESC
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     mentions, aliases = _lineitem_mentions(spark, sf_dir), _aliases(spark, sf_dir)
-    found = linking.lookup(mentions, aliases, "alias", "exact", 2.4).unionByName(linking.lookup(mentions, aliases, "alias_norm", "normalized", 1.8))
+    found = linking.lookup(mentions, aliases, "alias", "exact", 2.4, 3).unionByName(linking.lookup(mentions, aliases, "alias_norm", "normalized", 1.8, 3))
     return linking.rank_links(found, 3)
 
 

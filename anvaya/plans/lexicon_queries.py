@@ -69,9 +69,9 @@ _DECIDED = _COMPETED + """, decided AS (SELECT *, CASE WHEN hard_reject THEN CAS
   WHEN final < 0.40::DOUBLE THEN 'below_threshold' WHEN row_number() OVER (PARTITION BY sent_key, centre, family ORDER BY final DESC, rank) > 1 THEN 'same_family_duplicate' ELSE 'kept' END AS decision FROM final)"""
 
 
-def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    words = common.words(spark, sf_dir)
-    return words, lexicon.evidence(words, lexicon.trigger_index(spark, common.FRAMES), common.STOP)
+def _found(spark: SparkSession, sf_dir: str, *sources: str) -> DataFrame:
+    found = lexicon.evidence(common.word_arrays(spark, sf_dir), lexicon.trigger_index(spark, common.FRAMES), common.STOP)
+    return found.where(F.col("source").isin(*sources)) if sources else found
 
 
 def _by_frame(rows: DataFrame) -> DataFrame:
@@ -87,37 +87,36 @@ def _frame_sql(cte: str, condition: str = "true") -> str:
 
 @query(_frame_sql("single"))
 def trigger_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_frame(lexicon.single_matches(common.words(spark, sf_dir), lexicon.trigger_index(spark, common.FRAMES)))
+    return _by_frame(_found(spark, sf_dir, "single"))
 
 
 @query(_frame_sql("prefix"))
 def trigger_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_frame(lexicon.prefix_matches(common.words(spark, sf_dir), lexicon.trigger_index(spark, common.FRAMES), common.STOP))
+    return _by_frame(_found(spark, sf_dir, "single_prefix", "multiword_prefix"))
 
 
 @query(_frame_sql("ngram"))
 def trigger_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_frame(lexicon.ngram_matches(common.words(spark, sf_dir), lexicon.trigger_index(spark, common.FRAMES)))
+    return _by_frame(_found(spark, sf_dir, "n_gram"))
 
 
 @query(_frame_sql("split"))
 def trigger_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_frame(lexicon.split_matches(common.words(spark, sf_dir), lexicon.trigger_index(spark, common.FRAMES)))
+    return _by_frame(_found(spark, sf_dir, "split"))
 
 
 @query(_SCORED + " SELECT sent_key, frame_id, score, hits, rank FROM ranked")
 def candidate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.candidates(_found(spark, sf_dir)[1])
+    return lexicon.candidates(_found(spark, sf_dir)).select("sent_key", "frame_id", "score", "hits", "rank")
 
 
 @query(_BEST + " SELECT sent_key, frame_id, source, CAST(start AS INT) AS start, CAST(stop AS INT) AS stop, quality FROM best")
 def best_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.best_evidence(_found(spark, sf_dir)[1])
+    return lexicon.best_evidence(_found(spark, sf_dir))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words, found = _found(spark, sf_dir)
-    return lexicon.plausibility(lexicon.candidates(found), lexicon.best_evidence(found), words)
+    return lexicon.plausibility(lexicon.candidates(_found(spark, sf_dir)), common.category)
 
 
 @query(_PLAUSIBLE + " SELECT sent_key, frame_id, rank, category, CAST(lexical AS BIGINT) AS lexical, multiword, hard_reject, plausibility FROM plausible")

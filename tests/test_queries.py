@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import pytest
 
@@ -92,8 +94,23 @@ def test_long_triggers_match(spark):
     term = "a b c d e f g"
     index = lexicon.trigger_index(spark, {"long": [term], "short": ["a b"]})
     texts = {"whole": "x " + term, "split": "a x b c x x d e f g", "far": "a b c d e f x x x g"}
-    words = spark.createDataFrame([(k, n, t) for k, v in texts.items() for n, t in enumerate(v.split())], "sent_key string, w int, word string")
-    found = lambda df: sorted((r["sent_key"], r["start"], r["stop"]) for r in df.where("frame_id = 'long'").collect())
-    assert found(lexicon.ngram_matches(words, index)) == [("whole", 1, 8)]
-    assert found(lexicon.split_matches(words, index)) == [("split", 0, 10), ("whole", 1, 8)]
-    assert lexicon.ngram_matches(words, index.where("false")).count() == lexicon.split_matches(words, index.where("false")).count() == 0
+    arrays = spark.createDataFrame([(k, v.split()) for k, v in texts.items()] + [("none", [])], "sent_key string, toks array<string>")
+    found = lambda source, keys: sorted((r["sent_key"], r["start"], r["stop"]) for r in lexicon.evidence(arrays, keys).where(f"frame_id = 'long' and source = '{source}'").collect())
+    assert found("n_gram", index) == [("whole", 1, 8)]
+    assert found("split", index) == [("split", 0, 10), ("whole", 1, 8)]
+    assert found("n_gram", index.where("false")) == []
+
+
+def test_tokens_of_long_lines(spark):
+    from anvaya.functions.text import PIECE
+    from anvaya.operators import tokens
+
+    texts = ["", "  a, b  ", "x" * 10, "".join(f" w{k}," for k in range(500)), "(a)|b॥ c।", "\ta\u00a0b  ?!"]
+    sents = spark.createDataFrame([(n, 0, str(n), t) for n, t in enumerate(texts)], "doc_id int, sent_id int, sent_key string, text string")
+    got = sorted((r["sent_key"], r["idx"], r["tok"], r["start"], r["stop"]) for r in tokens.tokens(sents).collect())
+    want = []
+    for n, t in enumerate(texts):
+        for k, m in enumerate(re.finditer(PIECE, t, re.ASCII)):
+            tok = m[0].lstrip(" \t")
+            want.append((str(n), k, tok, m.end() - len(tok), m.end()))
+    assert got == sorted(want)
