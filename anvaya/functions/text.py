@@ -17,6 +17,8 @@ PIECE = rf"\s*(?:[{_CLASS}]|[^\s{_CLASS}]+)"
 #: Where one piece ends and the next begins. Splitting there is many times faster than
 #: extracting all matches, which copies the text for each of them.
 PIECE_END = rf"(?<=\S)(?=\s)|(?<=[{_CLASS}])(?=\S)|(?<=[^\s{_CLASS}])(?=[{_CLASS}])"
+#: What stands between tokens that are no punctuation.
+BETWEEN_WORDS = rf"[\s{_CLASS}]+"
 #: A word boundary that knows combining marks; ``\b`` does not.
 WORD_CLASS = r"\p{L}\p{N}\p{M}_"
 BOUNDARY = (

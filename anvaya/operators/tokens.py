@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anvaya.functions.iri import sentence_key
-from anvaya.functions.text import PIECE_END, PUNCTUATION, stripped
+from anvaya.functions.text import BETWEEN_WORDS, PIECE_END, stripped
 
 BLOCK = 64
 
@@ -31,8 +31,8 @@ def token_array(text: Column | str = "text") -> Column:
 
 
 def word_array(text: Column | str = "text") -> Column:
-    """The tokens that are no punctuation, as written."""
-    return F.filter(token_array(text), lambda t: ~t.isin(list(PUNCTUATION)))
+    """The tokens that are no punctuation, as written: what stands between white space and marks."""
+    return F.array_remove(F.split(F.col(text) if isinstance(text, str) else text, BETWEEN_WORDS), "")
 
 
 def tokens(sents: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from anvaya.functions.text import PIECE, PUNCTUATION, token_category
 from anvaya.operators import tokens as tok
-from anvaya.plans.registry import table
+from anvaya.plans.registry import spread, table
 
 FRAMES = {
     "give.01": ["and", "of the", "the that"], "give.02": ["and the of", "inst"],
@@ -29,7 +29,7 @@ VERB_SUFFIXES, ADJECTIVE_SUFFIXES = ["ing", "ed", "ent"], ["ble", "al", "ais"]
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tok.sentences(table(spark, sf_dir, "documents"))
+    return tok.sentences(spread(table(spark, sf_dir, "documents")))
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,14 +15,17 @@ _ARG, _NER = ["of", "and the", "que"], ["the", "of the", "la"]
 
 def _hits(spark: SparkSession, sf_dir: str, phrases: list[str]) -> DataFrame:
     """Places of one- and two-word phrases among the words of sentences, as spans of words."""
-    words = common.words(spark, sf_dir)
-    w = Window.partitionBy("sent_key").orderBy("w")
-    pairs = words.withColumn("two", F.concat_ws(" ", "word", F.lead("word").over(w)))
+    rows = common.word_arrays(spark, sf_dir).select("sent_key", F.posexplode(F.transform("toks", lambda t, k: F.struct(
+        F.lower(t).alias("word"), F.concat_ws(" ", F.lower(t), F.lower(F.get("toks", k + 1))).alias("two")
+    ))).alias("w", "at"))
+    pairs = rows.select("sent_key", "w", "at.word", "at.two")
     ones = [p for p in phrases if " " not in p]
     twos = [p for p in phrases if " " in p]
-    return pairs.where(F.col("word").isin(ones)).select("sent_key", "w", (F.col("w") + 1).alias("stop"), F.col("word").alias("phrase")).unionByName(
-        pairs.where(F.col("two").isin(twos)).select("sent_key", "w", (F.col("w") + 2).alias("stop"), F.col("two").alias("phrase"))
-    ).select("sent_key", F.col("w").alias("start"), "stop", "phrase")
+    found = F.array_compact(F.array(
+        F.when(F.col("word").isin(ones), F.struct((F.col("w") + 1).alias("stop"), F.col("word").alias("phrase"))),
+        F.when(F.col("two").isin(twos), F.struct((F.col("w") + 2).alias("stop"), F.col("two").alias("phrase"))),
+    ))
+    return pairs.select("sent_key", F.col("w").alias("start"), F.explode(found).alias("hit")).select("sent_key", "start", "hit.*")
 
 
 def _hits_sql(name: str, phrases: list[str]) -> str:
