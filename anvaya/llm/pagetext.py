@@ -5,8 +5,7 @@
    if an element says that it is a menu, header, footer, sidebar, notice, advert,
    form or reader comment, and *plain* otherwise. Elements around the page's
    article, html and body mark nothing. Scripts, styles and comments give no line.
-2. Pages without plain and main lines are done: their article is their text. All
-   others are ordered by URL path within each host. Ordering is a distributed
+2. All pages are ordered by URL path within each host. Ordering is a distributed
    range sort; only the first and last page of each partition reach the driver
    to be linked up, so the order does not depend on the partitioning and no host
    meets in one task.
@@ -15,17 +14,19 @@
    least. Pages next to copies go on from where those copies have come, so
    a run of copies of any length takes rounds by the logarithm of its length.
    Of the two partners the one with the longer common path prefix is taken.
-4. The lines outside the articles of both pages are aligned by their longest
-   common subsequence, and shared ones are deleted: they are the site's, not the
-   page's. Article lines are never deleted: two pages may carry the same article.
-   Lines are told apart by 64-bit hashes.
-5. The text is the article and the plain and main lines that are left. A page
-   that has no partner gives its article and main lines or, where it has none,
-   its plain lines.
+4. All lines of both pages are aligned by their longest common subsequence, and shared
+   ones are deleted: they are the site's, not the page's. Lines of the page's article are
+   kept all the same: two pages may carry the same article. Lines are told apart
+   by 64-bit hashes.
+5. Lines that are left and marked (comments, adverts and menus of this page alone) go,
+   too, as do articles under half as long as another one beside them. A page that has no
+   partner gives its article and main lines or, where it has none, its plain lines.
 
 Defined results: a null or empty html gives an empty text; a null url, or one
 without a host, pairs with nothing; unclosed elements end with their parent;
-repeated rows repeat their result; an empty table gives an empty result;
+a tag that is never closed is text if no tag is closed after it; of equally near partners
+the page before wins, of equally long articles the first; repeated rows repeat their
+result; an empty table gives an empty result;
 further columns are ignored.
 """
 
@@ -34,10 +35,11 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -71,11 +73,9 @@ MARK_WORDS = {
     "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription",
     "toolbar", "widget",
 }
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL,
-)
+TAG = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*+))")
+#: The rest of a tag; nothing is tried twice.
+REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in
            ("script", "style", "textarea", "noscript", "iframe", "title")}
@@ -105,125 +105,188 @@ def _mark(name: str, attributes: str) -> int:
 
 
 def _names(token: str) -> list[str]:
-    """Words of one class token; a part that only qualifies content does not mark it."""
+    """Words of one class token; one that tells of a state, or of results found, marks nothing."""
     words = WORDS.findall(token)
     if len(words) > 1 and (
-        words[0] in ("has", "no", "with", "without")
-        or words[-1] in ("content", "body", "text", "article", "post", "main", "result", "results")
+        words[0] in ("has", "no", "with", "without") or words[-1] in ("free", "less", "result", "results")
     ):
         return []
     return words
 
 
+class _Outline:
+    """Marked and core elements of a page as trees: each knows the one around it, -1 for none."""
+
+    def __init__(self) -> None:
+        self.mark_above: list[int] = []
+        self.mark_depth: list[int] = []
+        # Of core elements: name, core element around, marks around, own mark or -1.
+        self.cores: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []  # text, marks, core, hidden
+
+    def mark(self, above: int) -> int:
+        self.mark_above.append(above)
+        self.mark_depth.append(self.mark_depth[above] + 1 if above >= 0 else 1)
+        return len(self.mark_above) - 1
+
+    def clean(self, void: set[int]) -> list[bool]:
+        """Of each mark, whether it and all around it are void; the last entry is for none."""
+        out: list[bool] = []
+        for k, above in enumerate(self.mark_above):
+            out.append(k in void and (above < 0 or out[above]))
+        return [*out, True]
+
+    def within(self, of: "list[bool]") -> list[bool]:
+        """Of each core element, whether it or one around it is one ``of`` these; the last is for none."""
+        out: list[bool] = []
+        for k, (_, above, _, _) in enumerate(self.cores):
+            out.append(of[k] or (above >= 0 and out[above]))
+        return [*out, False]
+
+    def kinds(self) -> list[Line]:
+        """Lines with what they are, once it is known which element holds the page's article."""
+        cores = self.cores
+        size = [0] * len(cores)
+        for text, _, core, hidden in self.lines:
+            if core >= 0 and not hidden:
+                size[core] += len(text)
+        for k in range(len(cores) - 1, -1, -1):
+            if cores[k][1] >= 0:
+                size[cores[k][1]] += size[k]
+        void: set[int] = set()
+        teaser = [False] * len(cores)
+        if any(size):
+            # The least marked, then longest: what is around it marks nothing, nor does its own mark,
+            # unless a clean article is as good.
+            depth = lambda k: self.mark_depth[cores[k][2]] if cores[k][2] >= 0 else 0
+            best = min((k for k in range(len(cores)) if size[k]), key=lambda k: (depth(k), -size[k]))
+            above = cores[best][2]
+            while above >= 0:
+                void.add(above)
+                above = self.mark_above[above]
+            clean = self.clean(void)
+            rivals = [k for k, c in enumerate(cores) if k != best and c[0] == "article" and clean[c[2]]]
+            if not any(cores[k][3] < 0 and 2 * size[k] >= size[best] for k in rivals):
+                void.add(cores[best][3])
+            inside = self.within([k == best for k in range(len(cores))])
+            for k in rivals:  # an article that holds most of it
+                if inside[k] and 2 * size[k] > size[best]:
+                    void.add(cores[k][3])
+            # An article beside a much longer one announces another page.
+            clean = self.clean(void)
+            articles = [k for k, c in enumerate(cores) if c[0] == "article" and clean[c[2]] and (c[3] < 0 or c[3] in void)]
+            if articles:
+                star = max(articles, key=lambda k: (size[k], -k))
+                inside = self.within([k == star for k in range(len(cores))])
+                around, above = set(), star
+                while above >= 0:
+                    around.add(above)
+                    above = cores[above][1]
+                for k in articles:
+                    teaser[k] = not inside[k] and k not in around and 2 * size[k] < size[star]
+        clean, dropped = self.clean(void), self.within(teaser)
+        article = self.within([c[0] == "article" for c in cores])
+        lines = [
+            (
+                text, 2 if hidden or not clean[marks] or dropped[core]
+                else 0 if article[core] else 3 if core >= 0 else 1,
+            )
+            for text, marks, core, hidden in self.lines
+        ]
+        if all(kind == 2 for _, kind in lines):  # nothing else is left
+            lines = [(text, 0 if core >= 0 and not hidden else 2) for text, _, core, hidden in self.lines]
+        return lines
+
+
 def lines_of(page: str | None) -> list[Line]:
-    """The lines of a page, in order, with what they are."""
+    """The lines of a page, in order, with what they are; in time linear in the page."""
     page = page or ""
-    # Lines: text, numbers of the marked and of the core elements around, whether hidden.
-    out: list[tuple[str, tuple, tuple, bool]] = []
+    outline = _Outline()
     words: list[str] = []
-    # Core elements: name, marked and core elements around, own mark.
-    cores: list[tuple[str, tuple, tuple, int | None]] = []
-    n_marks = 0
-    # Open elements: name, core, marked (numbers), hidden, silent (each with all that is above).
-    stack: list[tuple[str, tuple, tuple, bool, bool]] = [("", (), (), False, False)]
+    # Open elements: name, core, marks (numbers), hidden, silent (each with all that is above).
+    stack: list[tuple[str, int, int, bool, bool]] = [("", -1, -1, False, False)]
+    opened: Counter[str] = Counter()
+    quotes = True  # until a tag does not close: from then on quotes protect nothing
 
     def flush() -> None:
         if words:
             text = " ".join(html.unescape("".join(words)).split())
             if text:
                 _, core, marks, hidden, _ = stack[-1]
-                out.append((text, marks, core, hidden))
+                outline.lines.append((text, marks, core, hidden))
             words.clear()
 
+    def push(entry: tuple[str, int, int, bool, bool]) -> None:
+        stack.append(entry)
+        opened[entry[0]] += 1
+
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
     at = 0
     while at < len(page):
-        token = TOKEN.search(page, at)
-        if token is None:
+        tag = TAG.search(page, at)
+        end = -1
+        if tag is not None:
+            if tag[0] == "<!--":
+                end = page.find("-->", tag.end()) + 2
+                end = end if end > 1 else len(page)
+            else:
+                if tag[2] is not None and quotes:
+                    end = REST.match(page, tag.end()).end()
+                    quotes = end < len(page) and page[end] == ">"
+                if end < 0 or not quotes:
+                    end = page.find(">", tag.end())
+        if tag is None or end < 0:  # no tag is closed from here on
             if not stack[-1][4]:
                 words.append(page[at:])
             break
-        if token.start() > at and not stack[-1][4]:
-            words.append(page[at : token.start()])
-        at = token.end()
-        if token[2] is None:
+        if tag.start() > at and not stack[-1][4]:
+            words.append(page[at : tag.start()])
+        at = end + 1
+        if tag[2] is None:
             continue
-        name = token[2].lower()
-        if token[1]:
+        name, rest = tag[2].lower(), page[tag.end() : end]
+        if tag[1]:
             if name in BLOCKS:
                 flush()
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    del stack[depth:]
-                    break
+            if opened[name]:
+                while stack[-1][0] != name:
+                    pop()
+                pop()
             continue
         if name == "br":
             words.append(" ")
             continue
         if name in BLOCKS:
             flush()
-        if name in VOID or token[3].endswith("/"):
+        if name in VOID or rest.endswith("/"):
             continue
         if name in RAW_END:
-            end = RAW_END[name].search(page, at)
-            at = end.end() if end else len(page)
+            close = RAW_END[name].search(page, at)
+            at = close.end() if close else len(page)
             continue
+        if name in ("p", "tr", "td", "th", "dt", "dd", "option") and stack[-1][0] == name:
+            pop()  # these end an open one of their kind
         _, core, marks, hidden, silent = stack[-1]
-        if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
-            # These end an open one of their kind.
-            if stack[-1][0] == name and name != "li":
-                stack.pop()
-                _, core, marks, hidden, silent = stack[-1]
-        own = _mark(name, token[3]) if token[3] or name in MARKED else 0
-        if name == "header" and not core:
+        own = _mark(name, rest) if rest or name in MARKED else 0
+        if name == "header" and core < 0:
             own = own or 1
         if name not in BLOCKS and name not in SILENT and not own:
             if name not in ("span", "b", "i", "em", "strong", "a", "font", "u", "small"):
-                stack.append((name, core, marks, hidden, silent))
+                push((name, core, marks, hidden, silent))
             continue
         if own:
             flush()
-        above, mark = marks, None
+        above, mark = marks, -1
         if own == 1:
-            mark = n_marks
-            n_marks += 1
-            marks = (*marks, mark)
+            mark = marks = outline.mark(above)
         if name in CORE:
-            cores.append((name, above, core, mark))
-            core = (*core, len(cores) - 1)
-        stack.append((name, core, marks, hidden or own == 2, silent or name in SILENT))
+            outline.cores.append((name, core, above, mark))
+            core = len(outline.cores) - 1
+        push((name, core, marks, hidden or own == 2, silent or name in SILENT))
     flush()
-    return _kinds(out, cores)
-
-
-def _kinds(found: list[tuple[str, tuple, tuple, bool]], cores: list[tuple]) -> list[Line]:
-    """Lines with what they are, once it is known which element holds the page's article."""
-    size = [0] * len(cores)
-    for text, _, core, hidden in found:
-        if not hidden:
-            for k in core:
-                size[k] += len(text)
-    void: set[int] = set()
-    if any(size):
-        # The least marked, then longest: what is around it marks nothing, nor does its own mark,
-        # unless a clean article is as good.
-        best = min((k for k in range(len(cores)) if size[k]), key=lambda k: (len(cores[k][1]), -size[k]))
-        void.update(cores[best][1])
-        rivals = [k for k, c in enumerate(cores) if k != best and c[0] == "article" and void.issuperset(c[1])]
-        if not any(cores[k][3] is None and 2 * size[k] >= size[best] for k in rivals):
-            void.add(cores[best][3])
-        for k in rivals:  # an article that holds most of it
-            if best in cores[k][2] and 2 * size[k] > size[best]:
-                void.add(cores[k][3])
-    lines = [
-        (
-            text, 2 if hidden or not void.issuperset(marks)
-            else 0 if any(cores[k][0] == "article" for k in core) else 3 if core else 1,
-        )
-        for text, marks, core, hidden in found
-    ]
-    if all(kind == 2 for _, kind in lines):  # nothing else is left
-        lines = [(text, 0 if core and not hidden else 2) for text, _, core, hidden in found]
-    return lines
+    return outline.kinds()
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -310,136 +373,141 @@ def common(a: str, b: str) -> int:
     return n
 
 
+class _Page(NamedTuple):
+    """What pairing needs of a page; ``kinds``, ``hashes`` and ``sizes`` are those of its lines."""
+
+    uid: int
+    k1: int
+    k2: int
+    host: str
+    path: str
+    kinds: list[int]
+    hashes: list[int]
+    sizes: list[int]
+
+    def holds(self, other: "_Page") -> bool:
+        """Whether ``other`` is a copy: it has all of the page's unmarked text, or over half of it and enough."""
+        own = [(h, n) for h, n, kind in zip(self.hashes, self.sizes, self.kinds) if kind != 2]
+        theirs = {h for h, kind in zip(other.hashes, other.kinds) if kind != 2}
+        total, shared = sum(n for _, n in own), sum(n for h, n in own if h in theirs)
+        return shared == total or (shared > COPY_SHARE * total and shared >= COPY_LEAST)
+
+
+#: A link of a page on one side (0 before, 1 after): the page it leads to, and whether that is
+#: still to be looked at, a copy, or the partner, then with the lines it shares and the common path.
+UNTESTED, COPY, PARTNER = 0, 1, 2
+LINK = "uid long, k1 long, k2 long, side int, at long, state int, n int, shared array<int>"
+_LINK_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
+_LINK_NAMES = ["uid", "k1", "k2", "side", "at", "state", "n", "shared"]
+
+
+def _link(page: _Page, side: int, other: _Page) -> tuple:
+    """The link of a page that has looked at another one."""
+    if page.holds(other):
+        return (*page[:3], side, other.uid, COPY, 0, None)
+    shared = shared_lines(page.kinds, page.hashes, other.hashes)
+    return (*page[:3], side, other.uid, PARTNER, common(page.path, other.path), shared)
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+
 def neighbours(pages: DataFrame, partitions: int) -> DataFrame:
-    """(uid, before, after): the pages of the same host that are next to each by URL path.
+    """Links to the pages of the same host that are next to each by URL path.
 
-    ``pages`` has uid, host and path.
+    Neighbours within a partition have looked at each other already.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        before: tuple | None = None
-        rows: list[list] = []
+        before: _Page | None = None
+        rows: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                # uid, host, path, previous, next
-                uid, host, path = row
-                entry = [uid, host, path, None, None]
-                if before is not None and before[1] == host:
-                    entry[3] = before[0]
-                    rows[-1][4] = uid
-                rows.append(entry)
-                before = row
+            for page in map(_Page._make, zip(*(c.to_pylist() for c in batch.columns))):
+                if before is None:  # the first: a link to be joined to the partition before
+                    rows.append((*page[:3], 0, None, UNTESTED, 0, None, part, page.host, page.path))
+                elif before.host == page.host:
+                    rows += [(*_link(before, 1, page), part, None, None), (*_link(page, 0, before), part, None, None)]
+                before = page
             if len(rows) > 10_000:
-                yield emit(rows[:-1], part)
-                rows = rows[-1:]
+                yield _batch(rows, names, kinds)
+                rows = []
+        if before is not None:
+            rows.append((*before[:3], 1, None, UNTESTED, 0, None, part, before.host, before.path))
         if rows:
-            yield emit(rows, part)
-
-    def emit(rows: list[list], part: int) -> pa.RecordBatch:
-        names = ["uid", "host", "path", "before", "after"]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
-        return pa.RecordBatch.from_arrays(
-            [*columns, pa.array([part] * len(rows), pa.int32())], names=[*names, "part"]
-        )
+            yield _batch(rows, names, kinds)
 
-    schema = "uid long, host string, path string, before long, after long, part int"
+    names = [*_LINK_NAMES, "part", "host", "path"]
+    kinds = [*_LINK_TYPES, pa.int32(), pa.string(), pa.string()]
     linked = stage(
-        pages.select("uid", "host", "path")
+        pages.select(*_Page._fields)
         .repartitionByRange(partitions, "host", "path", "uid")
         .sortWithinPartitions("host", "path", "uid")
-        .mapInArrow(run, schema),
+        .mapInArrow(run, f"{LINK}, part int, host string, path string"),
         "pagetext-order",
     )
     # Two rows a partition: the ends, which meet those of the next partition here.
-    key = F.struct("host", "path", "uid")
-    ends = sorted(
-        (tuple(r["low"]), tuple(r["high"]))
-        for r in linked.groupBy("part").agg(F.min(key).alias("low"), F.max(key).alias("high")).collect()
-    )
+    ends = linked.where("host is not null").select("side", "host", "path", "uid", "k1", "k2").collect()
+    firsts = sorted((tuple(r)[1:] for r in ends if r["side"] == 0))
+    lasts = sorted((tuple(r)[1:] for r in ends if r["side"] == 1))
     joins = []
-    for (_, high), (low, _) in zip(ends, ends[1:]):
-        if high[0] == low[0]:
-            joins += [(high[2], None, low[2]), (low[2], high[2], None)]
-    found = linked.select("uid", "before", "after")
-    if joins:
-        more = pages.sparkSession.createDataFrame(joins, found.schema)
-        found = found.unionByName(more).groupBy("uid").agg(
-            F.max("before").alias("before"), F.max("after").alias("after")
-        )
-    return found
-
-
-def is_copy(own: list[int], sizes: list[int], other: list[int]) -> bool:
-    """Whether a page holds the text of another, given by hashes and lengths of unmarked lines."""
-    total = sum(sizes)
-    found = set(other)
-    shared = sum(n for h, n in zip(own, sizes) if h in found)
-    return shared == total or (shared > COPY_SHARE * total and shared >= COPY_LEAST)
+    for last, first in zip(lasts, firsts[1:]):
+        if last[0] == first[0]:
+            joins.append((*last[2:], 1, first[2], UNTESTED, 0, None))
+            joins.append((*first[2:], 0, last[2], UNTESTED, 0, None))
+    found = linked.where("host is null").select(*_LINK_NAMES)
+    return found.unionByName(pages.sparkSession.createDataFrame(joins, LINK)) if joins else found
 
 
 def partners(pages: DataFrame, partitions: int) -> DataFrame:
-    """(uid, other): the page of the same host, nearest by URL path, that is not a copy.
+    """The links of all pages to their partners: of the same host, nearest by URL path, no copies.
 
-    ``pages`` has uid, host, path, and hashes and sizes of the unmarked lines. A
-    link (uid, side, at, found) leads from a page to the next one that may be its
-    partner on that side; while that is a copy, the link takes over the link of
-    the copy, so that open links double their reach in every round.
+    While a link leads to a copy, it takes over the link of the copy, so that open links
+    double their reach in every round. Only open links meet the lines of pages again.
     """
-    @F.pandas_udf("boolean")
-    def copied(own: pd.Series, sizes: pd.Series, other: pd.Series) -> pd.Series:
-        return pd.Series([is_copy(a, n, b) for a, n, b in zip(own, sizes, other)], dtype=bool)
-
-    unmarked = pages.select("uid", "lines", "sizes")
-    at = pages.select(F.col("uid").alias("at"), F.col("lines").alias("at_lines"))
-    links = stage(neighbours(pages, partitions).select(
-        "uid", F.explode(F.array(
-            F.struct(F.lit(0).alias("side"), F.col("before").alias("at")),
-            F.struct(F.lit(1).alias("side"), F.col("after").alias("at")),
-        )).alias("link"), F.lit(False).alias("found"),
-    ).select("uid", "link.side", "link.at", "found"), "pagetext-links")
-    pending = "at is not null and not found"
-    while not links.where(pending).isEmpty():
-        tested = stage(
-            links.where(pending).join(unmarked, "uid").join(at, "at")
-            .select("uid", "side", "at", copied("lines", "sizes", "at_lines").alias("copied")),
-            "pagetext-tested",
-        )
+    fields = ["uid", "k1", "k2", "path", "kinds", "hashes", "sizes"]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for side, *both in zip(*(c.to_pylist() for c in batch.columns)):
+                sides = (both[: len(fields)], both[len(fields) :])
+                page, other = (_Page(*x[:3], "", *x[3:]) for x in sides)
+                rows.append(_link(page, side, other))
+            yield _batch(rows, _LINK_NAMES, _LINK_TYPES)
+
+    theirs = pages.select(*[F.col(c).alias(f"at_{c}") for c in fields]).withColumnRenamed("at_uid", "at")
+    links = stage(neighbours(pages, partitions), "pagetext-links")
+    while not links.where(F.col("state") != PARTNER).isEmpty():
         onward = links.select(F.col("uid").alias("at"), "side", F.col("at").alias("next"))
-        moved = tested.where("copied").join(onward, ["at", "side"]).select(
-            "uid", "side", F.col("next").alias("at"), F.lit(False).alias("found")
-        )
-        settled = links.where(f"not ({pending})").unionByName(
-            tested.where("not copied").select("uid", "side", "at", F.lit(True).alias("found"))
+        moved = links.where(F.col("state") == COPY).join(onward, ["at", "side"]).select(
+            "uid", "k1", "k2", "side", F.col("next").alias("at")
+        ).unionByName(links.where(F.col("state") == UNTESTED).select("uid", "k1", "k2", "side", "at"))
+        looked = (
+            moved.select("uid", "side", "at").join(pages.select(*fields), "uid").join(theirs, "at")
+            .select("side", *fields, *["at" if c == "uid" else f"at_{c}" for c in fields])
+            .mapInArrow(look, LINK)
         )
-        before, links = links, stage(settled.unionByName(moved), "pagetext-links")
-        discard(before, tested)
-
-    @F.pandas_udf("int")
-    def prefix(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([common(x, y) for x, y in zip(a, b)], dtype="int32")
-
-    paths = pages.select("uid", "path")
-    ends = links.where("found").join(paths, "uid").join(
-        paths.select(F.col("uid").alias("at"), F.col("path").alias("at_path")), "at"
-    ).select("uid", "side", "at", prefix("path", "at_path").alias("n"))
-    # The longer prefix; of equal ones the page before.
-    return ends.groupBy("uid").agg(F.max_by("at", F.struct("n", -F.col("side"))).alias("other"))
+        before, links = links, stage(links.where(F.col("state") == PARTNER).unionByName(looked), "pagetext-links")
+        discard(before)
+    return links
 
 
 def line_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def left_over(kinds: list[int], own: list[int], other: list[int] | None) -> list[int]:
-    """Places of the lines that make the text.
+def shared_lines(kinds: list[int], own: list[int], other: list[int]) -> list[int]:
+    """Places of the lines, given by their hashes, that the partner has, too; not of an article's."""
+    return [i for i, _ in lcs(own, other) if kinds[i]]
 
-    ``own`` and ``other`` are hashes of the lines outside articles of the page and its partner.
-    """
-    if other is not None:
-        outside = [k for k, kind in enumerate(kinds) if kind]
-        shared = {outside[i] for i, _ in lcs(own, other)}
-        left = [k for k, kind in enumerate(kinds) if kind != 2 and k not in shared]
+
+def left_over(kinds: list[int], shared: list[int] | None) -> list[int]:
+    """Places of the lines that make the text; ``shared`` is None where no partner tells."""
+    if shared is not None:
+        gone = set(shared)
+        left = [k for k, kind in enumerate(kinds) if kind != 2 and k not in gone]
         if left:
             return left
     core = [k for k, kind in enumerate(kinds) if kind in (0, 3)]
@@ -447,82 +515,81 @@ def left_over(kinds: list[int], own: list[int], other: list[int] | None) -> list
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) for every row of ``pages``."""
-    names = ["page_id", "url", "text", "n_chars"]
-    schema = "page_id long, url string, text string, n_chars long"
-
-    def is_open(lines: list[Line]) -> bool:
-        return any(kind in (1, 3) for _, kind in lines)
+    """(page_id, url, text, n_chars, n_lines, n_shared, n_marked) for every row of ``pages``.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                found = [lines_of(h.as_py()) for h in part.column(2)]
-                own = [k for k, lines in enumerate(found) if is_open(lines)]
-                part, found = part.take(pa.array(own, pa.int64())), [found[k] for k in own]
-                places = [host_and_path(u) for u in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), part.column(1),
-                        pa.array([h for h, _ in places], pa.string()),
-                        pa.array([p for _, p in places], pa.string()),
-                        pa.array([[k for _, k in lines] for lines in found], pa.list_(pa.int8())),
-                        # Texts of marked lines are not needed again.
-                        pa.array([["" if k == 2 else t for t, k in lines] for lines in found],
-                                 pa.list_(pa.string())),
-                        pa.array([[line_hash(t) for t, _ in lines] for lines in found],
-                                 pa.list_(pa.int64())),
-                    ],
-                    names=["page_id", "url", "host", "path", "kinds", "texts", "hashes"],
-                )
-
-    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n_shared counts the lines that differencing deletes, n_marked those that only an
+    element tells to be no text of the page.
+    """
+    def parsed(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                found = [lines_of(h.as_py()) for h in part.column(2)]
-                own = [k for k, lines in enumerate(found) if not is_open(lines)]
-                texts = ["\n".join(t for t, kind in found[k] if kind == 0) for k in own]
-                kept = part.take(pa.array(own, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [kept.column(0), kept.column(1), pa.array(texts, pa.string()),
-                     pa.array([len(t) for t in texts], pa.int64())], names=names,
-                )
-
-    read = pages.select(F.col("page_id").cast("long"), "url", "html")
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield make(part, [lines_of(h.as_py()) for h in part.column(4)])
+
+    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def make(part: pa.RecordBatch, found: list[list[Line]]) -> pa.RecordBatch:
+            places = [host_and_path(u) for u in part.column(3).to_pylist()]
+            return pa.RecordBatch.from_arrays(
+                [
+                    part.column(0), part.column(1),
+                    pa.array([h for h, _ in places], pa.string()), pa.array([p for _, p in places], pa.string()),
+                    pa.array([[k for _, k in lines] for lines in found], pa.list_(pa.int8())),
+                    pa.array([[line_hash(t) for t, _ in lines] for lines in found], pa.list_(pa.int64())),
+                    pa.array([[len(t) for t, _ in lines] for lines in found], pa.list_(pa.int32())),
+                ],
+                names=["k1", "k2", "host", "path", "kinds", "hashes", "sizes"],
+            )
+
+        return parsed(batches, make)
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def make(part: pa.RecordBatch, found: list[list[Line]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [
+                    *part.columns[:4], pa.array([[k for _, k in lines] for lines in found], pa.list_(pa.int8())),
+                    # Texts of marked lines are not needed again.
+                    pa.array([["" if k == 2 else t for t, k in lines] for lines in found], pa.list_(pa.string())),
+                ],
+                names=["k1", "k2", "page_id", "url", "kinds", "texts"],
+            )
+
+        return parsed(batches, make)
+
+    # Rows of one key are the same page.
+    read = pages.select(
+        F.xxhash64("page_id", "url").alias("k1"), F.xxhash64("html").alias("k2"), F.col("page_id").cast("long"), "url", "html"
+    )
     rows = stage(
         read.mapInArrow(
-            cut,
-            "page_id long, url string, host string, path string, kinds array<byte>,"
-            " texts array<string>, hashes array<long>",
-        ).withColumn("uid", F.monotonically_increasing_id()),
+            outline, "k1 long, k2 long, host string, path string, kinds array<byte>, hashes array<long>, sizes array<int>"
+        ).where("host <> ''").withColumn("uid", F.monotonically_increasing_id()),
         "pagetext-lines",
     )
-    hosted = rows.where("host <> ''")
     partitions = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    outside = "transform(filter(arrays_zip(kinds, hashes), x -> x.kinds <> 0), x -> x.hashes)"
-    unmarked = "filter(arrays_zip(kinds, hashes, texts), x -> x.kinds <> 2)"
-    rows_of = rows.select("uid", "page_id", "url", "kinds", "texts", F.expr(outside).alias("own"))
-    pairs = partners(hosted.select(
-        "uid", "host", "path",
-        F.expr(f"transform({unmarked}, x -> x.hashes)").alias("lines"),
-        F.expr(f"transform({unmarked}, x -> char_length(x.texts))").alias("sizes"),
-    ), partitions)
-    other = hosted.select(F.col("uid").alias("other"), F.expr(outside).alias("other_outside"))
-    met = rows_of.join(pairs.join(other, "other").select("uid", "other_outside"), "uid", "left")
-
-    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # The longer common path; of equal ones the page before.
+    best = F.max_by("shared", F.struct("n", -F.col("side")))
+    decisions = stage(
+        partners(rows, partitions).groupBy("k1", "k2").agg(best.alias("shared")), "pagetext-shared"
+    )
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for kinds, texts, own, others in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
-                found.append("\n".join(texts[k] for k in left_over(kinds, own, others)))
+            found, counts = [], []
+            for kinds, lines, shared in zip(*(batch.column(k).to_pylist() for k in range(2, 5))):
+                left = left_over(kinds, shared)
+                gone = set(shared or ()).difference(left)
+                found.append("\n".join(lines[k] for k in left))
+                counts.append((len(found[-1]), len(kinds), len(gone), sum(x == 2 and k not in gone for k, x in enumerate(kinds))))
+            numbers = [pa.array(c, pa.int64()) for c in (zip(*counts) if counts else [()] * 4)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.string()),
-                 pa.array([len(t) for t in found], pa.int64())], names=names,
+                [batch.column(0), batch.column(1), pa.array(found, pa.string()), *numbers],
+                names=["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_marked"],
             )
 
-    # An article alone is cut where the page is read; only pages with open lines travel.
-    return read.mapInArrow(done, schema).unionByName(
-        met.select("page_id", "url", "kinds", "texts", "own", "other_outside").mapInArrow(difference, schema)
+    # The pages are read again instead of being kept: only lines that may be text are shuffled.
+    met = read.mapInArrow(
+        texts, "k1 long, k2 long, page_id long, url string, kinds array<byte>, texts array<string>"
+    ).join(decisions.hint("merge"), ["k1", "k2"], "left")  # alike at every size
+    return met.select("page_id", "url", "kinds", "texts", "shared").mapInArrow(
+        finish, "page_id long, url string, text string, n_chars long, n_lines long, n_shared long, n_marked long"
     )
