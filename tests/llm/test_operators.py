@@ -520,10 +520,91 @@ def test_marks_around_the_article():
         f'<article><div class="ad">{story}</div></article>',
     ):
         assert text_lines(page) == want, page
+    for inner in ('<div class="comment-text">r</div>', '<p class="ad-content">b</p>', '<div id="newsletter-body">n</div>', '<ul class="related-content"><li>x</ul>'):
+        assert text_lines(f"<article>{story}{inner}</article>") == want, inner
+    assert text_lines(f'<article class="story-ad-free">{story}</article>') == want
+    for page in (f"<main><article>{story}</article><article>Teaser</article></main>", f"<article>Teaser</article><article>{story}</article>"):
+        assert text_lines(page) == want
+    assert text_lines("<article>one of two</article><article>two of two</article>") == ["one of two", "two of two"]
     assert text_lines(f"<div hidden><article>{story}</article></div><p>seen</p>") == ["seen"]
     assert text_lines('<div class="ad">b</div><nav>n</nav>') == []
 
 
+def test_long_odd_pages_are_read_in_linear_time():
+    for unit in ("<a ", '<a "', "<a '\"", "<", "<!", "<!-- ", '<a ">" ', "<div>", "<nav><article>x", "</p>", "<p class='ad'>x", "<b><i>", "&amp;", "<script>"):
+        page = unit * (2_000_000 // len(unit))
+        began = time.time()
+        pagetext.lines_of(page)
+        assert time.time() - began < 15, unit
+
+
+def test_differencing_decides_on_every_page(spark):
+    page = lambda n: f"<nav>Home</nav><div>Site</div><article>Story {n}</article><div class='comment'>Reply {n}</div><footer>Imprint</footer>"
+    df = spark.createDataFrame([(n, f"http://h.org/a/{n}", page(n)) for n in range(6)] + [(9, None, page(9))] * 2, "page_id long, url string, html string")
+    got = pagetext.main_text(df).collect()
+    assert {(r["page_id"], r["text"], r["n_lines"], r["n_shared"], r["n_marked"]) for r in got} == {
+        (n, f"Story {n}", 5, 3, 1) for n in range(6)} | {(9, "Story 9", 5, 0, 3)}
+    assert len(got) == 8
+
+
+def brute_pages(pages):
+    """Texts by the rules as written: copies, partners and a table of common subsequences."""
+    lines = [pagetext.lines_of(h) for _, _, h in pages]
+    places = [pagetext.host_and_path(u) for _, u, _ in pages]
+    order = sorted((k for k in range(len(pages)) if places[k][0]), key=lambda k: (places[k], k))
+    out = []
+    for k in range(len(pages)):
+        kinds = [x for _, x in lines[k]]
+        unmarked = [t for t, x in lines[k] if x != 2]
+        total, best = sum(map(len, unmarked)), None
+        for side, step in ((0, -1), (1, 1)) if places[k][0] else ():
+            at = order.index(k) + step
+            while 0 <= at < len(order) and places[order[at]][0] == places[k][0]:
+                held = {t for t, x in lines[order[at]] if x != 2}
+                same = sum(len(t) for t in unmarked if t in held)
+                if not (same == total or (2 * same > total and same >= 200)):
+                    found = (pagetext.common(places[k][1], places[order[at]][1]), -side, order[at])
+                    best = max(best, found, key=lambda x: x[:2]) if best else found
+                    break
+                at += step
+        gone = None
+        if best:
+            a, b = [t for t, _ in lines[k]], [t for t, _ in lines[best[2]]]
+            table = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+            for i in range(len(a) - 1, -1, -1):
+                for j in range(len(b) - 1, -1, -1):
+                    table[i, j] = table[i + 1, j + 1] + 1 if a[i] == b[j] else max(table[i + 1, j], table[i, j + 1])
+            gone = table[0, 0]
+        out.append((kinds, [t for t, _ in lines[k]], gone))
+    return out
+
+
+def test_pages_brute(spark):
+    rng = random.Random(21)
+    pages = []
+    for n in range(60):
+        site = rng.choice(["a.org", "b.org"])
+        body = "".join(f"<p>{site} {rng.randint(0, 5)} {'long ' * rng.randint(1, 9)}</p>" for _ in range(rng.randint(0, 6)))
+        parts = [f"<nav>menu {site}</nav>", f"<div>{site}</div>", f"<article>{body}</article>" if rng.random() < 0.5 else body, f"<div>end {site}</div>"]
+        pages.append((n, f"http://{site}/{rng.randint(0, 3)}/{n:02}", "".join(parts)))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in pagetext.main_text(df).collect()}
+    for (n, _, _), (kinds, texts, common) in zip(pages, brute_pages(pages)):
+        row = got[n]
+        assert row["n_lines"] == len(kinds)
+        kept = row["text"].split("\n") if row["text"] else []
+        if common is None:
+            left = [t for t, x in zip(texts, kinds) if x in (0, 3)] or [t for t, x in zip(texts, kinds) if x == 1]
+            assert kept == left
+        else:
+            article = [t for t, x in zip(texts, kinds) if x == 0]
+            rest = iter(t for t, x in zip(texts, kinds) if x != 2)
+            assert all(t in rest for t in kept) and all(t in kept for t in article)
+            assert row["n_shared"] <= common  # what the article keeps is not counted
+            if not article and row["n_shared"] < common:
+                assert kept == [t for t, x in zip(texts, kinds) if x == 1]  # nothing else was left
+
+
 def page_texts(spark, pages):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     return {r["page_id"]: r["text"] for r in pagetext.main_text(df).collect()}
