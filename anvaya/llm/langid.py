@@ -10,7 +10,9 @@ about ``docs_per_lang`` documents a language, chosen by the hash of doc_id
 among those whose crc32(doc_id) mod 5 is not 0. Every text is scored whole.
 
 Letters that are no piece count with one fixed small probability in every
-language. Runs of letters over ``LONGEST`` are cut at every ``LONGEST`` letters.
+language. Runs of letters, with their combining marks, are words whatever their length.
+The score is the posterior probability of the language if all languages are as likely and
+words independent, so it is close to 1 for most long texts and says little about doubt.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
 0, as is every text if there is nothing to learn from; equal scores go to the
@@ -22,6 +24,8 @@ result; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,23 +35,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DOCS_PER_LANG = 500
-LONGEST = 24
+#: Languages beyond the most frequent ones are not learned.
+MOST_LANGS = 1000
+#: Up to so many letters words are scored together; and how much of a long one is held at once.
+BATCHED, PART = 24, 65_536
 ROUNDS = 3
 UNKNOWN = 1e-7
 SMOOTHING = 0.02
 CACHE_WORDS = 400_000
 UNDETERMINED = "und"
 MARK = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(1_000_003)
 
 
+def _character_class(*categories: str) -> str:
+    """The code points of Unicode categories, as ranges for a pattern."""
+    ranges: list[list[int]] = []
+    for n in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(n))[0] in categories:
+            if ranges and ranges[-1][1] == n - 1:
+                ranges[-1][1] = n
+            else:
+                ranges.append([n, n])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+#: A letter and what follows of letters and their marks.
+LETTERS = re.compile(f"[{_character_class('L')}][{_character_class('L', 'M')}]*")
+
+
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters, none longer than ``LONGEST``."""
-    found = LETTERS.findall(text.lower())
-    if max(map(len, found), default=0) <= LONGEST:
-        return found
-    return [w[k : k + LONGEST] for w in found for k in range(0, len(w), LONGEST)]
+    """Lower-cased runs of letters with their marks, of any length."""
+    return LETTERS.findall(text.lower())
 
 
 @dataclass(frozen=True)
@@ -151,14 +170,87 @@ def forward(arcs: Arcs, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def long_arcs(word: str, vocabulary: Vocabulary) -> list[list[tuple[int, int]]]:
+    """For each end position in a word of any length the (start, piece) that end there."""
+    codes = np.frombuffer((MARK + word).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    arcs: list[list[tuple[int, int]]] = [[] for _ in range(len(codes) + 1)]
+    hashes = np.zeros(len(codes), np.uint64)
+    for size in range(1, min(len(codes), max(vocabulary.by_length)) + 1):
+        hashes = hashes[: len(codes) - size + 1] * _BASE + codes[size - 1 :]
+        if (known := vocabulary.by_length.get(size)) is None:
+            continue
+        table, numbers = known
+        at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+        hit = table[at] == hashes
+        for start in np.flatnonzero(hit).tolist():
+            arcs[start + size].append((start, int(numbers[at[start]])))
+        if size == 1:
+            for start in np.flatnonzero(~hit).tolist():
+                arcs[start + 1].append((start, vocabulary.size))
+    return arcs
+
+
+def long_forward(arcs: list[list[tuple[int, int]]], logs: np.ndarray) -> np.ndarray:
+    """[position, language] log mass of all segmentations up to a position; never underflows."""
+    alpha = np.zeros((len(arcs), logs.shape[1]))
+    for end in range(1, len(arcs)):
+        starts, pieces = zip(*arcs[end])
+        alpha[end] = np.logaddexp.reduce(alpha[list(starts)] + logs[list(pieces)], axis=0)
+    return alpha
+
+
+def long_expected(arcs: list[list[tuple[int, int]]], logs: np.ndarray, counts: np.ndarray, expected: np.ndarray) -> None:
+    """Add the expected piece counts of one long word that occurs ``counts`` times a language."""
+    alpha = long_forward(arcs, logs)
+    beta = np.full_like(alpha, -np.inf)
+    beta[-1] = 0
+    for end in range(len(arcs) - 1, 0, -1):
+        starts, pieces = (list(x) for x in zip(*arcs[end]))
+        out = beta[end] + logs[pieces]
+        expected_here = np.exp(alpha[starts] + out - alpha[-1]) * counts
+        np.add.at(expected, pieces, expected_here)
+        for start, value in zip(starts, out):
+            beta[start] = np.logaddexp(beta[start], value)
+
+
 def log_probabilities(words: list[str], vocabulary: Vocabulary, p: np.ndarray) -> np.ndarray:
-    """[word, language] log probabilities, all segmentations summed."""
+    """[word, language] log probabilities, all segmentations summed.
+
+    Words up to ``BATCHED`` letters go together by length; longer ones one by one, in logs.
+    """
     out = np.zeros((len(words), p.shape[1]))
-    for arcs in lattices(words, vocabulary):
-        out[arcs.words] = np.log(forward(arcs, p)[-1])
+    short = [n for n, w in enumerate(words) if len(w) <= BATCHED]
+    for arcs in lattices([words[n] for n in short], vocabulary):
+        out[np.array(short)[arcs.words]] = np.log(forward(arcs, p)[-1])
+    logs = np.log(p)
+    for n, word in enumerate(words):
+        if len(word) > BATCHED:
+            out[n] = long_log_probability(word, vocabulary, logs)
     return out
 
 
+def long_log_probability(word: str, vocabulary: Vocabulary, logs: np.ndarray) -> np.ndarray:
+    """Log probabilities of a word of any length, read in parts that overlap by a piece."""
+    most = max(vocabulary.by_length)
+    text = MARK + word
+    tail = np.zeros((1, logs.shape[1]))  # log mass at the last positions so far
+    done = 0
+    while done < len(text):
+        stop = min(len(text), done + PART)
+        first = max(0, done - most)
+        arcs = long_arcs(text[first + 1 : stop] if first == 0 else text[first:stop], vocabulary)
+        if first:
+            arcs = [[(a - 1, piece) for a, piece in own if a > 0] for own in arcs[1:]]  # without the mark put in front
+        alpha = np.full((stop - first + 1, logs.shape[1]), -np.inf)
+        alpha[: len(tail)] = tail
+        for end in range(done - first + 1, stop - first + 1):
+            starts, pieces = zip(*arcs[end])
+            alpha[end] = np.logaddexp.reduce(alpha[list(starts)] + logs[list(pieces)], axis=0)
+        done = stop
+        tail = alpha[-min(most + 1, stop + 1) :]
+    return tail[-1]
+
+
 def learn(
     words: list[str], counts: np.ndarray, vocabulary: Vocabulary, rounds: int = ROUNDS
 ) -> np.ndarray:
@@ -166,13 +258,15 @@ def learn(
     n_langs = counts.shape[1]
     p = np.full((vocabulary.size + 1, n_langs), 1.0 / max(1, vocabulary.size))
     p[-1] = UNKNOWN
-    graph = lattices(words, vocabulary)
+    short = np.array([n for n, w in enumerate(words) if len(w) <= BATCHED], dtype=np.int64)
+    graph = lattices([words[n] for n in short.tolist()], vocabulary)
+    long = [(long_arcs(w, vocabulary), counts[n]) for n, w in enumerate(words) if len(w) > BATCHED]
     for _ in range(rounds):
         expected = np.zeros_like(p)
         for arcs in graph:
             alpha = forward(arcs, p)
             beta = np.zeros_like(alpha)
-            beta[-1] = counts[arcs.words] / alpha[-1]
+            beta[-1] = counts[short[arcs.words]] / alpha[-1]
             for end in range(arcs.length, 0, -1):
                 rows, starts, pieces = arcs.ends[end - 1]
                 out = beta[end, rows] * p[pieces]
@@ -180,6 +274,9 @@ def learn(
                 use = out * alpha[starts, rows]
                 for k in range(n_langs):
                     expected[:, k] += np.bincount(pieces, weights=use[:, k], minlength=len(p))
+        logs = np.log(p)
+        for arcs, own in long:
+            long_expected(arcs, logs, own, expected)
         expected = expected[:-1] + SMOOTHING
         p[:-1] = expected / expected.sum(0)
         p[-1] = UNKNOWN
@@ -191,7 +288,8 @@ def training_counts(docs: DataFrame, docs_per_lang: int) -> tuple[list[str], lis
     usable = docs.select("doc_id", "text", "lang").where(
         "lang is not null and text is not null and crc32(cast(doc_id as string)) % 5 <> 0"
     )
-    totals = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counted = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    totals = {r["lang"]: r["n"] for r in counted.collect()}
     if not totals:
         return [], [], np.zeros((0, 0))
     langs = sorted(totals)
@@ -240,7 +338,10 @@ class Scorer:
         """[text, language] sums over the words of each text."""
         if len(self._place) > CACHE_WORDS:
             self._place, self._known = {}, self._known[:0]
-        fresh = sorted(set().union(*texts).difference(self._place))
+        distinct = set().union(*texts)
+        long = {w: n for n, w in enumerate(sorted(w for w in distinct if len(w) > BATCHED))}  # not worth keeping
+        scores = log_probabilities(list(long), self.vocabulary, self.p)
+        fresh = sorted(distinct.difference(self._place).difference(long))
         parts = [self._known]
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
@@ -249,9 +350,14 @@ class Scorer:
         self._place.update(zip(fresh, range(len(self._place), len(self._known))))
         out = np.zeros((len(texts), self.p.shape[1]))
         for n, words in enumerate(texts):
+            if long:
+                for word in words:
+                    if word in long:
+                        out[n] += scores[long[word]]
+                words = [w for w in words if w not in long]
             if words:
                 at = np.fromiter(map(self._place.__getitem__, words), np.int64, len(words))
-                out[n] = self._known[at].sum(0)
+                out[n] += self._known[at].sum(0)
         return out
 
 
