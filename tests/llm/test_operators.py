@@ -476,13 +476,54 @@ def test_forward_sums_all_segmentations():
         cuts = ((piece(text[:n]), text[n:]) for n in range(1, len(text) + 1))
         return sum(p[x, k] * total(rest, k) for x, rest in cuts if x is not None)
 
-    words = ["the", "thing", "語z", "a"]
+    words = ["the", "thing", "語z", "a", "हिन्दी"]
     got = langid.log_probabilities(words, vocabulary, p)
     for n, word in enumerate(words):
         for k in range(2):
             assert np.isclose(np.exp(got[n, k]), total("▁" + word, k))
 
 
+def test_long_runs_are_summed_whole(monkeypatch):
+    vocabulary = langid.Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(7)
+    p = rng.random((vocabulary.size + 1, 3)) / 10
+    words = ["".join(rng.choice(list("theringanostdu語")) for _ in range(n)) for n in (1, 12, 24, 25, 40)]
+    counts = rng.integers(0, 5, (len(words), 3)) + 1.0
+    found = []
+    for batched, part in ((200, 65_536), (24, 65_536), (0, 40), (0, 17)):
+        monkeypatch.setattr(langid, "BATCHED", batched)
+        monkeypatch.setattr(langid, "PART", part)
+        found.append((langid.log_probabilities(words, vocabulary, p), langid.learn(words, counts, vocabulary)))
+    for logs, learned in found[1:]:
+        assert np.allclose(logs, found[0][0]) and np.allclose(learned, found[0][1])
+    began = time.time()
+    assert np.isfinite(langid.log_probabilities(["語x" * 100_000], vocabulary, p)).all() and time.time() - began < 30
+
+
+def test_letters_keep_their_marks():
+    assert langid.words_of("हिन्दी भाषा, ½² x̂y 1st") == ["हिन्दी", "भाषा", "x̂y", "st"]
+
+
+def test_expected_counts_brute():
+    vocabulary = langid.Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
+    words, counts = ["the", "thing"], np.array([[2.0], [1.0]])
+    p = np.full(vocabulary.size + 1, 1.0 / vocabulary.size)
+    p[-1] = langid.UNKNOWN
+    expected = np.zeros(vocabulary.size + 1)
+    for word, n in zip(words, counts[:, 0]):
+        arcs = langid.long_arcs(word, vocabulary)
+
+        def ways(end):
+            return [[]] if end == 0 else [w + [x] for start, x in arcs[end] for w in ways(start)]
+
+        every = ways(len(word) + 1)
+        mass = [np.prod(p[w]) for w in every]
+        for w, m in zip(every, mass):
+            np.add.at(expected, w, n * m / sum(mass))
+    want = expected[:-1] + langid.SMOOTHING
+    assert np.allclose(langid.learn(words, counts, vocabulary, rounds=1)[:-1, 0], want / want.sum())
+
+
 def test_pages(spark):
     site = lambda n, body: (n, f"http://h.org/a/{n}", f"<html><head><title>t</title></head><body><div>Site name</div><div>Menu</div>{body}<div>Imprint</div></body></html>")
     pages = [
