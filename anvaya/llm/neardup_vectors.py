@@ -8,10 +8,9 @@ the exact cosine in double precision and emits, for each vector, how many
 others it links to, plus a spanning forest of the links. A pair that meets in
 several tables is counted in the first only.
 
-``TABLES`` substrings of ``KEY_BITS`` bits: a pair at cosine 0.98 differs in
-about one bit of sixteen, so it is missed with probability of about
-(1 - 0.9375**12)**10 = 0.002; closer pairs far less often. Measured recall is
-in the README.
+Width and number of the tables follow from the number of vectors (``table_sizes``), so that
+buckets do not fill up as it grows, and a pair at the threshold is missed with a probability
+of about ``MISSED``; closer pairs far less often. Measured recall is in the README.
 
 Buckets of any size are whole: one with more than ``TILE_ROWS`` rows is cut into
 tiles and all pairs of tiles meet, in separate tasks. Equal vectors of one label
@@ -26,6 +25,7 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +36,28 @@ from pyspark.sql import functions as F
 from anvaya.llm.common import connected_components, discard, sorted_slices, spanning_pairs, stage
 
 THRESHOLD = 0.98
-TABLES = 10
-KEY_BITS = 12
+#: A table has so many more bits than the logarithm of the number of vectors; the share of
+#: links at the threshold that all tables together may miss.
+SPARE_BITS, MISSED = 2, 0.002
+LEAST_BITS, MOST_BITS = 8, 30
 SAMPLE_ROWS = 5000
 ROUNDS = 30
 TILE_ROWS = 2048
 SEED = 20240229
 
 
+def table_sizes(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """(tables, bits of each) for n vectors.
+
+    A bit of two vectors at an angle a differs with probability a / pi. With 2 ** bits beyond
+    n, chance neighbours of a vector stay few in every table, however many vectors there
+    are; the number of tables grows instead, with a power of n under a fifth.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(2, n))) + SPARE_BITS))
+    agree = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-agree))) if agree < 1 else 1, bits
+
+
 def learn_rotations(sample: np.ndarray, bits: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Mean and stacked rotations [dimension, bits] that give balanced codes of the sample.
 
@@ -81,15 +95,14 @@ def unit_rows(column: pa.Array, dims: int) -> np.ndarray:
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
-def link_vectors(
-    vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES,
-    key_bits: int = KEY_BITS, tile_rows: int = TILE_ROWS,
-) -> DataFrame:
+def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``."""
     spark = vectors.sparkSession
+    # Floats travel as they are and are compared in double precision.
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"),
-        F.col("embedding").cast("array<double>").alias("embedding"),
+        F.col("embedding").cast(kind).alias("embedding"),
         F.col("label").cast("string").alias("label"),
     )
     common = (
@@ -105,7 +118,7 @@ def link_vectors(
     )
     marked = stage(
         rows.withColumn("usable", F.coalesce(usable, F.lit(False)) & F.lit(dims > 0))
-        .withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0))),
+        .withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0).cast(kind[6:-1]))),
         "vectors-rows",
     )
     loose = marked.where("not usable").select(
@@ -125,6 +138,7 @@ def link_vectors(
     total = classes.count()
     if not total:
         return loose
+    tables, key_bits = table_sizes(total, threshold)
     share = min(1.0, SAMPLE_ROWS / total)
     sample = classes.where(
         F.pmod(F.xxhash64("embedding"), F.lit(1_000_000)) <= int(share * 1_000_000)
@@ -142,35 +156,36 @@ def link_vectors(
                 found = substrings(unit_rows(part.column(3), dims), mean, rotation, tables)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), tables)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), part.column(3),
-                     lists.cast(pa.list_(pa.int32()))],
+                    [*part.columns, lists.cast(pa.list_(pa.int32()))],
                     names=["class_id", "label", "copies", "embedding", "codes"],
                 )
 
     coded = stage(
         classes.select("class_id", "label", "copies", "embedding").mapInArrow(
-            keys, "class_id long, label string, copies long, embedding array<double>, codes array<int>"
+            keys, f"class_id long, label string, copies long, embedding {kind}, codes array<int>"
         ),
         "vectors-coded",
     )
+    # Only (bucket, class) rows travel here. The bucket is a hash of all that must agree; that
+    # two buckets share one costs a few comparisons, not a wrong link: labels are compared again.
+    placed = coded.select("class_id", F.posexplode("codes").alias("slot", "code"), "label").select(
+        "class_id", "slot", F.xxhash64("label", "slot", "code").alias("bucket")
+    )
     buckets = (
-        coded.select("label", F.posexplode("codes").alias("slot", "code"))
-        .groupBy("label", "slot", "code").agg(F.count("*").alias("n")).where("n > 1")
-        .withColumn("tiles", F.ceil(F.col("n") / tile_rows).cast("int"))
-        .select("label", "slot", "code", "tiles")
+        placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        .select("bucket", F.ceil(F.col("n") / tile_rows).cast("int").alias("tiles"))
     )
-    # Rows alone in their bucket stay behind here; a bucket of t tiles meets as t * (t + 1) / 2 pairs.
+    # Rows alone in their bucket stay behind; a bucket of t tiles meets as t * (t + 1) / 2 pairs.
+    # Vectors are fetched once a row and bucket, after all others have gone.
     spread = (
-        coded.select("*", F.posexplode("codes").alias("slot", "code"))
-        .join(buckets, ["label", "slot", "code"])
+        placed.join(buckets, "bucket")
         .withColumn("own", F.expr("cast(pmod(hash(class_id), tiles) as int)"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select(
-            F.xxhash64("label", "slot", "code").alias("bucket"),
-            F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-            (F.col("own") == F.col("low")).alias("first"), "slot", "class_id", "copies", "codes",
-            "embedding", "label",
+            "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+            (F.col("own") == F.col("low")).alias("first"), "slot", "class_id",
         )
+        .join(coded.select("class_id", F.xxhash64("label").alias("tag"), "copies", "codes", "embedding"), "class_id")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +196,7 @@ def link_vectors(
             if not held or sum(len(h[0]) for h in held) < 2:
                 return None
             ids, copies, first = (np.concatenate([h[k] for h in held]) for k in range(3))
-            codes, units = (np.concatenate([h[k] for h in held]) for k in (3, 4))
+            codes, units, tags = (np.concatenate([h[k] for h in held]) for k in (3, 4, 5))
             slot, low, high = current[3], current[1], current[2]
             a, b = (first, ~first) if low != high else (first, first)
             counts = np.zeros(len(ids), dtype=np.int64)
@@ -190,6 +205,7 @@ def link_vectors(
             for at in range(0, len(rows_a), 1024):
                 i = rows_a[at : at + 1024]
                 near = units[i] @ units[rows_b].T >= threshold
+                near &= tags[i][:, None] == tags[rows_b][None, :]
                 if low == high:
                     near &= i[:, None] != rows_b[None, :]
                 for earlier in range(slot):
@@ -225,13 +241,13 @@ def link_vectors(
             held.append((
                 part.column("class_id").to_numpy(), part.column("copies").to_numpy(),
                 part.column("first").to_numpy(zero_copy_only=False), codes,
-                unit_rows(part.column("embedding"), dims),
+                unit_rows(part.column("embedding"), dims), part.column("tag").to_numpy(),
             ))
         if (out := finish()) is not None:
             yield out
 
     met = stage(
-        spread.select("bucket", "low", "high", "slot", "first", "class_id", "copies", "codes", "embedding")
+        spread.select("bucket", "low", "high", "slot", "first", "class_id", "copies", "codes", "embedding", "tag")
         .repartition("bucket", "low", "high")
         .sortWithinPartitions("bucket", "low", "high", "slot")
         .mapInArrow(compare, "class_id long, other_id long, links long"),
