@@ -21,6 +21,8 @@ gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,6 +43,12 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 #: Public license notices, as they are usually written.
 TEMPLATES = {
+    "AGPL-3.0 notice": """This program is free software: you can redistribute it and/or modify it
+        under the terms of the GNU Affero General Public License as published by the Free
+        Software Foundation, either version 3 of the License, or (at your option) any later
+        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+        PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0 notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may
         not use this file except in compliance with the License. You may obtain a copy of the
@@ -55,6 +63,15 @@ TEMPLATES = {
         conditions and the following disclaimer. Redistributions in binary form must reproduce
         the above copyright notice, this list of conditions and the following disclaimer in the
         documentation and/or other materials provided with the distribution.""",
+    "BSD-3-Clause endorsement": """Neither the name of the copyright holder nor the names of its
+        contributors may be used to endorse or promote products derived from this software
+        without specific prior written permission.""",
+    "BSL-1.0 grant": """Permission is hereby granted, free of charge, to any person or organization
+        obtaining a copy of the software and accompanying documentation covered by this license
+        (the "Software") to use, reproduce, display, distribute, execute, and transmit the
+        Software, and to prepare derivative works of the Software, and to permit third-parties
+        to whom the Software is furnished to do so""",
+    "BSL-1.0 line": "Distributed under the Boost Software License, Version 1.0",
     "BSD disclaimer": """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
         AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
         WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
@@ -67,6 +84,9 @@ TEMPLATES = {
         Attribution-ShareAlike 4.0 International License""",
     "CC0 statement": """To the extent possible under law, the author has waived all copyright and
         related or neighboring rights to this work""",
+    "EPL-2.0 notice": """This program and the accompanying materials are made available under the
+        terms of the Eclipse Public License 2.0 which is available at
+        https://www.eclipse.org/legal/epl-2.0""",
     "GPL-2.0 line": "This work is licensed under the GNU General Public License, version 2",
     "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3",
     "GPL notice": """This program is free software: you can redistribute it and/or modify it under
@@ -78,6 +98,12 @@ TEMPLATES = {
     "ISC notice": """Permission to use, copy, modify, and/or distribute this software for any purpose
         with or without fee is hereby granted, provided that the above copyright notice and this
         permission notice appear in all copies.""",
+    "LGPL notice": """This library is free software; you can redistribute it and/or modify it under
+        the terms of the GNU Lesser General Public License as published by the Free Software
+        Foundation; either version 2.1 of the License, or (at your option) any later version.
+        This library is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+        PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
     "MIT line": "Released under the MIT License",
     "MIT notice": """Permission is hereby granted, free of charge, to any person obtaining a copy of
         this software and associated documentation files (the "Software"), to deal in the
@@ -89,6 +115,7 @@ TEMPLATES = {
     "MPL-2.0 notice": """This Source Code Form is subject to the terms of the Mozilla Public License,
         v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
         https://mozilla.org/MPL/2.0/.""",
+    "OFL-1.1 line": "This Font Software is licensed under the SIL Open Font License, Version 1.1",
     "Unlicense notice": """This is free and unencumbered software released into the public domain.
         Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
         software, either in source code form or as a compiled binary, for any purpose,
@@ -165,7 +192,7 @@ class Library:
     def build(templates: dict[str, str]) -> "Library":
         hashes = WordHashes()
         names = sorted(templates)
-        sets = [np.unique(shingles(hashes.of(WORD.findall(templates[n].lower())))) for n in names]
+        sets = [np.unique(shingles(hashes.of(WORD.findall(lowered(templates[n]))))) for n in names]
         sizes: dict[int, list[int]] = {}
         for k, values in enumerate(sets):
             if len(values):
@@ -215,10 +242,42 @@ class Library:
         return found
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, every letter still at its place."""
+    return text.replace("İ", "i").lower()  # the one letter that would become two
+
+
+def outermost(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """The sorted spans that lie in no other one of higher share.
+
+    From the highest share down, each is compared with the furthest end among the
+    higher ones that start no later, kept in a binary indexed tree.
+    """
+    starts = sorted({x[0] for x in spans})
+    ends = [0] * (len(starts) + 1)
+
+    def reach(k: int) -> int:
+        best = 0
+        while k:
+            best, k = max(best, ends[k]), k & (k - 1)
+        return best
+
+    kept = []
+    for _, group in itertools.groupby(sorted(spans, key=lambda x: -x[3]), key=lambda x: x[3]):
+        group = list(group)
+        kept += [x for x in group if reach(bisect.bisect_right(starts, x[0])) < x[1]]
+        for x in group:
+            k = bisect.bisect_right(starts, x[0])
+            while k < len(ends):
+                ends[k] = max(ends[k], x[1])
+                k += k & -k
+    return sorted(kept)
+
+
 def matches(text: str, library: Library, hashes: WordHashes) -> list[tuple[int, int, str, float]]:
     """(start, end, name, containment) in code points, end exclusive."""
-    words = WORD.findall(text.lower())
-    values = shingles(hashes.of(words))
+    low = lowered(text)
+    values = shingles(hashes.of(WORD.findall(low)))
     found = [
         (first, last, library.names[template], share)
         for template in library.retrieve(values)
@@ -226,18 +285,11 @@ def matches(text: str, library: Library, hashes: WordHashes) -> list[tuple[int,
     ]
     if not found:
         return []
-    # Lower-casing may change the length of a text; offsets are those of the text itself.
-    places = [m.span() for m in WORD.finditer(text)]
-    if len(places) != len(words):
-        places = [m.span() for m in WORD.finditer(text.lower())]
-    spans = sorted(
+    places = [m.span() for m in WORD.finditer(low)]
+    return outermost([
         (places[first][0], places[last + SHINGLE - 1][1], name, share)
         for first, last, name, share in found
-    )
-    return [
-        x for x in spans
-        if not any(y[0] <= x[0] and x[1] <= y[1] and y[3] > x[3] for y in spans)
-    ]
+    ])
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
