@@ -427,6 +427,9 @@ def test_vectors(spark):
     np.fill_diagonal(link, False)
     true = int(link.sum())
     found = sum(x[0] for own in got.values() for x in own)
+    for n in (2, 1000, 10**6, 10**9):
+        tables, bits = neardup_vectors.table_sizes(n)
+        assert 2**bits >= n and (1 - (1 - np.arccos(0.98) / np.pi) ** bits) ** tables <= 0.002
     assert true > 500 and 0.99 * true <= found <= true  # recall against brute force; never a false link
     for r in data:
         if r not in usable:
@@ -734,6 +737,12 @@ def test_licenses(spark, docs, empty):
         found = library.retrieve(licenses.shingles(hashes.of(licenses.WORD.findall(text.lower()))))
         assert brute(text) <= {library.names[k] for k in found}
         assert n % 2 or names[n % len(names)] in {m[2] for m in licenses.matches(text, library, hashes)}
+    assert [t[m[0] : m[1]] for t in ["İİ İ Released under the MIT License. End"] for m in licenses.matches(t, library, hashes)] == ["Released under the MIT License"]
+    spans = [(a, a + rng.randint(1, 9), "n", rng.randint(1, 4) / 4) for a in (rng.randint(0, 20) for _ in range(60))]
+    assert licenses.outermost(spans) == sorted(x for x in spans if not any(y[0] <= x[0] and x[1] <= y[1] and y[3] > x[3] for y in spans))
+    began = time.time()
+    assert len(licenses.matches("Released under the MIT License. Other words stand here between. " * 20_000, library, hashes)) == 20_000
+    assert time.time() - began < 30
     text = "Zäh. Released under the MIT License. End"
     assert [text[a:b] for a, b, *_ in licenses.matches(text, library, hashes)] == ["Released under the MIT License"]
     assert licenses.scan(docs).where("n_matches > 0").count() == 0 and licenses.scan(empty).count() == 0
