@@ -22,12 +22,11 @@ QUALITY = {
 #: Plausibility bonuses and penalties.
 BONUS = {
     "retrieval_score": 0.32, "lexical_anchor": 0.22, "n_gram": 0.18, "split": 0.08,
-    "multiword_predicate": 0.12, "frame_selection": 0.08, "lexical_span": 0.08,
+    "multiword_predicate": 0.12, "lexical_span": 0.08,
 }
 PENALTY = {"single_prefix": 0.16, "multiword_prefix": 0.18, "closed_class_anchor": 1.0,
-           "helper_only": 0.7, "auxiliary_anchor": 0.3, "copula_anchor": 0.24,
-           "support_material_present": 0.05}
-MIN_PLAUSIBILITY, MIN_FINAL = 0.28, 0.40
+           "helper_only": 0.7, "auxiliary_anchor": 0.3, "copula_anchor": 0.24}
+MIN_PLAUSIBILITY, MIN_FINAL = 0.28, 0.46
 CENTRE_PRIORITY = {
     "lexical_verb": 1.0, "light_verb_compound": 0.92, "predicative_adjective": 0.88,
     "predicative_nominal": 0.84, "lexical_predicate": 0.8, "lexical_adjective": 0.66,
@@ -251,46 +250,52 @@ def collapse_same_centre(rows: DataFrame) -> DataFrame:
     return rows.withColumn("decision", decision)
 
 
-def select_candidates(rows: DataFrame, min_similarity: float = 0.6, per_clause: int = 2, most: int = 3) -> DataFrame:
+def similarity(a: tuple, b: tuple) -> float:
+    """Of two candidates (final, rank, frame_id, family, start, stop, centre, centre_word, decision)."""
+    shared = max(0, min(a[5], b[5]) - max(a[4], b[4]))
+    ratio = shared / max(1, a[5] - a[4], b[5] - b[4])
+    return round(
+        0.35 * (a[6] == b[6]) + 0.15 * (abs(a[6] - b[6]) <= 1) + 0.25 * (ratio >= 0.5)
+        + 0.15 * (a[3] == b[3]) + 0.1 * (a[7] == b[7]), 4
+    )
+
+
+def select_candidates(rows: DataFrame, min_similarity: float = 0.6, per_centre: int = 2, most: int = 3) -> DataFrame:
     """Leader clustering of a sentence's candidates and the final pick.
 
-    Order decides, so each sentence is worked through in one go, in pandas; a
-    sentence has at most the few candidates that retrieval kept.
+    The best first: a candidate like a leader so far is its duplicate, others lead. Of the
+    leaders ``per_centre`` stay for each predicate centre and ``most`` for the sentence.
+    Order decides, so each sentence is worked through in one go; it has at most the few
+    candidates that retrieval kept.
     """
     schema = "sent_key string, frame_id string, cluster int, decision string, final double"
 
-    def similarity(a, b) -> float:
-        shared = max(0, min(a.stop, b.stop) - max(a.start, b.start))
-        ratio = shared / max(1, a.stop - a.start, b.stop - b.start)
-        return (
-            0.35 * (a.centre == b.centre) + 0.15 * (abs(a.centre - b.centre) <= 1)
-            + 0.25 * (ratio >= 0.5) + 0.15 * (a.family == b.family)
-            + 0.1 * (a.centre_word == b.centre_word)
-        )
-
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for key, items in zip(batch.sent_key, batch["items"]):
-                leaders: list = []
-                kept = 0
-                order = sorted((pd.Series(dict(x)) for x in items), key=lambda r: (-r.final, r["rank"]))
-                for row in order:
-                    if row.decision != "kept":
-                        out.append((key, row.frame_id, -1, row.decision, row.final))
+                leaders: list[tuple] = []
+                kept: dict[int, int] = {}
+                for row in sorted((tuple(x.values()) for x in items), key=lambda r: (-r[0], r[1])):
+                    final, _, frame, *_, centre, _, decision = row
+                    if decision != "kept":
+                        out.append((key, frame, -1, decision, final))
                         continue
-                    home = next((k for k, x in enumerate(leaders) if round(similarity(row, x), 4) >= min_similarity), None)
+                    home = next((k for k, x in enumerate(leaders) if similarity(row, x) >= min_similarity), None)
                     if home is not None:
-                        out.append((key, row.frame_id, home, "duplicate_of_leader", row.final))
+                        out.append((key, frame, home, "duplicate_of_leader", final))
                         continue
                     leaders.append(row)
-                    if kept < min(per_clause, most):
-                        kept += 1
-                        out.append((key, row.frame_id, len(leaders) - 1, "accepted", row.final))
+                    if sum(kept.values()) >= most:
+                        verdict = "sentence_limit"
+                    elif kept.get(centre, 0) >= per_centre:
+                        verdict = "centre_limit"
                     else:
-                        out.append((key, row.frame_id, len(leaders) - 1, "clause_limit", row.final))
+                        verdict = "accepted"
+                        kept[centre] = kept.get(centre, 0) + 1
+                    out.append((key, frame, len(leaders) - 1, verdict, final))
             yield pd.DataFrame(out, columns=["sent_key", "frame_id", "cluster", "decision", "final"])
 
-    item = F.struct("frame_id", "family", "start", "stop", "centre", "centre_word", "final", "rank", "decision")
+    item = F.struct("final", "rank", "frame_id", "family", "start", "stop", "centre", "centre_word", "decision")
     grouped = rows.groupBy("sent_key").agg(F.sort_array(F.collect_list(item)).alias("items"))
     return grouped.mapInPandas(pick, schema)

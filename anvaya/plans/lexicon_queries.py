@@ -66,7 +66,7 @@ adj AS (SELECT *, round(plausibility + CASE WHEN priority >= 0.66 THEN 0.10::DOU
 comp AS (SELECT *, CAST(row_number() OVER (PARTITION BY sent_key, centre ORDER BY adjusted DESC, priority DESC, severity, lexical DESC, hits DESC, rank) AS INT) AS place FROM adj),
 final AS (SELECT *, round(adjusted - CASE WHEN place > 1 THEN 0.10::DOUBLE ELSE 0 END, 4) AS final FROM comp)"""
 _DECIDED = _COMPETED + """, decided AS (SELECT *, CASE WHEN hard_reject THEN CASE WHEN closed THEN 'closed_class_trigger' ELSE 'helper_only_trigger' END
-  WHEN final < 0.40::DOUBLE THEN 'below_threshold' WHEN row_number() OVER (PARTITION BY sent_key, centre, family ORDER BY final DESC, rank) > 1 THEN 'same_family_duplicate' ELSE 'kept' END AS decision FROM final)"""
+  WHEN final < 0.46::DOUBLE THEN 'below_threshold' WHEN row_number() OVER (PARTITION BY sent_key, centre, family ORDER BY final DESC, rank) > 1 THEN 'same_family_duplicate' ELSE 'kept' END AS decision FROM final)"""
 
 
 def _found(spark: SparkSession, sf_dir: str, *sources: str) -> DataFrame:

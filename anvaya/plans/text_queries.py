@@ -175,8 +175,28 @@ def rate_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.rate_text(F.size(F.split("text", "\n")), "n_chars").alias("rate"))
 
 
-@query()
+#: Letters of names in another script, to have something to write in ASCII.
+_LATIN, _SCRIPT = "abdefghiklmnoprstuy#0123456789", "अबदइफगहईकलमनओपरसतउय#ािुेौ्ख़ळज"
+_SINGLE = {k: v for k, v in (text.VOWELS | text.CONSONANTS | text.VOWEL_SIGNS).items() if len(v) == 1}
+_MULTI = {k: v for k, v in (text.VOWELS | text.CONSONANTS | text.VOWEL_SIGNS).items() if len(v) > 1}
+_BARE = f"regexp_replace(translate(lower(s_name), '{_LATIN}', '{_SCRIPT}'), '[^{''.join(text.CONSONANTS)}{''.join(text.VOWEL_SIGNS)}{text.VIRAMA}{''.join(text.VOWELS)}]', ' ', 'g')"
+_INHERENT = f"'([{''.join(text.CONSONANTS)}])([^a{''.join(text.VOWEL_SIGNS)}{text.VIRAMA}]|$)', '\\1a\\2', 'g'"
+_ASCII = f"regexp_replace(regexp_replace({_BARE}, {_INHERENT}), {_INHERENT})"  # twice, as a match takes the letter after it
+for _letter, _ascii in _MULTI.items():
+    _ASCII = f"replace({_ASCII}, '{_letter}', '{_ascii}')"
+
+
+def _in_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.translate(F.lower("s_name"), _LATIN, _SCRIPT).alias("form"))
+
+
+@query(f"SELECT s_suppkey, translate({_ASCII}, '{''.join(_SINGLE)}{text.VIRAMA} ', '{''.join(_SINGLE.values())}') AS ascii FROM supplier")
 def transliteration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names in ASCII and their similarity; a letter-by-letter rule that SQL cannot state."""
-    names = table(spark, sf_dir, "supplier").select("s_suppkey", text.transliterate("s_name").alias("ascii"))
-    return names.withColumn("similarity", text.best_ratio(F.array("ascii"), F.array(F.lower(F.col("ascii")))))
+    return _in_script(spark, sf_dir).select("s_suppkey", text.transliterate("form").alias("ascii"))
+
+
+@query()
+def transliteration_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best ratio of matching blocks between a mention's forms and a title, which SQL has no function for."""
+    forms = F.array(text.transliterate("form"), text.transliterate(F.concat(F.col("form"), F.lit(" का"))))
+    return _in_script(spark, sf_dir).select("s_suppkey", F.round(text.best_ratio(forms, F.array(text.ascii_form("s_name"))), 4).alias("similarity"))

@@ -44,7 +44,9 @@ def test_text(spark):
     assert one(spark, text.list_field(F.lit('["x", "y"]')))[0] == ["x", "y"]
     assert one(spark, text.distinct_spellings(text.list_field(F.lit("A|b; c|a"))))[0] == ["A", "b; c"]
     assert one(spark, text.numeric_surface(F.lit("१२"), {}))[0] == 12
-    assert one(spark, text.transliterate(F.lit("राम")))[0] == "raam" or one(spark, text.transliterate(F.lit("राम")))[0] == "ram"
+    for word, want in (("राम", "raama"), ("ज़रा", "jaraa"), ("\u095bरा", "zaraa"), ("क्षेत्र", "kshetra"), ("Ab औ १", "au"), ("क\u200dि", "kai")):
+        assert one(spark, text.transliterate(F.lit(word)))[0] == want, word
+    assert one(spark, text.acronym_title(F.lit("http://x/UN_GA")))[0] and not one(spark, text.acronym_title(F.lit("http://x/Ab")))[0]
     assert one(spark, text.canonical_label(F.lit("B-PERSON"), {"PERSON": "PER"}))[0] == "PER"
     assert one(spark, F.lit("कल परसों आए").rlike(text.bounded("परसों")))[0]
     assert one(spark, text.feature_values(F.lit("Case=Nom|Number=Sing")))[0] == {"Case": "Nom", "Number": "Sing"}

@@ -114,3 +114,31 @@ def test_tokens_of_long_lines(spark):
             tok = m[0].lstrip(" \t")
             want.append((str(n), k, tok, m.end() - len(tok), m.end()))
     assert got == sorted(want)
+
+
+def test_selection_limits(spark):
+    from anvaya.operators import lexicon
+
+    # Four centres far apart, the first with three unlike candidates.
+    rows = [("s", f"f{k}.1", f"f{k}", 10 * c, 10 * c + 1, c * 9, f"w{k}", 1.0 - k / 100, k, "kept") for k, c in enumerate((0, 5, 9, 12))]
+    rows += [("s", "f0.2", "f0", 0, 1, 0, "w0", 0.99, 9, "kept"), ("s", "low", "x", 40, 41, 40, "x", 0.1, 10, "below_threshold"), ("t", "one", "x", 0, 1, 0, "x", 0.9, 1, "kept")]
+    df = spark.createDataFrame(rows, "sent_key string, frame_id string, family string, start int, stop int, centre int, centre_word string, final double, rank int, decision string")
+    got = {(r["sent_key"], r["frame_id"]): (r["cluster"], r["decision"]) for r in lexicon.select_candidates(df).collect()}
+    assert got == {
+        ("s", "f0.1"): (0, "accepted"), ("s", "f0.2"): (0, "duplicate_of_leader"), ("s", "f1.1"): (1, "accepted"), ("s", "f2.1"): (2, "accepted"),
+        ("s", "f3.1"): (3, "sentence_limit"), ("s", "low"): (-1, "below_threshold"), ("t", "one"): (0, "accepted"),
+    }
+    same = [("s", f"g{k}", f"g{k}", 20 * k, 20 * k + 1, 7, f"v{k}", 0.9 - k / 100, k, "kept") for k in range(3)]
+    got = [r["decision"] for r in lexicon.select_candidates(spark.createDataFrame(same, df.schema), per_centre=1).orderBy("frame_id").collect()]
+    assert got == ["accepted", "centre_limit", "centre_limit"]
+
+
+def test_transliteration_similarity_brute(spark):
+    from difflib import SequenceMatcher
+
+    ascii_ = {r["s_suppkey"]: r["ascii"] for r in catalogue.queries()["transliteration"](spark, SMALL).collect()}
+    names = {r["s_suppkey"]: r["s_name"] for r in spark.read.parquet(f"{SMALL}/supplier.parquet").collect()}
+    for r in catalogue.queries()["transliteration_similarity"](spark, SMALL).collect():
+        title = re.sub("[^a-z]", "", names[r["s_suppkey"]].lower())
+        forms = [ascii_[r["s_suppkey"]], ascii_[r["s_suppkey"]] + "kaa"]
+        assert r["similarity"] == round(max(SequenceMatcher(None, f, title).ratio() for f in forms), 4)
