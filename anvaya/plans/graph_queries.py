@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -153,15 +155,16 @@ edge AS (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS parent FROM nati
 up(id, cur, level) AS (SELECT id, id, 0 FROM node UNION ALL SELECT up.id, e.parent, level + 1 FROM up JOIN edge e ON e.id = up.cur)
 SELECT up.id, first(n.v ORDER BY up.level) AS value, CAST(min(up.level) AS INT) AS level FROM up JOIN node n ON n.id = up.cur WHERE n.v IS NOT NULL GROUP BY up.id""")
 def hierarchy_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = uuid.uuid4().hex  # calls at the same time do not see each other's views
     region, nation, supplier = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
     mark = lambda m, c: F.concat(F.lit(m), c)
     region.select(mark("r", "r_regionkey").alias("id"), F.col("r_name").alias("value")).unionByName(
         nation.select(mark("n", "n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("value"))
-    ).unionByName(supplier.select(mark("s", "s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).alias("value"))).createOrReplaceTempView("anvaya_nodes")
+    ).unionByName(supplier.select(mark("s", "s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).alias("value"))).createOrReplaceTempView(f"nodes_{own}")
     nation.select(mark("n", "n_nationkey").alias("id"), mark("r", "n_regionkey").alias("parent")).unionByName(
         supplier.select(mark("s", "s_suppkey").alias("id"), mark("n", "s_nationkey").alias("parent"))
-    ).createOrReplaceTempView("anvaya_parents")
-    return graph.inherit(spark, "anvaya_nodes", "anvaya_parents")
+    ).createOrReplaceTempView(f"parents_{own}")
+    return graph.inherit(spark, f"nodes_{own}", f"parents_{own}")
 
 
 @query(r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<p>')) AS INT) AS paragraphs, CAST(len(regexp_extract_all(html, '<li>')) AS INT) AS items, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,

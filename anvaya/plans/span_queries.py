@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -182,9 +184,10 @@ def timex_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 walk(grp, node, steps) AS (SELECT grp, min(node), 0 FROM node GROUP BY grp UNION SELECT w.grp, u.b, w.steps + 1 FROM walk w JOIN und u ON u.grp = w.grp AND u.a = w.node WHERE w.steps < 6)
 SELECT grp, node, CAST(min(steps) AS INT) AS steps FROM walk GROUP BY ALL""")
 def dependency_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = uuid.uuid4().hex  # calls at the same time do not see each other's views
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("grp"), F.col("turn").alias("node"))
-    turns.groupBy("grp").agg(F.min("node").alias("node")).createOrReplaceTempView("anvaya_seeds")
+    turns.groupBy("grp").agg(F.min("node").alias("node")).createOrReplaceTempView(f"seeds_{own}")
     turns.where("node > 0").select("grp", F.col("node").alias("a"), (F.col("node") - 1).alias("b")).unionByName(
         turns.where("node > 1").select("grp", F.col("node").alias("a"), F.floor(F.col("node") / 2).alias("b"))
-    ).createOrReplaceTempView("anvaya_edges")
-    return graph.distances(spark, "anvaya_seeds", "anvaya_edges")
+    ).createOrReplaceTempView(f"edges_{own}")
+    return graph.distances(spark, f"seeds_{own}", f"edges_{own}")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from anvaya.functions.iri import quad_fields
+from anvaya.functions.iri import RDFS_LABEL, quad_fields
 from anvaya.functions.text import stripped
 
+OWL_SAME_AS = "http://www.w3.org/2002/07/owl#sameAs"
 EVENT = (
     "doc_id string, sent_id int, frame string, trigger struct<text: string, span: array<int>, char_span: array<int>, category: string>,"
     " arguments map<string, struct<text: string, span: array<int>, char_span: array<int>>>, confidence double, event_id string"
@@ -24,10 +25,23 @@ def split_valid(rows: DataFrame, good: Column, *columns: str) -> tuple[DataFrame
 
 
 def text_lines(spark: SparkSession, path: str, doc_id: str = "batch_run") -> DataFrame:
-    """One sentence a line. A file is read whole and cut, so numbers count blank lines and never depend on splits."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("sent_id", "text"))
-    return lines.where(stripped("text") != "").select(F.lit(doc_id).alias("doc_id"), "sent_id", "text")
+    """One sentence a line; numbers count blank lines and go on from file to file, by name.
+
+    Files of any size are read in splits. A line's number is its place in its split, from
+    ids that follow each other there, plus the lines of all splits before, of which there
+    is one row each.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("text"),
+    )
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = splits.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("file", "block", "first", "base")
+    numbered = lines.join(F.broadcast(bases), ["file", "block"])  # a row a split, as the driver's own list of them
+    sent_id = (F.col("base") + F.col("id") - F.col("first")).cast("int")
+    bare = F.when(sent_id == 0, F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text"))
+    return numbered.select(F.lit(doc_id).alias("doc_id"), sent_id.alias("sent_id"), bare.alias("text")).where(stripped("text") != "")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | StructType, strict: bool = False) -> DataFrame:
@@ -82,6 +96,38 @@ def ntriples(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def sameas_links(triples: DataFrame, predicates: tuple[str, ...] = (OWL_SAME_AS,)) -> DataFrame:
+    """(resource, other): each pair of IRIs once that a predicate says to be the same."""
+    return triples.where(F.col("p").isin(list(predicates)) & ~F.col("is_literal")).select(
+        F.col("s").alias("resource"), F.col("o").alias("other")
+    ).where("resource <> other").distinct()
+
+
+def labels(triples: DataFrame, predicates: tuple[str, ...] = (RDFS_LABEL,)) -> DataFrame:
+    """(resource, label): the literals that name a resource."""
+    return triples.where(F.col("p").isin(list(predicates)) & F.col("is_literal")).select(
+        F.col("s").alias("resource"), stripped("o").alias("label")
+    ).where("label <> ''").distinct()
+
+
+def doc_dates(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, doc_date) of a JSON object of dates or of a table with these columns; bad dates go."""
+    if path.endswith(".json"):
+        rows = spark.read.option("wholetext", True).text(path).select(
+            F.explode(F.from_json("value", "map<string, string>")).alias("doc_id", "doc_date")
+        )
+    else:
+        rows = delimited(spark, path).select("doc_id", "doc_date")
+    parsed = F.to_date(F.try_to_timestamp(F.col("doc_date"), F.lit("yyyy-MM-dd")))
+    return rows.select("doc_id", parsed.alias("doc_date")).where("doc_date is not null")
+
+
+def with_doc_dates(rows: DataFrame, dates: DataFrame) -> DataFrame:
+    """Rows with the date of their document, null where none is known; of several the first."""
+    once = dates.groupBy(F.col("doc_id").alias("d_id")).agg(F.min("doc_date").alias("doc_date"))
+    return rows.join(once, F.col("doc_id").cast("string") == F.col("d_id"), "left").drop("d_id")
+
+
 def delimited(spark: SparkSession, path: str) -> DataFrame:
     """CSV or TSV with a header, all columns as strings."""
     return spark.read.option("header", True).option("sep", "\t" if path.endswith((".tsv", ".tab")) else ",").csv(path)
@@ -144,9 +190,12 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 
 def markdown(rows: DataFrame, title: str, limit: int = 1000) -> str:
-    """A report table as Markdown; reports are small, so the driver may hold one."""
+    """A report table as Markdown, for the driver to hold; one of more than ``limit`` rows is refused."""
     lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    for row in rows.limit(limit).collect():
+    found = rows.limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"a report of more than {limit} rows; write it as CSV")
+    for row in found:
         lines.append("| " + " | ".join("" if v is None else str(v) for v in row) + " |")
     return "\n".join(lines) + "\n"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import urllib.parse
 
+import pytest
 from pyspark.sql import functions as F
 
 from anvaya.functions import iri, temporal, text
@@ -148,3 +149,40 @@ def test_streams(spark, tmp_path):
     forms = stream.select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("form"))
     clusters = drained(density.running_clusters(forms), "clusters", "append")
     assert clusters.select("doc_id", "form", "cluster").distinct().count() == events.select("user_id", "event_type").distinct().count()
+
+
+def test_text_lines_in_splits(spark, tmp_path):
+    lines = ["\ufefffirst", "", "third\r", "  "] + [f"line {k} " + "x" * (k % 50) for k in range(3000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines), encoding="utf-8", newline="")
+    (tmp_path / "b.txt").write_text("last one", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rows = files.text_lines(spark, str(tmp_path))
+        got = {r["sent_id"]: r["text"] for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = {n: x.removeprefix("\ufeff").removesuffix("\r") for n, x in enumerate([*lines, "last one"]) if x.strip()}
+    assert got == want
+
+
+def test_links_labels_and_dates(spark, tmp_path):
+    (tmp_path / "x.nt").write_text('<urn:a> <http://www.w3.org/2002/07/owl#sameAs> <urn:b> .\n<urn:a> <http://www.w3.org/2002/07/owl#sameAs> <urn:b> .\n'
+                                   '<urn:a> <http://www.w3.org/2002/07/owl#sameAs> <urn:a> .\n<urn:a> <http://www.w3.org/2000/01/rdf-schema#label> "A name"@en .\n')
+    triples = files.ntriples(spark, str(tmp_path / "x.nt"))
+    assert [tuple(r) for r in files.sameas_links(triples).collect()] == [("urn:a", "urn:b")]
+    assert [tuple(r) for r in files.labels(triples).collect()] == [("urn:a", "A name")]
+    (tmp_path / "d.json").write_text('{"1": "2024-02-03", "2": "soon"}')
+    (tmp_path / "d.csv").write_text("doc_id,doc_date\n1,2024-02-03\n2,soon\n")
+    for name in ("d.json", "d.csv"):
+        dates = files.doc_dates(spark, str(tmp_path / name))
+        rows = files.with_doc_dates(spark.createDataFrame([(1,), (2,)], "doc_id int"), dates).orderBy("doc_id").collect()
+        assert [str(r["doc_date"]) for r in rows] == ["2024-02-03", "None"]
+    with pytest.raises(ValueError):
+        files.markdown(spark.range(5), "t", limit=4)
+
+
+def test_clock_times(spark):
+    for written, want in (("सुबह 9 बजे", "T09:00"), ("शाम 5:30 बजे", "T17:30"), ("दोपहर 2 बजे", "T14:00"), ("दोपहर 12 बजे", "T12:00"), ("रात 12 बजे", "T12:00"),
+                          ("7 बजे", "T07:00"), ("at 18:45", "T18:45"), ("रात", "TNI"), ("118:45", None), ("x", None)):
+        assert one(spark, temporal.time_value(F.lit(written)))[0] == want, written
