@@ -720,6 +720,36 @@ def test_quality(spark, docs, empty):
     assert quality.classify(docs, rated.where("false")).where("not keep").count() == 0
 
 
+def test_cumulative_link_brute():
+    """Probabilities and slopes by the definition, and a fit that beats all its neighbours."""
+    rng = np.random.default_rng(11)
+    grades, x, share = rng.integers(0, 3, 40), rng.normal(size=40), rng.random(40) + 0.5
+    theta = np.array([-0.7, 0.9])
+
+    def loss(x, theta):
+        total = 0.0
+        for g, v, s in zip(grades, x, share):
+            below = [0.0, 1 / (1 + np.exp(v - theta[0])), 1 / (1 + np.exp(v - theta[1])), 1.0]
+            total -= s * np.log(below[g + 1] - below[g])
+        return total
+
+    by_x, by_theta, value = quality.slopes(x, grades, theta, share)
+    assert np.isclose(value, loss(x, theta))
+    for k in range(40):
+        step = np.eye(40)[k] * 1e-6
+        assert np.isclose(by_x[k], (loss(x + step, theta) - loss(x - step, theta)) / 2e-6, atol=1e-5)
+    for k in range(2):
+        step = np.eye(2)[k] * 1e-6
+        assert np.isclose(by_theta[k], (loss(x, theta + step) - loss(x, theta - step)) / 2e-6, atol=1e-5)
+    # One feature that tells the grades apart: the fit's own likelihood is near the best of a grid.
+    rows = [np.array([1] if g else [2], dtype=np.int32) for g in grades for _ in range(5)]
+    many = np.repeat(grades, 5)
+    model = quality.fit(rows, many, 4, rounds=600)
+    weighted = quality.fit(rows[::5], grades, 4, rounds=600, weight=np.full(40, 5))
+    assert np.allclose(model.weights, weighted.weights, atol=1e-3) and np.allclose(model.thresholds, weighted.thresholds, atol=1e-3)
+    assert model.score(rows[int(np.argmax(many > 0))]) > model.score(rows[int(np.argmax(many == 0))])
+
+
 def test_licenses(spark, docs, empty):
     rng = random.Random(12)
     hashes, library = licenses.WordHashes(), licenses.Library.build(licenses.TEMPLATES)
