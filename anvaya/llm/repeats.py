@@ -15,9 +15,11 @@ anywhere else, in the same text or another.
    depth of ``SHALLOW`` bytes, then the groups still tied are ordered as blind
    tries, where each suffix is compared with one leaf and branches off at the first
    byte that differs. Neighbours equal over ``SPAN`` bytes are repeated.
-5. The rest of the few anchors with more than ``HOT_SEGMENTS`` different
-   segments (a passage before and after thousands of different ones) is exact,
-   too, and spread over all tasks: the spans meet by their own 128-bit hash.
+5. An anchor with more than ``HOT_SEGMENTS`` different segments (a passage before and
+   after thousands of different ones) is first split by more bytes: its spans are halved by
+   the place of the anchor in them, and each half is grouped by the bytes that all its spans
+   must share. Groups small enough are sorted as above, others are halved again; after
+   eight rounds at most a group is one span. So no task holds more, however hot the anchor.
 
 Defined results: a null text is an empty one; texts under ``SPAN`` bytes lose
 nothing; repeated rows are copies of each other; rows with a null doc_id count like
@@ -81,14 +83,16 @@ def _sliding_minima(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray, span: int = SPAN, gram: int = GRAM):
-    """(text, first start, starts, hash) of each run of spans with one anchor.
+    """(text, first start, starts, hash, lead) of each run of spans with one anchor.
+
+    ``lead`` is how far the anchor is behind the first start.
 
     ``data`` holds several texts one after the other; text t is
     ``data[bounds[t]:bounds[t + 1]]``. Starts are positions in ``data``.
     """
     none = np.empty(0, np.int64)
     if len(data) < span:
-        return none, none, none, np.empty(0, np.uint64)
+        return none, none, none, np.empty(0, np.uint64), none
     hashes = gram_hashes(data, gram)
     place = np.arange(len(hashes), dtype=np.uint64)
     least = _sliding_minima((hashes & ~_LOW) | place, span - gram + 1)
@@ -97,13 +101,13 @@ def anchors(data: np.ndarray, bounds: np.ndarray, span: int = SPAN, gram: int =
     text = np.repeat(np.arange(len(lengths)), lengths)[: len(anchor)]
     starts = np.flatnonzero(np.arange(len(anchor)) + span <= bounds[text + 1])
     if not len(starts):
-        return none, none, none, np.empty(0, np.uint64)
+        return none, none, none, np.empty(0, np.uint64), none
     own, of = anchor[starts], text[starts]
     new = np.flatnonzero(
         np.concatenate([[True], (own[1:] != own[:-1]) | (of[1:] != of[:-1])])
     )
     counts = np.diff(np.append(new, len(starts)))
-    return of[new], starts[new], counts, hashes[own[new]]
+    return of[new], starts[new], counts, hashes[own[new]], own[new] - starts[new]
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -127,17 +131,17 @@ def pieces_of(text: bytes, span: int = SPAN) -> list[tuple[int, bytes]]:
 
 
 def runs_in(texts: list[bytes]):
-    """(text, start in the text, starts, hash) of all anchor runs, chunk by chunk."""
+    """(text, start in the text, starts, hash, lead) of all anchor runs, chunk by chunk."""
     parts = [(k, at, part) for k, text in enumerate(texts) for at, part in pieces_of(text)]
     for first, last in chunks([p for _, _, p in parts]):
         own = parts[first:last]
         data = np.frombuffer(b"".join(p for _, _, p in own), dtype=np.uint8)
         bounds = np.concatenate([[0], np.cumsum([len(p) for _, _, p in own])])
-        of, start, count, hashes = anchors(data, bounds)
+        of, start, count, hashes, lead = anchors(data, bounds)
         names = np.array([k for k, _, _ in own])
         shift = np.array([at for _, at, _ in own])
         if len(of):
-            yield names[of], start - bounds[of] + shift[of], count, hashes
+            yield names[of], start - bounds[of] + shift[of], count, hashes, lead
 
 
 def equal_spans(buffer: np.ndarray, starts: np.ndarray, span: int = SPAN, shallow: int = SHALLOW):
@@ -307,13 +311,51 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         _release(spark)
 
 
+PART_COLUMNS = ("h", "s1", "s2", "lo", "hi", "lead", "body")
+PART = "h long, s1 long, s2 long, lo int, hi int, lead int, body binary, p1 long, p2 long"
+_PART_TYPES = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()] + [pa.int64()] * 2
+
+
+def halves(width: int):
+    """Parts of segments cut in two, told apart by more bytes.
+
+    The spans of a part have their anchor ``width`` different places in, at most. Those of
+    half of these places have ``SPAN - width / 2 + 1`` bytes in common, which become the
+    new key: equal spans have their anchor at the same place and so stay together. With one place
+    left the key tells the whole span.
+    """
+    half = width // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for h, s1, s2, lo, hi, lead, body in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                base = (lead - lo) // width * width
+                for place in (base, base + half):  # the anchor is place to place + half - 1 bytes in
+                    a, b = max(lo, lead - place - half + 1), min(hi, lead - place + 1)
+                    if a >= b:
+                        continue
+                    part = body[a - lo : b - lo + SPAN - 1]
+                    common = body[lead - place - lo : lead - place - half + 1 + SPAN - lo]
+                    key = xxhash.xxh64_intdigest(common, (h + place * _BASE) % (1 << 64))
+                    p1, p2 = np.frombuffer(xxhash.xxh3_128_digest(part), dtype="<i8").tolist()
+                    rows.append((key - (1 << 63), s1, s2, a, b, lead, part, p1, p2))
+                if len(rows) > 20_000:
+                    yield _batch(rows, [*PART_COLUMNS, "p1", "p2"], _PART_TYPES)
+                    rows = []
+            if rows:
+                yield _batch(rows, [*PART_COLUMNS, "p1", "p2"], _PART_TYPES)
+
+    return run
+
+
 def _cut(texts: DataFrame) -> DataFrame:
     """(tid, n_removed, n_spans, kept_sha256) of the distinct texts that lose bytes."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tids = batch.column(0).to_numpy()
-            for of, _, _, found in runs_in(batch.column(1).to_pylist()):
+            for of, _, _, found, _ in runs_in(batch.column(1).to_pylist()):
                 # A text that repeats an anchor says so once, with how often.
                 h = found.view(np.int64)
                 order = np.lexsort((h, of))
@@ -333,15 +375,15 @@ def _cut(texts: DataFrame) -> DataFrame:
     lists = wanted.groupBy("tid").agg(F.collect_set("h").alias("hs"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "tid", "start", "spans", "s1", "s2", "body"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["h", "tid", "start", "spans", "lead", "s1", "s2", "body"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         seen: set[bytes] = set()
         for batch in batches:
             tids = batch.column(0).to_numpy()
             bodies = batch.column(1).to_pylist()
             asked = [np.asarray(x.values).view(np.uint64) for x in batch.column(2)]
             rows: list[tuple] = []
-            for of, start, count, found in runs_in(bodies):
+            for of, start, count, found, lead in runs_in(bodies):
                 for t in np.unique(of).tolist():
                     mine = np.flatnonzero(of == t)
                     mine = mine[np.isin(found[mine], asked[t])]
@@ -356,7 +398,7 @@ def _cut(texts: DataFrame) -> DataFrame:
                                 seen.clear()
                             seen.add(digest)
                         rows.append((
-                            int(found[k].view(np.int64)), int(tids[t]), a, c, s1, s2,
+                            int(found[k].view(np.int64)), int(tids[t]), a, c, int(lead[k]), s1, s2,
                             body if first else None,
                         ))
                 if len(rows) > 20_000:
@@ -368,7 +410,7 @@ def _cut(texts: DataFrame) -> DataFrame:
     occurrences = stage(
         texts.select("tid", "body").join(lists.hint("shuffle_hash"), "tid")
         .select("tid", "body", "hs")
-        .mapInArrow(segments, "h long, tid long, start long, spans int, s1 long, s2 long, body binary"),
+        .mapInArrow(segments, "h long, tid long, start long, spans int, lead int, s1 long, s2 long, body binary"),
         "repeats-segments",
     )
     _release(texts.sparkSession)
@@ -377,7 +419,7 @@ def _cut(texts: DataFrame) -> DataFrame:
         "repeats-counted",
     )
     several = counted.groupBy("h").agg(F.count("*").alias("different")).where("different > 1")
-    bodies = occurrences.where("body is not null").select("h", "s1", "s2", "spans", "body").join(
+    bodies = occurrences.where("body is not null").select("h", "s1", "s2", "spans", "lead", "body").join(
         several, "h"
     )
 
@@ -415,39 +457,49 @@ def _cut(texts: DataFrame) -> DataFrame:
         if held and (out := finish()) is not None:
             yield out
 
-    sorted_runs = (
-        bodies.where(F.col("different") <= HOT_SEGMENTS)
-        .select("h", "s1", "s2", "spans", "body")
-        .repartition("h").sortWithinPartitions("h", "s1", "s2")
-        .mapInArrow(sort, "s1 long, s2 long, runs array<int>")
-    )
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["w1", "w2", "s1", "s2", "at"], [pa.int64()] * 4 + [pa.int32()]
-        for batch in batches:
-            rows: list[tuple] = []
-            for _, s1, s2, spans, body, _ in zip(*(c.to_pylist() for c in batch.columns)):
-                for k in range(spans):
-                    digest = xxhash.xxh3_128_digest(body[k : k + SPAN])
-                    rows.append((*np.frombuffer(digest, dtype="<i8").tolist(), s1, s2, k))
-                if len(rows) > 50_000:
-                    yield _batch(rows, names, kinds)
-                    rows = []
-            if rows:
-                yield _batch(rows, names, kinds)
+    def sorted_groups(groups: DataFrame) -> DataFrame:
+        """(s1, s2, runs) of the groups (h, s1, s2, spans, body), each sorted in a task."""
+        return (
+            groups.select("h", "s1", "s2", "spans", "body")
+            .repartition("h").sortWithinPartitions("h", "s1", "s2")
+            .mapInArrow(sort, "s1 long, s2 long, runs array<int>")
+        )
 
-    hot = bodies.where(F.col("different") > HOT_SEGMENTS)
-    met = hot.mapInArrow(spread, "w1 long, w2 long, s1 long, s2 long, at int").distinct()
-    twice = met.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    hot_runs = met.join(twice, ["w1", "w2"]).groupBy("s1", "s2").agg(
-        F.flatten(F.transform(
-            F.sort_array(F.collect_set("at")), lambda k: F.array(k, k + 1)
-        )).alias("runs")
-    )
+    sorted_runs = sorted_groups(bodies.where(F.col("different") <= HOT_SEGMENTS))
+    # Parts of segments: (h, p1, p2) as above for the part, s1 and s2 of the whole, its starts lo to hi.
+    hot = bodies.where(F.col("different") > HOT_SEGMENTS).select(
+        "h", "s1", "s2", F.lit(0).alias("lo"), F.col("spans").alias("hi"), "lead", "body"
+    ).dropDuplicates(["s1", "s2"])
+    width = 1 << (SPAN - GRAM).bit_length()
+    # Nothing is split, nor its bytes read, where no anchor is hot.
+    none = several.where(F.col("different") > HOT_SEGMENTS).isEmpty()
+    parts = stage(hot.where("false") if none else hot, "repeats-hot")
+    staged = [parts]
+    while width > 1 and not parts.isEmpty():
+        parts = stage(parts.mapInArrow(halves(width), PART), "repeats-parts")
+        staged.append(parts)
+        width //= 2
+        counts = parts.groupBy("h", "p1", "p2").agg(F.count("*").alias("n"))
+        sizes = counts.groupBy("h").agg(F.count("*").alias("different"))
+        known = stage(counts.join(sizes, "h").select("h", "p1", "p2", "n", "different"), "repeats-sizes")
+        staged.append(known)
+        same = parts.join(known.where("n > 1"), ["h", "p1", "p2"]).select(
+            "s1", "s2", F.array("lo", "hi").alias("runs")
+        )
+        small = parts.select("h", "p1", "p2", "lo", "hi", "body").join(
+            known.where((F.col("different") > 1) & (F.col("different") <= HOT_SEGMENTS)), ["h", "p1", "p2"]
+        ).select("h", F.col("p1").alias("s1"), F.col("p2").alias("s2"), (F.col("hi") - F.col("lo")).alias("spans"), "body")
+        found = sorted_groups(small).withColumnsRenamed({"s1": "p1", "s2": "p2"})
+        placed = parts.select("p1", "p2", "s1", "s2", "lo").join(found, ["p1", "p2"]).select(
+            "s1", "s2", F.transform("runs", lambda x: x + F.col("lo")).alias("runs")
+        )
+        level = stage(same.unionByName(placed), "repeats-level")
+        staged.append(level)
+        sorted_runs = sorted_runs.unionByName(level)
+        parts = parts.join(known.where(F.col("different") > HOT_SEGMENTS).select("h").distinct(), "h").select(*PART_COLUMNS)
     alone = counted.where("n > 1").select("s1", "s2", F.array(F.lit(0), F.col("spans")).alias("runs"))
-    runs = stage(
-        alone.unionByName(sorted_runs).unionByName(hot_runs), "repeats-runs"
-    )
+    runs = stage(alone.unionByName(sorted_runs), "repeats-runs")
+    discard(*staged)
     found = occurrences.select("tid", "start", "s1", "s2").join(runs, ["s1", "s2"])
     marks = found.groupBy("tid").agg(
         F.collect_list(F.struct("start", "runs")).alias("marks")
