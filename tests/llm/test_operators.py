@@ -368,7 +368,7 @@ def test_long_document_with_one_window_goes(spark):
 def test_repeats(spark, docs, empty, rows, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK_BYTES", 3000)
     want = brute_repeats(rows)
-    for hot in (4000, 0):
+    for hot in (4000, 1, 0):
         monkeypatch.setattr(repeats, "HOT_SEGMENTS", hot)
         got = repeats.remove_repeats(docs).collect()
         assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
