@@ -47,7 +47,7 @@ SCALE = 0.3
 LEAST_TEXTS = 12
 SCREEN = 6.0
 KEEP_AT = 0.5
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 _CORE = re.compile(r"[^\W_]+")
 _STEPS = np.array([0.01, 0.03, 0.08, 0.15, 0.25, 0.4, 0.6, 0.8])
 
