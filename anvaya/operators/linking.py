@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from anvaya.functions.text import logistic, normalize_lookup
+from anvaya.functions.text import acronym_title, ascii_form, best_ratio, logistic, normalize_lookup, squeezed, transliterate
+
+#: Weights of the link features.
+WEIGHTS = {
+    "exact_hi_label": 4.8, "normalized_hi_label": 4.1, "exact_hi_alias": 3.9, "normalized_hi_alias": 3.1, "redirect_match": 2.6,
+    "cleaned_form_bonus": 1.1, "alternate_form_bonus": 0.8, "head_form_bonus": 1.0, "lemma_form_bonus": 0.6, "ner_type_match": 2.5,
+    "role_type_match": 1.8, "type_conflict_penalty": -1.5, "context_overlap": 0.3, "abstract_overlap": 0.2, "hindi_bonus": 0.8,
+    "english_fallback_penalty": -0.35, "popularity_scale": 0.001, "no_type_penalty": -0.15, "non_entity_title_penalty": -4.0,
+    "transliteration_match_bonus": 1.2, "transliteration_mismatch_penalty": -3.5, "acronym_title_penalty": -3.0,
+    "ambiguous_alias_penalty": -2.2, "missing_expected_type_penalty": -1.1,
+}
+#: Words in the titles of what is no entity.
+NO_ENTITY = ["relations", "episodes", "episode", "season", "discography", "filmography", "list_of", "award", "awards", "league", "broadcast", "radio"]
+ONTOLOGY = "http://dbpedia.org/ontology/"
 
 
 def merge_resources(rows: DataFrame, key: str, position: str, first: list[str], lists: list[str], newest: list[str]) -> DataFrame:
@@ -76,3 +89,174 @@ def new_facts(facts: DataFrame, existing: DataFrame, allowed: list[str]) -> Data
     return facts.where(F.col("p").isin(allowed)).select("s", "p", "o").distinct().join(
         existing.select("s", "p", "o").distinct(), ["s", "p", "o"], "left_anti"
     )
+
+
+def surface_steps(
+    raw: Column, cleaned: Column, normalized: Column, alternates: Column, head: Column, head_lemma: Column, lemma: Column
+) -> Column:
+    """The forms under which a mention is looked up, in order, as (step, query, lookup).
+
+    ``lookup`` is exact or normalized. Empty forms and repeats of a step are left out.
+    """
+    def form(step: str, query: Column, lookup: str) -> Column:
+        value = F.coalesce(query, F.lit(""))
+        value = F.trim(value) if lookup == "exact" else normalize_lookup(value)
+        return F.struct(F.lit(step).alias("step"), value.alias("query"), F.lit(lookup).alias("lookup"))
+
+    first = F.array(
+        form("exact_cleaned_hi", cleaned, "exact"), form("normalized_cleaned_hi", cleaned, "normalized"),
+        form("exact_raw_hi", raw, "exact"), form("normalized_raw_hi", raw, "normalized"),
+        form("normalized_text", normalized, "normalized"),
+    )
+    others = F.flatten(F.transform(F.coalesce(alternates, F.array().cast("array<string>")), lambda x: F.array(
+        form("alternate_hi", x, "exact"), form("alternate_hi_normalized", x, "normalized")
+    )))
+    last = F.array(
+        form("syntax_head_form", head, "exact"), form("syntax_head_form_normalized", head, "normalized"),
+        form("syntax_head_lemma", head_lemma, "exact"), form("lemma_form", lemma, "exact"), form("lemma_form_normalized", lemma, "normalized"),
+    )
+    return F.array_distinct(F.filter(F.concat(first, others, last), lambda x: x["query"] != ""))
+
+
+def alias_pools(aliases: DataFrame, most: int) -> DataFrame:
+    """What a lookup finds: for each (lookup, query) the first ``most`` alias rows by (popularity, resource).
+
+    ``pool`` is the number of rows found. However many resources share a name, a mention
+    meets ``most`` of them, so a common name multiplies nothing.
+    """
+    spread = aliases.select("*", F.explode(F.array(
+        F.struct(F.lit("exact").alias("lookup"), F.col("alias").alias("query")),
+        F.struct(F.lit("normalized").alias("lookup"), F.col("alias_norm").alias("query")),
+    )).alias("at")).select("*", "at.lookup", "at.query").drop("at")
+    group = Window.partitionBy("lookup", "query")
+    order = group.orderBy(F.desc_nulls_last("popularity"), "resource", "match_type", "alias")
+    return spread.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).withColumn(
+        "pool", F.count("*").over(group)
+    )
+
+
+def expanded_types(types: Column, ontology: str = ONTOLOGY) -> Column:
+    """A set of types, trimmed; those of the ontology by their local names, too."""
+    clean = F.filter(F.transform(F.coalesce(types, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    local = F.transform(F.filter(clean, lambda x: x.startswith(ontology)), lambda x: F.substring_index(x, "/", -1))
+    return F.array_union(clean, local)
+
+
+def types_match(types: Column, expected: Column) -> Column:
+    """Whether any expected type is among the types of a resource; false where none is expected."""
+    return F.arrays_overlap(expanded_types(types), F.coalesce(expected, F.array().cast("array<string>")))
+
+
+def context_terms(text: Column) -> Column:
+    """The set of looked-up forms of the words of a text."""
+    words = F.split(F.translate(F.coalesce(text, F.lit("")), "।,;:", "    "), r"\s+")
+    return F.array_distinct(F.filter(F.transform(words, normalize_lookup), lambda x: x != ""))
+
+
+def _common(left: Column, right: Column) -> Column:
+    return F.least(F.size(F.array_intersect(left, right)), F.lit(4))
+
+
+def feature_map(similarity: Column, hints: list[str], weights: dict[str, float]) -> Column:
+    """The features of a (mention, step, alias row) as a map of the weights that apply."""
+    no_types = F.size("types") == 0
+    hindi, norm, cleaned = F.col("lang") == "hi", F.col("alias_norm"), normalize_lookup("cleaned")
+    label = F.col("match_type").startswith("label_hi")
+    exact_label = (F.col("alias") != "") & (F.col("alias") == F.col("cleaned")) & hindi & label
+    exact_alias = (F.col("alias") != "") & (F.col("alias") == F.col("raw")) & hindi & F.col("match_type").contains("alias")
+    alias_kind = F.col("match_type").contains("alias") | label
+    asked = (F.col("ner_label") != "") | (F.col("role") != "")
+    wants, fits = F.size("expected") > 0, types_match(F.col("types"), F.col("expected"))
+    titled = F.size("titles") > 0
+    slug = F.lower(F.substring_index("resource", "/", -1))
+    step, popularity = F.col("step"), F.coalesce("popularity", F.lit(0.0))
+    overlap, abstract = _common(F.col("terms"), F.col("label_terms")), _common(F.col("terms"), F.col("abstract_terms"))
+    holds = {
+        "hindi_bonus": hindi, "english_fallback_penalty": F.col("lang") == "en", "exact_hi_label": exact_label,
+        "normalized_hi_label": ~exact_label & (norm != "") & (norm == cleaned) & hindi & label, "exact_hi_alias": exact_alias,
+        "normalized_hi_alias": ~exact_alias & (norm != "") & (norm == normalize_lookup("raw")) & hindi & alias_kind,
+        "redirect_match": F.col("match_type") == "redirect", "cleaned_form_bonus": step.contains("cleaned") | step.contains("postposition"),
+        "alternate_form_bonus": step.contains("alternate"), "head_form_bonus": step.contains("head") & (F.col("head") != ""),
+        "lemma_form_bonus": step.contains("lemma"), "ner_type_match": wants & fits & (F.col("ner_label") != ""),
+        "role_type_match": wants & fits & (F.col("role") != ""), "type_conflict_penalty": wants & ~fits & ~no_types,
+        "missing_expected_type_penalty": no_types & (asked | wants), "no_type_penalty": no_types & ~asked & ~wants,
+        "non_entity_title_penalty": F.exists(F.array(*[F.lit(h) for h in hints]), lambda h: slug.contains(h)) if hints else F.lit(False),
+        "acronym_title_penalty": acronym_title("resource"), "ambiguous_alias_penalty": (F.col("pool") >= 4) & no_types,
+        "transliteration_mismatch_penalty": titled & no_types & (similarity <= 0.6),
+    }
+    scaled = {
+        "context_overlap": F.when(overlap > 0, overlap * weights["context_overlap"]),
+        "abstract_overlap": F.when(abstract > 0, abstract * weights["abstract_overlap"]),
+        "popularity": F.when(popularity > 0, F.least(popularity, F.lit(1000.0)) * weights["popularity_scale"]),
+        "transliteration_match_bonus": F.when(similarity >= 0.75, F.round(similarity * weights["transliteration_match_bonus"], 4)),
+    }
+    values = {name: F.when(condition, F.lit(weights[name])) for name, condition in holds.items()} | scaled
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("double").alias("value")) for k, v in values.items()])
+    return F.map_from_entries(F.filter(entries, lambda x: x["value"].isNotNull()))
+
+
+def cascade(
+    mentions: DataFrame, aliases: DataFrame, top_k: int, hints: list[str] = NO_ENTITY, weights: dict[str, float] = WEIGHTS, most: int | None = None
+) -> DataFrame:
+    """The best links of each mention over all steps of the lookup.
+
+    ``mentions`` has (mention, raw, cleaned, normalized, alternates, head, head_lemma, lemma,
+    sentence, ner_label, role, expected), ``aliases`` (alias, alias_norm, lang, match_type, resource,
+    popularity, types, label_hi, label_en, abstract_hi, abstract_en). Every step is one
+    lookup of at most ``most`` rows (six times ``top_k``, 30 at least). Of the rows of a
+    resource the best score stays, the earliest step on ties; links are ranked by score,
+    popularity and resource. A mention that meets no alias has no row.
+    """
+    most = most or max(top_k * 6, 30)
+    empty = F.array().cast("array<string>")
+    title = F.replace(F.coalesce(F.try_url_decode(F.substring_index("resource", "/", -1)), F.lit("")), F.lit("_"), F.lit(" "))
+    labels = F.concat_ws(" ", F.col("label_hi"), F.col("label_en"), F.col("alias"))
+    abstracts = F.concat_ws(" ", F.substring("abstract_hi", 1, 160), F.substring("abstract_en", 1, 160))
+    named = F.array(F.col("label_en"), title, F.when(F.col("lang") == "en", F.col("alias")))
+    known = alias_pools(aliases, most).select(
+        "lookup", "query", "pool", "place", "alias", "alias_norm", F.coalesce(F.lower("lang"), F.lit("")).alias("lang"),
+        F.coalesce("match_type", F.lit("")).alias("match_type"), "resource", F.col("popularity").cast("double").alias("popularity"),
+        F.coalesce("types", empty).alias("types"), context_terms(labels).alias("label_terms"), context_terms(abstracts).alias("abstract_terms"),
+        F.array_distinct(F.filter(F.transform(F.filter(named, lambda x: squeezed(x) != ""), ascii_form), lambda x: x != "")).alias("titles"),
+    )
+    text = {c: F.coalesce(c, F.lit("")) for c in ("raw", "cleaned", "head", "ner_label", "role")}
+    steps = surface_steps(*[F.col(c) for c in ("raw", "cleaned", "normalized", "alternates", "head", "head_lemma", "lemma")])
+    forms = F.concat(F.array("cleaned", "raw"), F.coalesce("alternates", empty))
+    asked = mentions.select(
+        "mention", *[v.alias(c) for c, v in text.items()], context_terms(F.col("sentence")).alias("terms"),
+        expanded_types(F.col("expected")).alias("expected"), F.posexplode(steps).alias("at", "found"),
+        F.array_distinct(F.filter(F.transform(forms, lambda x: transliterate(F.coalesce(x, F.lit("")))), lambda x: x != "")).alias("ascii"),
+    ).select("*", "found.*").drop("found")
+    met = asked.join(known, ["lookup", "query"])
+    # Most pairs have no form to compare, and Python sees only those that have.
+    plain = met.where("size(ascii) = 0 OR size(titles) = 0").withColumn("similarity", F.lit(0.0))
+    spelt = met.where("size(ascii) > 0 AND size(titles) > 0").withColumn("similarity", F.round(best_ratio("ascii", "titles"), 4))
+    scored = plain.unionByName(spelt).withColumn("features", feature_map(F.col("similarity"), hints, weights)).withColumn(
+        "score", F.round(F.aggregate(F.map_values("features"), F.lit(0.0), lambda a, x: a + x), 6)
+    )
+    row = F.struct(
+        (-F.col("score")).alias("order"), "at", "place", "alias", "match_type", "step", "lang", "popularity",
+        F.col("similarity"), F.array_sort(F.map_entries("features")).alias("features"),
+    )
+    best = scored.groupBy("mention", "resource").agg(F.min(row).alias("b")).select(
+        "mention", "resource", (-F.col("b.order")).alias("score"), "b.step", "b.match_type", "b.lang", "b.alias", "b.popularity", "b.similarity",
+        F.map_from_entries("b.features").alias("features"),
+    )
+    w = Window.partitionBy("mention").orderBy(F.desc("score"), F.desc(F.coalesce("popularity", F.lit(0.0))), "resource")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).withColumns({
+        "confidence": logistic("score"), "matched_via": F.concat_ws(":", "match_type", "step"),
+        "why": F.array_join(F.transform(F.array_sort(F.map_entries("features")), lambda x: F.format_string("%s=%.2f", x["key"], x["value"])), ", "),
+    })
+
+
+def audit(mentions: DataFrame, best: DataFrame, min_confidence: float) -> DataFrame:
+    """Every mention with its best link and bucket: linked, low_confidence, missed, skipped.
+
+    ``mentions`` has (mention, linkable), ``best`` (mention, resource, confidence).
+    """
+    sure = F.col("confidence") >= min_confidence
+    bucket = (
+        F.when(~F.coalesce("linkable", F.lit(False)), "skipped").when(F.col("confidence").isNull(), "missed")
+        .when(sure, "linked").otherwise("low_confidence")
+    )
+    return mentions.join(best, "mention", "left").withColumn("bucket", bucket).withColumn("resource", F.coalesce("resource", F.lit("")))

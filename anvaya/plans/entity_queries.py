@@ -200,6 +200,76 @@ def link_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alias rows of a small knowledge base: one resource a name and brand, by its label and a redirect."""
+    brand = F.regexp_extract("p_brand", r"\d+$", 0).cast("int")
+    base = table(spark, sf_dir, "part").groupBy("p_name", brand.alias("brand")).agg(F.count("*").cast("double").alias("popularity"))
+    kind = F.when(F.col("brand") % 3 == 0, F.array().cast("array<string>")).when(F.col("brand") % 3 == 1, F.array(F.lit("Thing"))).otherwise(
+        F.array(F.lit(linking.ONTOLOGY + "Organisation"))
+    )
+    rows = base.select(
+        F.concat(F.lit("urn:kb/"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("_")), F.lit("_B"), "brand").alias("resource"), "popularity", kind.alias("types"),
+        F.col("p_name").alias("label_hi"), F.lit(None).cast("string").alias("label_en"), F.lit(None).cast("string").alias("abstract_hi"),
+        F.concat(F.lit("made by "), F.concat(F.lit("brand"), "brand")).alias("abstract_en"),
+        F.explode(F.array(
+            F.struct(F.col("p_name").alias("alias"), F.lit("hi").alias("lang"), F.lit("label_hi").alias("match_type")),
+            F.struct(F.substring_index("p_name", " ", -1).alias("alias"), F.lit("en").alias("lang"), F.lit("redirect").alias("match_type")),
+        )).alias("a"),
+    ).select("*", "a.*").drop("a")
+    return rows.withColumn("alias_norm", normalize_lookup("alias"))
+
+
+def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = F.when(F.col("p_partkey") % 3 == 1, F.upper("p_name")).otherwise(F.col("p_name"))
+    org = F.col("p_partkey") % 2 == 0
+    mentions = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("mention"), F.when(F.col("p_partkey") % 3 == 2, F.concat(F.lit("the "), written)).otherwise(written).alias("raw"),
+        written.alias("cleaned"), written.alias("normalized"), F.array().cast("array<string>").alias("alternates"), F.substring_index("p_name", " ", -1).alias("head"),
+        F.lit("").alias("head_lemma"), F.lit("").alias("lemma"), F.concat_ws(" ", "p_name", F.lower(F.replace("p_brand", F.lit("#")))).alias("sentence"),
+        F.when(org, "ORG").otherwise("").alias("ner_label"), F.lit("").alias("role"),
+        F.when(org, F.array(F.lit("Organisation"))).otherwise(F.array().cast("array<string>")).alias("expected"),
+    )
+    return linking.cascade(mentions, _resources(spark, sf_dir), 5)
+
+
+#: Parts' names have no Devanagari letters, so the similarity of sounds is 0 throughout.
+_CASCADE = """WITH r AS (SELECT p_name, CAST(regexp_extract(p_brand, '[0-9]+$') AS INT) AS brand, CAST(count(*) AS DOUBLE) AS popularity FROM part GROUP BY ALL),
+res AS (SELECT *, 'urn:kb/' || array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), '_') || '_B' || brand AS resource,
+  brand % 3 AS kind, string_split(p_name, ' ')[-1] AS tail FROM r),
+al AS (SELECT resource, popularity, kind, brand, p_name, p_name AS alias, 'hi' AS lang, 'label_hi' AS match_type FROM res
+  UNION ALL SELECT resource, popularity, kind, brand, p_name, tail, 'en', 'redirect' FROM res),
+pool AS (SELECT *, count(*) OVER (PARTITION BY alias) AS pool FROM (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY popularity DESC, resource, match_type) AS place FROM al) WHERE place <= 30),
+m AS (SELECT p_partkey AS mention, CASE WHEN p_partkey % 3 = 1 THEN upper(p_name) ELSE p_name END AS cleaned, CASE WHEN p_partkey % 3 = 2 THEN 'the ' ELSE '' END AS lead,
+  string_split(p_name, ' ')[-1] AS head, p_partkey % 2 = 0 AS org, list_distinct(string_split(p_name || ' ' || lower(replace(p_brand, '#', '')), ' ')) AS terms FROM part),
+st AS (SELECT *, unnest([1, 2, 3, 4, 5, 6, 7]) AS pos, unnest(['exact_cleaned_hi', 'normalized_cleaned_hi', 'exact_raw_hi', 'normalized_raw_hi', 'normalized_text', 'syntax_head_form', 'syntax_head_form_normalized']) AS step,
+  unnest([cleaned, lower(cleaned), lead || cleaned, lower(lead || cleaned), lower(cleaned), head, lower(head)]) AS q FROM m),
+f AS (SELECT mention, resource, pos, step, place, popularity, match_type,
+  CASE lang WHEN 'hi' THEN 0.8 ELSE -0.35 END
+  + CASE WHEN match_type = 'label_hi' AND alias = cleaned THEN 4.8 WHEN match_type = 'label_hi' AND alias = lower(cleaned) THEN 4.1 ELSE 0 END
+  + CASE WHEN match_type = 'label_hi' AND alias = lower(lead || cleaned) THEN 3.1 ELSE 0 END
+  + CASE WHEN match_type = 'redirect' THEN 2.6 ELSE 0 END + CASE WHEN contains(step, 'cleaned') THEN 1.1 ELSE 0 END + CASE WHEN contains(step, 'head') THEN 1.0 ELSE 0 END
+  + CASE WHEN org AND kind = 2 THEN 2.5 WHEN org AND kind = 1 THEN -1.5 WHEN kind = 0 AND org THEN -1.1 WHEN kind = 0 THEN -0.15 ELSE 0 END
+  + 0.3 * least(4, len(list_intersect(terms, list_distinct(string_split(p_name, ' ') || [alias])))) + 0.2 * least(4, len(list_intersect(terms, ['made', 'by', 'brand' || brand])))
+  + least(popularity, 1000) * 0.001 + CASE WHEN pool >= 4 AND kind = 0 THEN -2.2 ELSE 0 END + CASE WHEN kind = 0 THEN -3.5 ELSE 0 END AS score
+  FROM st JOIN pool ON alias = q),
+b AS (SELECT * FROM (SELECT mention, resource, popularity, round(score::DOUBLE, 6) AS score, match_type || ':' || step AS matched_via,
+  row_number() OVER (PARTITION BY mention, resource ORDER BY round(score::DOUBLE, 6) DESC, pos, place) AS rn FROM f) WHERE rn = 1),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY mention ORDER BY score DESC, popularity DESC, resource) AS INT) AS rank FROM b)"""
+
+
+@query(_CASCADE + " SELECT mention, resource, score, matched_via, rank, round(1 / (1 + exp(-(score - 2.8))), 6) AS confidence FROM k WHERE rank <= 5")
+def link_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cascade(spark, sf_dir).select("mention", "resource", "score", "matched_via", "rank", "confidence")
+
+
+@query(_CASCADE + """, t AS (SELECT *, 1 / (1 + exp(-(score - 2.8))) AS confidence FROM k WHERE rank = 1)
+SELECT p_partkey AS mention, coalesce(resource, '') AS resource, CASE WHEN rank IS NULL THEN 'missed' WHEN confidence < 0.6 THEN 'low_confidence' ELSE 'linked' END AS bucket FROM part LEFT JOIN t ON mention = p_partkey""")
+def link_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = _cascade(spark, sf_dir).where("rank = 1").select("mention", "resource", "confidence")
+    every = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mention"), F.lit(True).alias("linkable"))
+    return linking.audit(every, best, 0.6).select("mention", "resource", "bucket")
+
+
 @query("""WITH f AS (SELECT 'n' || n_nationkey AS s, 'region' AS p, 'r' || n_regionkey AS o FROM nation UNION ALL SELECT 'n' || n_nationkey, 'label', n_name FROM nation UNION ALL SELECT 'r' || r_regionkey, 'label', r_name FROM region),
 x AS (SELECT 'n' || n_nationkey AS s, 'region' AS p, 'r' || n_regionkey AS o FROM nation WHERE n_nationkey % 2 = 0)
 SELECT s, p, o FROM f WHERE p IN ('region', 'label') EXCEPT SELECT s, p, o FROM x""")
