@@ -32,6 +32,20 @@ CENTRE_PRIORITY = {
     "predicative_nominal": 0.84, "lexical_predicate": 0.8, "lexical_adjective": 0.66,
     "light_verb": 0.42, "other": 0.3, "helper_like": 0.1,
 }
+#: What the kinds of clauses to recover add to a candidate and to its centre.
+RECOVER_BONUS = {
+    "imperative_predicate": 0.06, "change_of_state_resultative": 0.07, "modal_lexical_event": 0.05, "light_verb_compound_event": 0.05,
+}
+RECOVER_CENTRE_BONUS = {
+    "imperative_predicate": 0.04, "change_of_state_resultative": 0.05, "modal_lexical_event": 0.04, "light_verb_compound_event": 0.04,
+}
+#: How far each category is from the centre that such a clause wants: verb,
+#: adjective, nominal in a multiword predicate, nominal, light verb.
+RECOVER_RANK = {
+    "imperative_predicate": (0.0, 1.4, 0.4, 1.4, 2.0), "change_of_state_resultative": (1.0, 0.0, 0.3, 0.3, 2.0),
+    "modal_lexical_event": (0.0, 1.2, 0.5, 1.2, 2.0), "light_verb_compound_event": (0.6, 0.0, 0.0, 0.0, 2.0),
+}
+MISALIGNED, ROOT_BONUS = 0.08, 0.08
 LEXICAL = ["verb", "adjective", "noun", "proper_noun", "lexical", "light_verb"]
 CLOSED = ["pronoun", "determiner", "particle", "adp", "conjunction", "closed_class"]
 
@@ -141,16 +155,25 @@ def best_evidence(found: DataFrame) -> DataFrame:
     )
 
 
-def plausibility(ranked: DataFrame, category: Callable[[Column, Column], Column]) -> DataFrame:
+def plausibility(
+    ranked: DataFrame, category: Callable[[Column, Column], Column], clause: Column | None = None
+) -> DataFrame:
     """Score every candidate by its best evidence and the categories of the words under it.
 
     ``category`` tells that of a word, from its lower case and as written. The anchor is
     the first word of the best tier: verb, adjective, nominal, light verb, anything.
+    ``clause`` tells the kind of clause where it is known: one to recover adds its bonus,
+    and a change of state looks for its centre among adjectives and nominals first.
     """
+    change = F.lit(False) if clause is None else F.coalesce(clause == "change_of_state_resultative", F.lit(False))
+    recover = F.lit(0.0)
+    for kind_, value in RECOVER_BONUS.items() if clause is not None else ():
+        recover = F.when(clause == kind_, value).otherwise(recover)
+
     def tier(kind: Column) -> Column:
         return (
-            F.when(kind == "verb", 1).when(kind == "adjective", 2)
-            .when(kind.isin("noun", "proper_noun", "lexical", "number"), 3).when(kind == "light_verb", 4).otherwise(5)
+            F.when(kind == "verb", F.when(change, 4).otherwise(1)).when(kind == "adjective", 2)
+            .when(kind.isin("noun", "proper_noun", "lexical", "number"), 3).when(kind == "light_verb", 5).otherwise(6)
         )
 
     parts = F.transform("items", lambda t, k: F.struct(
@@ -184,6 +207,7 @@ def plausibility(ranked: DataFrame, category: Callable[[Column, Column], Column]
         - F.when(helper, PENALTY["helper_only"])
         .when(F.col("category") == "auxiliary", PENALTY["auxiliary_anchor"])
         .when(F.col("category") == "copula", PENALTY["copula_anchor"]).otherwise(zero)
+        + F.when(~(closed | helper) & (F.col("lexical") > 0), recover).otherwise(zero)
     )
     return rows.withColumn("hard_reject", closed | helper).withColumn(
         "plausibility", F.round(F.greatest(zero, F.least(F.lit(1.5), raw)), 4)
@@ -220,8 +244,35 @@ def mismatch() -> Column:
     return F.round(F.greatest(raw, F.when(bare, 0.9).otherwise(0.0)), 4)
 
 
-def competition(scored: DataFrame) -> DataFrame:
-    """Candidates with one centre compete; the best is the winner, the others pay."""
+def recover_rank() -> Column:
+    """How far a candidate's category is from the centre that its clause wants."""
+    category, nominal = F.col("category"), F.col("category").isin("noun", "proper_noun", "lexical", "number")
+    out = F.lit(0.0)
+    for clause, (verb, adjective, compound, noun, light) in RECOVER_RANK.items():
+        several = F.col("multiword")
+        here = (
+            F.when(category == "verb", verb).when(category == "adjective", F.when(several, min(compound, adjective)).otherwise(adjective))
+            .when(nominal, F.when(several, compound).otherwise(noun)).when(category == "light_verb", light)
+        )
+        out = F.when(F.col("clause_type") == clause, here.otherwise(1.0)).otherwise(out)
+    return out
+
+
+def _clause_share() -> Column:
+    """What the profile of its clause adds to a candidate."""
+    bonus = F.lit(0.0)
+    lexical = ~F.col("label").isin("helper_like", "other", "light_verb", "light_verb_compound")
+    for clause, value in RECOVER_CENTRE_BONUS.items():
+        bonus = F.when((F.col("clause_type") == clause) & lexical, value).otherwise(bonus)
+    root = (F.col("centre") > 0) & (F.col("centre") == F.col("primary_center")) & ~F.col("label").isin("helper_like", "other")
+    return bonus - MISALIGNED * recover_rank() + F.when(root, ROOT_BONUS).otherwise(0.0)
+
+
+def competition(scored: DataFrame, profiled: bool = False) -> DataFrame:
+    """Candidates with one centre compete; the best is the winner, the others pay.
+
+    With ``profiled`` rows have (clause_type, primary_center) of their clause, which count too.
+    """
     priority = F.when(F.lit(False), F.lit(0.0))
     for label, value in CENTRE_PRIORITY.items():
         priority = priority.when(F.col("label") == label, F.lit(value))
@@ -232,7 +283,8 @@ def competition(scored: DataFrame) -> DataFrame:
         .withColumn("priority", priority.otherwise(F.lit(0.25)))
         .withColumn("adjusted", F.round(
             F.col("plausibility") + F.when(F.col("priority") >= 0.66, 0.10).otherwise(0.0)
-            - F.when(F.col("label") == "helper_like", 0.14).otherwise(0.0) - 0.14 * F.col("severity"), 4))
+            - F.when(F.col("label") == "helper_like", 0.14).otherwise(0.0) - 0.14 * F.col("severity")
+            + (_clause_share() if profiled else 0.0), 4))
         .withColumn("place", F.row_number().over(w))
     )
     return rows.withColumn(
@@ -260,11 +312,14 @@ def similarity(a: tuple, b: tuple) -> float:
     )
 
 
-def select_candidates(rows: DataFrame, min_similarity: float = 0.6, per_centre: int = 2, most: int = 3) -> DataFrame:
+def select_candidates(
+    rows: DataFrame, min_similarity: float = 0.6, per_centre: int = 2, most: int = 3, limit: str | None = None
+) -> DataFrame:
     """Leader clustering of a sentence's candidates and the final pick.
 
     The best first: a candidate like a leader so far is its duplicate, others lead. Of the
-    leaders ``per_centre`` stay for each predicate centre and ``most`` for the sentence.
+    leaders ``per_centre`` stay for each predicate centre and ``most`` for the sentence, or
+    as many as the column ``limit`` tells if that is fewer.
     Order decides, so each sentence is worked through in one go; it has at most the few
     candidates that retrieval kept.
     """
@@ -273,7 +328,7 @@ def select_candidates(rows: DataFrame, min_similarity: float = 0.6, per_centre:
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, items in zip(batch.sent_key, batch["items"]):
+            for key, items, bound in zip(batch.sent_key, batch["items"], batch["bound"]):
                 leaders: list[tuple] = []
                 kept: dict[int, int] = {}
                 for row in sorted((tuple(x.values()) for x in items), key=lambda r: (-r[0], r[1])):
@@ -286,7 +341,7 @@ def select_candidates(rows: DataFrame, min_similarity: float = 0.6, per_centre:
                         out.append((key, frame, home, "duplicate_of_leader", final))
                         continue
                     leaders.append(row)
-                    if sum(kept.values()) >= most:
+                    if sum(kept.values()) >= bound:
                         verdict = "sentence_limit"
                     elif kept.get(centre, 0) >= per_centre:
                         verdict = "centre_limit"
@@ -297,5 +352,6 @@ def select_candidates(rows: DataFrame, min_similarity: float = 0.6, per_centre:
             yield pd.DataFrame(out, columns=["sent_key", "frame_id", "cluster", "decision", "final"])
 
     item = F.struct("final", "rank", "frame_id", "family", "start", "stop", "centre", "centre_word", "decision")
-    grouped = rows.groupBy("sent_key").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    bound = F.lit(most) if limit is None else F.least(F.lit(most), F.col(limit))
+    grouped = rows.groupBy("sent_key").agg(F.sort_array(F.collect_list(item)).alias("items"), F.min(bound).alias("bound"))
     return grouped.mapInPandas(pick, schema)

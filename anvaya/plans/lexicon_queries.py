@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anvaya.operators import lexicon
+from anvaya.operators import clauses, lexicon
 from anvaya.plans import common
 from anvaya.plans.registry import query
 
@@ -159,6 +159,28 @@ def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Stand-ins in the languages of the tables for the words that tell clauses apart.
+_CLAUSE_WORDS = clauses.ClauseWords(
+    imperative=("eed",), resultative=("reen",), ability=("inst",), passive=("ann",), possibility=("tion",), static=("is", "est"),
+    coordination=("and", "et", "und", "y"), subordination=("that", "que"),
+)
+
+
+@query()
+def clause_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of centres are merged in order, which SQL cannot state."""
+    flags = common.word_arrays(spark, sf_dir).select("sent_key", clauses.signals(F.col("toks"), common.category, _CLAUSE_WORDS).alias("signals"))
+    profile = clauses.clause_profile(_scored(spark, sf_dir), flags, _CLAUSE_WORDS)
+    groups = F.transform("groups", lambda g: F.concat_ws(":", g["primary_category"], F.array_join(g["indices"], "+")))
+    return profile.select("sent_key", "clause_type", "primary_center", "clause_limit", "compressed", "hint", F.array_join(groups, ",").alias("groups"))
+
+
+@query()
+def precision_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both passes of assessment, profile and selection; order decides, as in selection_decisions."""
+    return clauses.precision_filter(lexicon.candidates(_found(spark, sf_dir)), common.word_arrays(spark, sf_dir), common.category, _CLAUSE_WORDS)
+
+
 def _typed(words: DataFrame) -> DataFrame:
     """Clause types of sentences from the categories in them."""
     def has(*names: str):
