@@ -85,3 +85,13 @@ def nearest_cascade(left: DataFrame, right: DataFrame, keys: list[str], anchor:
 
 def distance(a0, a1, b0, b1) -> Column:
     return span_distance(a0, a1, b0, b1)
+
+
+def document_times(rows: DataFrame, key: str, date: str) -> DataFrame:
+    """A time mention without a span for each sentence whose document has a date."""
+    value = F.col(date).cast("string")
+    return rows.where(F.col(date).isNotNull()).select(key, F.col(date)).distinct().select(
+        F.concat(F.col(key), F.lit("::docdate")).alias("timex_id"), F.col(key), value.alias("text"), F.lit(None).cast("int").alias("start"),
+        F.lit(None).cast("int").alias("stop"), F.lit("DATE").alias("type"), value.alias("value"), F.lit("docdate").alias("engine"),
+        F.lit(1.0).alias("confidence"), F.lit(True).alias("is_document_time"),
+    )

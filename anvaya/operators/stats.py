@@ -114,3 +114,33 @@ def match_greedy(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> Data
             yield pd.DataFrame(out, columns=names)
 
     return grouped.mapInPandas(run, f"{fields}, start int, stop int, r_start int, r_stop int, ratio double")
+
+
+def mention_summary(mentions: DataFrame, kind: str, source: str, confidence: str) -> DataFrame:
+    """Mentions by kind, with a row of all kinds: how many, from models and rules, and the mean confidence."""
+    label = F.coalesce(F.when(F.trim(kind) != "", F.col(kind)), F.lit("MISC"))
+    rows = mentions.select(label.alias("kind"), F.col(source).alias("source"), F.col(confidence).try_cast("double").alias("confidence"))
+    return rows.rollup("kind").agg(
+        F.count("*").alias("mentions"), F.count_if(F.col("source") == "model").alias("by_model"),
+        F.count_if(F.col("source") == "rules").alias("by_rules"), F.round(F.avg("confidence"), 6).alias("confidence"),
+    ).withColumn("kind", F.coalesce("kind", F.lit("*")))
+
+
+def density_examples(counts: DataFrame, warned: DataFrame, cap: int, size: int) -> DataFrame:
+    """The densest units with the reason to review them.
+
+    ``counts`` has (sent_key, n), ``warned`` the keys with a warning. Order: count, cap, warning, key.
+    """
+    keys = warned.select("sent_key").distinct().withColumn("warned", F.lit(True))
+    rows = counts.join(keys, "sent_key", "left").withColumn("warned", F.coalesce("warned", F.lit(False))).withColumn("at_cap", F.col("n") >= cap)
+    reason = (
+        F.when(F.col("at_cap") & F.col("warned"), "cap_hit_and_multi_event_warning").when(F.col("at_cap"), "cap_hit")
+        .when(F.col("warned"), "multi_event_warning").otherwise("high_event_density")
+    )
+    order = [F.desc("n"), F.desc("at_cap"), F.desc("warned"), F.asc("sent_key")]
+    return rows.withColumn("reason", reason).orderBy(*order).limit(size)
+
+
+def uncovered(keys: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Distinct keys that no text answers to; a blank text is none."""
+    return keys.select(key).distinct().join(texts.where(F.trim(text) != "").select(key), key, "left_anti")

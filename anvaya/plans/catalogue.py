@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from anvaya.operators import graph, lexicon
 from anvaya.plans import (  # noqa: F401  importing registers the queries
-    common, enrich_queries, entity_queries, graph_queries, layer_queries, lexicon_queries, span_queries, stats_queries, text_queries,
+    common, enrich_queries, entity_queries, graph_queries, layer_queries, lexicon_queries, rule_queries, span_queries, stats_queries, text_queries,
 )
 from anvaya.plans.registry import ORACLES, QUERIES, Query
 
