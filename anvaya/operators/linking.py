@@ -157,31 +157,33 @@ def _common(left: Column, right: Column) -> Column:
     return F.least(F.size(F.array_intersect(left, right)), F.lit(4))
 
 
-def feature_map(similarity: Column, hints: list[str], weights: dict[str, float]) -> Column:
-    """The features of a (mention, step, alias row) as a map of the weights that apply."""
+def feature_map(similarity: Column, weights: dict[str, float]) -> Column:
+    """The features of a (mention, step, alias row) as a map of the weights that apply.
+
+    What one side alone decides was worked out on that side, before the join.
+    """
     no_types = F.size("types") == 0
-    hindi, norm, cleaned = F.col("lang") == "hi", F.col("alias_norm"), normalize_lookup("cleaned")
+    hindi, norm = F.col("lang") == "hi", F.col("alias_norm")
     label = F.col("match_type").startswith("label_hi")
     exact_label = (F.col("alias") != "") & (F.col("alias") == F.col("cleaned")) & hindi & label
     exact_alias = (F.col("alias") != "") & (F.col("alias") == F.col("raw")) & hindi & F.col("match_type").contains("alias")
     alias_kind = F.col("match_type").contains("alias") | label
     asked = (F.col("ner_label") != "") | (F.col("role") != "")
-    wants, fits = F.size("expected") > 0, types_match(F.col("types"), F.col("expected"))
+    wants, fits = F.size("expected") > 0, F.arrays_overlap("all_types", "expected")
     titled = F.size("titles") > 0
-    slug = F.lower(F.substring_index("resource", "/", -1))
     step, popularity = F.col("step"), F.coalesce("popularity", F.lit(0.0))
     overlap, abstract = _common(F.col("terms"), F.col("label_terms")), _common(F.col("terms"), F.col("abstract_terms"))
     holds = {
         "hindi_bonus": hindi, "english_fallback_penalty": F.col("lang") == "en", "exact_hi_label": exact_label,
-        "normalized_hi_label": ~exact_label & (norm != "") & (norm == cleaned) & hindi & label, "exact_hi_alias": exact_alias,
-        "normalized_hi_alias": ~exact_alias & (norm != "") & (norm == normalize_lookup("raw")) & hindi & alias_kind,
+        "normalized_hi_label": ~exact_label & (norm != "") & (norm == F.col("cleaned_norm")) & hindi & label, "exact_hi_alias": exact_alias,
+        "normalized_hi_alias": ~exact_alias & (norm != "") & (norm == F.col("raw_norm")) & hindi & alias_kind,
         "redirect_match": F.col("match_type") == "redirect", "cleaned_form_bonus": step.contains("cleaned") | step.contains("postposition"),
         "alternate_form_bonus": step.contains("alternate"), "head_form_bonus": step.contains("head") & (F.col("head") != ""),
         "lemma_form_bonus": step.contains("lemma"), "ner_type_match": wants & fits & (F.col("ner_label") != ""),
         "role_type_match": wants & fits & (F.col("role") != ""), "type_conflict_penalty": wants & ~fits & ~no_types,
         "missing_expected_type_penalty": no_types & (asked | wants), "no_type_penalty": no_types & ~asked & ~wants,
-        "non_entity_title_penalty": F.exists(F.array(*[F.lit(h) for h in hints]), lambda h: slug.contains(h)) if hints else F.lit(False),
-        "acronym_title_penalty": acronym_title("resource"), "ambiguous_alias_penalty": (F.col("pool") >= 4) & no_types,
+        "non_entity_title_penalty": F.col("no_entity"),
+        "acronym_title_penalty": F.col("acronym"), "ambiguous_alias_penalty": (F.col("pool") >= 4) & no_types,
         "transliteration_mismatch_penalty": titled & no_types & (similarity <= 0.6),
     }
     scaled = {
@@ -213,7 +215,12 @@ def cascade(
     labels = F.concat_ws(" ", F.col("label_hi"), F.col("label_en"), F.col("alias"))
     abstracts = F.concat_ws(" ", F.substring("abstract_hi", 1, 160), F.substring("abstract_en", 1, 160))
     named = F.array(F.col("label_en"), title, F.when(F.col("lang") == "en", F.col("alias")))
+    slug = F.lower(F.substring_index("resource", "/", -1))
+    no_entity = F.lit(False)
+    for hint in hints:
+        no_entity = no_entity | slug.contains(hint)
     known = alias_pools(aliases, most).select(
+        expanded_types(F.col("types")).alias("all_types"), no_entity.alias("no_entity"), acronym_title("resource").alias("acronym"),
         "lookup", "query", "pool", "place", "alias", "alias_norm", F.coalesce(F.lower("lang"), F.lit("")).alias("lang"),
         F.coalesce("match_type", F.lit("")).alias("match_type"), "resource", F.col("popularity").cast("double").alias("popularity"),
         F.coalesce("types", empty).alias("types"), context_terms(labels).alias("label_terms"), context_terms(abstracts).alias("abstract_terms"),
@@ -223,7 +230,8 @@ def cascade(
     steps = surface_steps(*[F.col(c) for c in ("raw", "cleaned", "normalized", "alternates", "head", "head_lemma", "lemma")])
     forms = F.concat(F.array("cleaned", "raw"), F.coalesce("alternates", empty))
     asked = mentions.select(
-        "mention", *[v.alias(c) for c, v in text.items()], context_terms(F.col("sentence")).alias("terms"),
+        "mention", *[v.alias(c) for c, v in text.items()], normalize_lookup("cleaned").alias("cleaned_norm"),
+        normalize_lookup("raw").alias("raw_norm"), context_terms(F.col("sentence")).alias("terms"),
         expanded_types(F.col("expected")).alias("expected"), F.posexplode(steps).alias("at", "found"),
         F.array_distinct(F.filter(F.transform(forms, lambda x: transliterate(F.coalesce(x, F.lit("")))), lambda x: x != "")).alias("ascii"),
     ).select("*", "found.*").drop("found")
@@ -231,7 +239,7 @@ def cascade(
     # Most pairs have no form to compare, and Python sees only those that have.
     plain = met.where("size(ascii) = 0 OR size(titles) = 0").withColumn("similarity", F.lit(0.0))
     spelt = met.where("size(ascii) > 0 AND size(titles) > 0").withColumn("similarity", F.round(best_ratio("ascii", "titles"), 4))
-    scored = plain.unionByName(spelt).withColumn("features", feature_map(F.col("similarity"), hints, weights)).withColumn(
+    scored = plain.unionByName(spelt).withColumn("features", feature_map(F.col("similarity"), weights)).withColumn(
         "score", F.round(F.aggregate(F.map_values("features"), F.lit(0.0), lambda a, x: a + x), 6)
     )
     row = F.struct(
