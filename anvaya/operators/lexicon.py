@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Weights of the evidence sources and their quality.
 SINGLE, PREFIX, NGRAM, SPLIT = 2, 1, 5, 4
 MAX_GAP = 3
+#: Rows of a trigger index that is sent to every task.
+SMALL = 10_000
 QUALITY = {
     "n_gram": 1.0, "split": 0.8, "single": 0.65, "single_prefix": 0.35, "multiword_prefix": 0.25,
 }
@@ -72,9 +74,9 @@ def _found(source: str, weight: Column | int, start: Column, items: Column) -> C
 def evidence(arrays: DataFrame, index: DataFrame, closed: Sequence[str] = (), gap: int = MAX_GAP) -> DataFrame:
     """All evidence rows (sent_key, frame_id, source, weight, start, stop, items).
 
-    ``arrays`` has (sent_key, toks), a sentence a row. Each word is taken once, with the
-    word before and as many after as the longest trigger may reach, and meets the index
-    once: as the first word of a trigger, or as the last of a multiword one. ``items``
+    ``arrays`` has (sent_key, toks), a sentence a row. Each word meets the index once: as
+    the first word of a trigger, or as the last of a multiword one. Those that do are taken
+    with the word before and as many after as the longest trigger may reach. ``items``
     are the words of the span as written. The sources:
 
     - single: a one-word trigger; single_prefix: with a content word of two letters or
@@ -84,15 +86,13 @@ def evidence(arrays: DataFrame, index: DataFrame, closed: Sequence[str] = (), ga
       nearest next one within ``gap`` words of the last.
     """
     reach = 1 + gap * max(_longest(index) - 1, 0)
-    spread = arrays.select("sent_key", F.posexplode(F.transform("toks", lambda t, k: F.struct(
-        F.when(k > 0, F.get("toks", k - 1)).alias("before"), F.slice("toks", k + 1, F.lit(reach)).alias("ahead"),
-    ))).alias("w", "at")).select("sent_key", "w", "at.before", "at.ahead").withColumn("word", F.lower(F.get("ahead", F.lit(0))))
     one = index.where("n = 1").select("frame_id", F.col("head").alias("word"))
     tails = index.where("n > 1").select("frame_id", F.col("tail").alias("word")).distinct().join(one, ["frame_id", "word"], "left_anti")
     keys = index.select("frame_id", F.col("head").alias("word"), "n", "term").unionByName(
         tails.select("frame_id", "word", F.lit(0).alias("n"), F.lit(None).cast("array<string>").alias("term"))
     )
-    met = spread.join(keys, "word")
+    met = _meet(arrays, index, keys).select("sent_key", "frame_id", "n", "term", "w", F.when(F.col("w") > 0, F.get("toks", F.col("w") - 1)).alias("before"),
+                                            F.slice("toks", F.col("w") + 1, F.lit(reach)).alias("ahead"))
 
     low = F.transform("ahead", F.lower)
     led = F.coalesce((F.char_length("before") > 1) & ~F.lower("before").isin(list(closed)), F.lit(False))
@@ -117,6 +117,20 @@ def evidence(arrays: DataFrame, index: DataFrame, closed: Sequence[str] = (), ga
     return found.select("sent_key", "frame_id", "e.*")
 
 
+def _meet(arrays: DataFrame, index: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``keys`` (frame_id, word, n, term) at each word ``w`` of a sentence, with all its words (toks).
+
+    Other words go before anything is made of them. Against an index of up to ``SMALL``
+    rows nothing is shuffled; against a larger one the bare words are, and the sentences once.
+    """
+    few = [r for r in index.select("head", "tail").limit(SMALL + 1).collect()]
+    if len(few) <= SMALL:
+        spread = arrays.select("sent_key", "toks", F.posexplode("toks").alias("w", "tok")).select("sent_key", "toks", "w", F.lower("tok").alias("word"))
+        return spread.where(F.col("word").isin(sorted({x for r in few for x in r}))).join(F.broadcast(keys), "word")
+    spread = arrays.select("sent_key", F.posexplode("toks").alias("w", "tok")).select("sent_key", "w", F.lower("tok").alias("word"))
+    return spread.join(keys, "word").join(arrays, "sent_key")
+
+
 def _longest(index: DataFrame) -> int:
     """Words of the longest trigger."""
     return index.agg(F.max("n")).first()[0] or 0
