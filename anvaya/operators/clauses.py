@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anvaya.operators import lexicon
+from anvaya.operators import graph, lexicon
 
 #: Categories of words and of clauses.
 HELPERS = ["auxiliary", "copula", "particle", "adp", "conjunction", "pronoun", "determiner", "closed_class"]
@@ -40,9 +40,15 @@ class ClauseWords:
 
 
 def signals(toks: Column, category: Callable[[Column, Column], Column], words: ClauseWords) -> Column:
-    """What the words of a sentence say of its clause, as a struct of flags and markers."""
+    """What the words of a sentence say of its clause, as a struct of flags and markers.
+
+    The words are told apart once: all flags are read off one bound array.
+    """
     tagged = F.transform(toks, lambda t: F.struct(F.lower(t).alias("word"), category(F.lower(t), t).alias("category")))
+    return F.get(F.transform(F.array(tagged), lambda x: _flags(x, words)), F.lit(0))
+
 
+def _flags(tagged: Column, words: ClauseWords) -> Column:
     def begins(x: Column, prefixes: tuple[str, ...]) -> Column:
         out = F.lit(False)
         for p in prefixes:
@@ -178,9 +184,11 @@ def precision_filter(
 
     The first pass tells the kind of clause. Clauses of the kinds to recover are assessed
     again with what their kind adds, and profiled again; the last profile sets how many
-    candidates a sentence keeps. Other sentences come out of both passes alike.
+    candidates a sentence keeps. Other sentences come out of both passes alike. Both
+    passes read the same candidates and flags, which are made once.
     """
-    flags = arrays.select("sent_key", signals(F.col("toks"), category, words).alias("signals"))
+    ranked = graph._written(ranked)
+    flags = graph._written(arrays.select("sent_key", signals(F.col("toks"), category, words).alias("signals")))
     first = clause_profile(lexicon.plausibility(ranked, category), flags, words).select("sent_key", "clause_type")
     again = lexicon.plausibility(ranked.join(first, "sent_key"), category, F.col("clause_type"))
     profile = clause_profile(again, flags, words).select("sent_key", "clause_type", "primary_center", "clause_limit")
