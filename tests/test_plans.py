@@ -51,3 +51,16 @@ def test_words_are_tagged_once(spark):
     df = spark.createDataFrame([("s", ["a"])], "sent_key string, toks array<string>")
     text = plan(df.select(clauses.signals(F.col("toks"), category, clauses.ClauseWords(coordination=("a",))).alias("x")))
     assert text.count("CATEGORY_MARK") == 1
+
+
+def test_pieces_need_no_look_around(spark):
+    import re
+
+    from anvaya.functions.text import PIECE
+
+    texts = ["a, b (c) d.", " x", "", "  ", "a\x01b, c\x01 ", "a  b\t,c ", "$0 \\ $1", "(", " ।॥ y", "a ,, b "]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, text string").select("n", tokens.pieces().alias("p"))
+    want = {n: re.findall(PIECE, t, re.ASCII) for n, t in enumerate(texts)}
+    assert {r["n"]: r["p"] for r in df.collect()} == want
+    # Plain text takes the path of replacements.
+    assert "replace(regexp_replace(" in plan(df)
