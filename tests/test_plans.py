@@ -64,3 +64,9 @@ def test_pieces_need_no_look_around(spark):
     assert {r["n"]: r["p"] for r in df.collect()} == want
     # Plain text takes the path of replacements.
     assert "replace(regexp_replace(" in plan(df)
+
+
+def test_token_heads_need_no_sort(spark):
+    toks = spark.createDataFrame([("s", 0, "a"), ("s", 1, "b")], "sent_key string, idx int, tok string")
+    quads = enrich.token_quads(toks)
+    assert quads.count() == 5 and "Window" not in plan(quads)
