@@ -70,3 +70,7 @@ def test_token_heads_need_no_sort(spark):
     toks = spark.createDataFrame([("s", 0, "a"), ("s", 1, "b")], "sent_key string, idx int, tok string")
     quads = enrich.token_quads(toks)
     assert quads.count() == 5 and "Window" not in plan(quads)
+
+
+def test_span_validation_moves_no_words(spark):
+    assert "collect_list" not in plan(catalogue.queries()["span_validation"](spark, SMALL))
