@@ -74,3 +74,16 @@ def test_token_heads_need_no_sort(spark):
 
 def test_span_validation_moves_no_words(spark):
     assert "collect_list" not in plan(catalogue.queries()["span_validation"](spark, SMALL))
+
+
+def test_rates_round_like_their_sql(spark):
+    import duckdb
+
+    from anvaya.functions import text
+
+    pairs = [(n, d) for d in (0, -3, 160, 2000, 4000) for n in (0, 1, 9, 11, 57)] + [(None, 5)]
+    got = spark.createDataFrame(pairs, "n long, d long").select(text.rate_text("n", "d").alias("r")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE p AS SELECT unnest(?) AS n, unnest(?) AS d", [[n for n, _ in pairs], [d for _, d in pairs]])
+    want = con.execute("SELECT CASE WHEN d > 0 THEN printf('%.2f%%', round(100.0 * n / d, 2)) ELSE 'n/a' END FROM p").fetchall()
+    assert [r["r"] for r in got] == [w[0] for w in want]
