@@ -183,9 +183,8 @@ k AS (SELECT *, CAST(row_number() OVER (PARTITION BY mention ORDER BY score DESC
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mentions, aliases = _lineitem_mentions(spark, sf_dir), _aliases(spark, sf_dir)
-    found = linking.lookup(mentions, aliases, "alias", "exact", 2.4, 3).unionByName(linking.lookup(mentions, aliases, "alias_norm", "normalized", 1.8, 3))
-    return linking.rank_links(found, 3)
+    steps = [("alias", "exact", 2.4), ("alias_norm", "normalized", 1.8)]
+    return linking.link_spellings(_lineitem_mentions(spark, sf_dir), _aliases(spark, sf_dir), steps, 3)
 
 
 @query(_LINKS + " SELECT mention, resource, score, step, rank, round(1 / (1 + exp(-(score - 2.8))), 6) AS confidence FROM k WHERE rank <= 3")
