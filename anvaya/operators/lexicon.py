@@ -91,11 +91,18 @@ def evidence(arrays: DataFrame, index: DataFrame, closed: Sequence[str] = (), ga
     keys = index.select("frame_id", F.col("head").alias("word"), "n", "term").unionByName(
         tails.select("frame_id", "word", F.lit(0).alias("n"), F.lit(None).cast("array<string>").alias("term"))
     )
-    met = _meet(arrays, index, keys).select("sent_key", "frame_id", "n", "term", "w", F.when(F.col("w") > 0, F.get("toks", F.col("w") - 1)).alias("before"),
-                                            F.slice("toks", F.col("w") + 1, F.lit(reach)).alias("ahead"))
+    w, n, several = F.col("w"), F.col("n"), F.col("n") > 1
+    before = F.when(w > 0, F.get("toks", w - 1))
+    led = F.coalesce((F.char_length(before) > 1) & ~F.lower(before).isin(list(closed)), F.lit(False))
+    near = F.lit(False)
+    for k in range(1, gap + 1):
+        near = near | F.coalesce(F.lower(F.get("toks", w + k)) == F.get("term", F.lit(1)), F.lit(False))
+    # What cannot be evidence goes before its words are copied: a trigger whose second word is not within the gap, a last word with none before it.
+    met = _meet(arrays, index, keys).where(F.when(n == 1, True).when(n == 0, led).otherwise(near)).select(
+        "sent_key", "frame_id", "n", "term", "w", before.alias("before"), led.alias("led"), F.slice("toks", w + 1, F.lit(reach)).alias("ahead")
+    )
 
-    low = F.transform("ahead", F.lower)
-    led = F.coalesce((F.char_length("before") > 1) & ~F.lower("before").isin(list(closed)), F.lit(False))
+    low = F.when(several, F.transform("ahead", F.lower))
     pair = F.array(F.col("before"), F.get("ahead", F.lit(0)))
 
     def step(at: Column, part: Column) -> Column:
@@ -104,13 +111,12 @@ def evidence(arrays: DataFrame, index: DataFrame, closed: Sequence[str] = (), ga
         return F.when(at < 0, at).when(found > 0, at + found.cast("int")).otherwise(F.lit(-1))
 
     rest = F.slice("term", F.lit(2), F.greatest(F.col("n") - 1, F.lit(0)))
-    w, n, several = F.col("w"), F.col("n"), F.col("n") > 1
     whole = several & (F.slice("low", F.lit(1), F.greatest(n, F.lit(1))) == F.col("term"))
     place = F.when(several, F.aggregate(rest, F.lit(0), step)).otherwise(F.lit(-1))
     found = met.withColumn("low", low).withColumn("place", place).select("sent_key", "frame_id", F.explode(F.array_compact(F.array(
         F.when(n == 1, _found("single", SINGLE, w, F.slice("ahead", 1, 1))),
-        F.when((n == 1) & led, _found("single_prefix", PREFIX, w - 1, pair)),
-        F.when((n == 0) & led, _found("multiword_prefix", PREFIX, w - 1, pair)),
+        F.when((n == 1) & F.col("led"), _found("single_prefix", PREFIX, w - 1, pair)),
+        F.when((n == 0) & F.col("led"), _found("multiword_prefix", PREFIX, w - 1, pair)),
         F.when(whole, _found("n_gram", n + NGRAM, w, F.slice("ahead", F.lit(1), F.greatest(n, F.lit(1))))),
         F.when(F.col("place") >= 0, _found("split", n + SPLIT, w, F.slice("ahead", F.lit(1), F.col("place") + 1))),
     ))).alias("e"))
@@ -190,8 +196,9 @@ def plausibility(
             .when(kind.isin("noun", "proper_noun", "lexical", "number"), 3).when(kind == "light_verb", 5).otherwise(6)
         )
 
-    parts = F.transform("items", lambda t, k: F.struct(
-        (F.col("start") + k).alias("w"), F.lower(t).alias("word"), category(F.lower(t), t).alias("category")
+    # Lower case is bound first: a category asks for it many times.
+    parts = F.transform(F.transform("items", lambda t: F.struct(t.alias("tok"), F.lower(t).alias("word"))), lambda x, k: F.struct(
+        (F.col("start") + k).alias("w"), x["word"].alias("word"), category(x["word"], x["tok"]).alias("category")
     ))
     tiers = F.transform("parts", lambda x: F.struct(tier(x["category"]).alias("tier"), x["w"].alias("w"), x["word"].alias("word"), x["category"].alias("category")))
     count = lambda *kinds: F.size(F.filter("parts", lambda x: x["category"].isin(*kinds)))

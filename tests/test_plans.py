@@ -87,3 +87,9 @@ def test_rates_round_like_their_sql(spark):
     con.execute("CREATE TABLE p AS SELECT unnest(?) AS n, unnest(?) AS d", [[n for n, _ in pairs], [d for _, d in pairs]])
     want = con.execute("SELECT CASE WHEN d > 0 THEN printf('%.2f%%', round(100.0 * n / d, 2)) ELSE 'n/a' END FROM p").fetchall()
     assert [r["r"] for r in got] == [w[0] for w in want]
+
+
+def test_what_cannot_be_evidence_goes_with_the_join(spark):
+    arrays = spark.createDataFrame([("s", "and a b c of x".split())], "sent_key string, toks array<string>")
+    index = lexicon.trigger_index(spark, {"one": ["and of"], "two": ["x"]})
+    assert "lower(toks" in next(x for x in plan(lexicon.evidence(arrays, index)).splitlines() if "BroadcastHashJoin [word" in x)
