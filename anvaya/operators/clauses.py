@@ -42,9 +42,10 @@ class ClauseWords:
 def signals(toks: Column, category: Callable[[Column, Column], Column], words: ClauseWords) -> Column:
     """What the words of a sentence say of its clause, as a struct of flags and markers.
 
-    The words are told apart once: all flags are read off one bound array.
+    The words are told apart once: all flags are read off one bound array. None counts words, so each different word is in it once.
     """
-    tagged = F.transform(toks, lambda t: F.struct(F.lower(t).alias("word"), category(F.lower(t), t).alias("category")))
+    bound = F.transform(F.array_distinct(toks), lambda t: F.struct(t.alias("tok"), F.lower(t).alias("word")))
+    tagged = F.transform(bound, lambda x: F.struct(x["word"].alias("word"), category(x["word"], x["tok"]).alias("category")))
     return F.get(F.transform(F.array(tagged), lambda x: _flags(x, words)), F.lit(0))
 
 

@@ -89,6 +89,13 @@ def test_rates_round_like_their_sql(spark):
     assert [r["r"] for r in got] == [w[0] for w in want]
 
 
+def test_lower_case_is_bound_once(spark):
+    from anvaya.plans import common
+
+    df = spark.createDataFrame([("s", ["a"])], "sent_key string, toks array<string>")
+    assert plan(df.select(clauses.signals(F.col("toks"), common.category, clauses.ClauseWords()).alias("x"))).count("lower(") == 1
+
+
 def test_what_cannot_be_evidence_goes_with_the_join(spark):
     arrays = spark.createDataFrame([("s", "and a b c of x".split())], "sent_key string, toks array<string>")
     index = lexicon.trigger_index(spark, {"one": ["and of"], "two": ["x"]})
